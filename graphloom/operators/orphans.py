@@ -33,13 +33,13 @@ def parent_intervals(nodes: DataFrame) -> DataFrame:
     return named.filter("key is not null").groupBy("key").agg(F.min("deleted_at").alias("deleted_at"), F.min("loaded_at").alias("loaded_at"))
 
 
-def merge(refs: DataFrame, parents: DataFrame, counts: DataFrame, share: float = HEAVY) -> DataFrame:
+def merge(refs: DataFrame, parents: DataFrame, counts: DataFrame, total: int, share: float = HEAVY) -> DataFrame:
     """``refs`` (with ``key``) left-merged with ``parents`` (``key`` unique), spread even if a key is heavy.
 
-    ``counts`` (key, n) tells how often each key is referred to. Heavy keys are at most 1 / share, so
+    ``counts`` (key, n) tells how often each key is referred to, ``total`` how many references there are. Heavy keys are at most 1 / share, so
     what is broadcast is bounded whatever the tables' size.
     """
-    hot = [r.key for r in heavy_keys(counts, "key", share, "n").select("key").collect()]
+    hot = heavy_keys(counts, total, share)
     p = parents.withColumn("is_there", F.lit(True))
     if not hot:
         return refs.join(p.hint("merge"), "key", "left")
@@ -62,7 +62,7 @@ def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     refs = refs.select("logical_id", "created_at", "edge_loaded", "x.edge_end", reference_key(F.col("x.ref")).alias("key"))
     # counted as stored, where the rows lie, before spellings are brought together
     stored = edges.select(F.explode(F.array("src_logical_id", "dst_logical_id")).alias("ref")).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
-    m = merge(refs, parent_intervals(nodes), stored.filter("ref is not null").select(reference_key(F.col("ref")).alias("key"), "n"))
+    m = merge(refs, parent_intervals(nodes), stored.filter("ref is not null").select(reference_key(F.col("ref")).alias("key"), "n"), 2 * edges.count())
     reason = F.when(F.col("is_there").isNull(), "missing").when(F.col("deleted_at") <= F.col("created_at"), "deleted").when(F.col("loaded_at") > F.col("edge_loaded"), "late")
     out = m.withColumn("reason", reason).filter("reason is not null")
     return out.select(F.col("logical_id").alias("edge_logical_id"), "edge_end", "reason", F.date_format("created_at", "yyyy-MM").alias("period_ym"))

@@ -39,10 +39,8 @@ def percentiles(freq: DataFrame, ps: list[float], strips: int = 256) -> DataFram
     Keys without a non-null value give no row.
     """
     f = freq.filter("value is not null").select("key", F.col("value").cast("double").alias("v"), "value", "n")
-    spark = freq.sparkSession
-    p = spark.createDataFrame([(float(x),) for x in sorted(set(ps))], "p double")
     span = f.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    want = span.join(F.broadcast(p)).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("total")), F.lit(1)))
+    want = span.withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(ps))]))).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("total")), F.lit(1)))
     for _ in range(2):
         width = (F.col("hi") - F.col("lo")) / strips
         strip = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(strips - 1))).otherwise(0)
@@ -56,12 +54,10 @@ def percentiles(freq: DataFrame, ps: list[float], strips: int = 256) -> DataFram
     return inside.withColumn("upto", F.sum("n").over(w)).filter("upto >= rank and upto - n < rank").select("key", "p", "value")
 
 
-def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY, weight: str | None = None) -> DataFrame:
-    """(key, n): keys with more than ``share`` of all rows (or weight), counted exactly: at most 1 / share rows."""
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(n.alias("n"))
-    total = rows.agg(n.alias("total"))
-    return counts.join(F.broadcast(total)).filter(F.col("n") > F.col("total") * share).select(key, "n")
+def heavy_keys(counts: DataFrame, total: int, share: float = HEAVY) -> list:
+    """Keys with more than ``share`` of all ``total`` rows, from exact ``counts`` (key, n): at most 1 / share of them."""
+    rows = counts.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > total * share)
+    return [r.key for r in rows.select("key").collect()]
 
 
 def edge_profile(edges: DataFrame, edge_id: str = "logical_id", src: str = "src_logical_id", dst: str = "dst_logical_id") -> DataFrame:
