@@ -15,8 +15,8 @@ from .skew import HEAVY, heavy_keys
 
 
 def reference_key(ref: Column) -> Column:
-    """A UUID in any spelling (case, hyphens, braces, ``urn:uuid:``) gives the same key; other text stands for itself."""
-    bare = F.replace(F.translate(F.lower(F.trim(ref)), "-{}()", ""), F.lit("urn:uuid:"), F.lit(""))
+    """A UUID in any spelling (case, hyphens, braces, ``urn:uuid:``, white space) gives the same key; other text stands for itself."""
+    bare = F.replace(F.translate(F.lower(ref), "-{}() \t\r\n\v\f\u00a0", ""), F.lit("urn:uuid:"), F.lit(""))
     uuid = F.when((F.length(bare) == 32) & bare.rlike("^[0-9a-f]{32}$"), F.concat(F.encode(F.lit("u"), "UTF-8"), F.unhex(bare)))
     return F.coalesce(uuid, F.concat(F.encode(F.lit("r"), "UTF-8"), F.encode(ref, "UTF-8")))
 

@@ -72,7 +72,7 @@ with n as (select replace(logical_id, '-', '') as k, vid, min(deleted_at) as d,
   e as (select logical_id, edge_type, src_logical_id as s, dst_logical_id as t, created_at as c, min(loaded_at) as l from graph_edges group by all),
   r as (select logical_id, edge_type, 'src' as edge_end, s as ref, c, l from e where s is not null
         union all select logical_id, edge_type, 'dst', t, c, l from e where t is not null),
-  q as (select r.*, case when ref like 'local-%' then ref else regexp_replace(replace(lower(trim(ref)), 'urn:uuid:', ''), '[-{}]', '', 'g') end as k from r),
+  q as (select r.*, case when ref like 'local-%' then ref else regexp_replace(replace(lower(ref), 'urn:uuid:', ''), '[-{}\\s]', '', 'g') end as k from r),
   o as (select q.logical_id as edge_logical_id, edge_type, edge_end,
                case when p.k is null then 'missing' when p.d <= q.c then 'deleted' when p.l > q.l then 'late' end as reason,
                strftime(c, '%Y-%m') as period_ym from q left join p using (k))"""

@@ -109,7 +109,7 @@ EXPORTED: dict[str, tuple[str, str]] = {
     "graph_label_count": ("MATCH (p:Person:Verified) RETURN COUNT(*) AS n", f"with {_LIVE} select count(*) as n from live where list_contains(labels, 'Person') and list_contains(labels, 'Verified')"),
     "graph_expand": ("MATCH (p:Person)-[:knows]->(q:Person) RETURN p.vid_ AS x, COUNT(*) AS n", f"with {_LIVE} select null::varchar as x, count(*) as n from e join live a on a.vid = src join live b on b.vid = dst where edge_type = 'knows' and list_contains(a.labels, 'Person') and list_contains(b.labels, 'Person')"),
     "graph_two_hop": ("MATCH (p:Comment)-[:REPLY_OF]->(q)-[:CREATED|tagged]->(r:Topic) RETURN COUNT(*) AS n", f"with {_LIVE} select count(*) as n from e x join e y on x.dst = y.src join live a on a.vid = x.src join live c on c.vid = y.dst where x.edge_type = 'REPLY_OF' and y.edge_type in ('CREATED', 'tagged') and list_contains(a.labels, 'Comment') and list_contains(c.labels, 'Topic')"),
-    "graph_city": ("MATCH (p:Person) WHERE p.age >= 40 AND p.city IS NOT NULL RETURN p.city AS city, COUNT(*) AS n, AVG(p.age) AS age", f"with {_LIVE}, x as (select props ->> '$.city' as city, case when regexp_full_match(props ->> '$.age', '[+-]?[0-9]+') then (props ->> '$.age')::bigint end as age from live where list_contains(labels, 'Person')) select city, count(*) as n, avg(age) as age from x where age >= 40 and city is not null group by 1"),
+    "graph_city": ("MATCH (p:Person) WHERE p.age >= 40 AND p.city IS NOT NULL RETURN p.city AS city, COUNT(*) AS n, AVG(p.age) AS age", f"with {_LIVE}, x as (select props ->> '$.city' as city, case when regexp_full_match(trim(props ->> '$.age'), '[+-]?[0-9]+') then trim(props ->> '$.age')::bigint end as age from live where list_contains(labels, 'Person')) select city, count(*) as n, avg(age) as age from x where age >= 40 and city is not null group by 1"),
 }
 
 
