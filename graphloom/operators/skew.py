@@ -60,6 +60,19 @@ def heavy_keys(counts: DataFrame, total: int, share: float = HEAVY) -> list:
     return [r.key for r in rows.select("key").collect()]
 
 
+def pack(c: Column) -> Column:
+    """A text as bytes, a UUID in its usual spelling as 17 of them; ``unpack`` gives the text back."""
+    usual = c.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\z")
+    tag = lambda t: F.encode(F.lit(t), "UTF-8")
+    return F.when(usual, F.concat(tag("u"), F.unhex(F.translate(c, "-", "")))).otherwise(F.concat(tag("t"), F.encode(c, "UTF-8")))
+
+
+def unpack(b: Column) -> Column:
+    h = F.lower(F.hex(b))
+    usual = F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((3, 8), (11, 4), (15, 4), (19, 4), (23, 12))])
+    return F.when(h.startswith("75"), usual).when(b.isNotNull(), F.decode(F.substring(b, F.lit(2), F.length(b)), "UTF-8"))
+
+
 def edge_profile(edges: DataFrame, edge_id: str = "logical_id", src: str = "src_logical_id", dst: str = "dst_logical_id") -> DataFrame:
     """(edge_end, node_ref, n_edges, n_peers) for every non-null end value, as stored.
 
@@ -69,17 +82,20 @@ def edge_profile(edges: DataFrame, edge_id: str = "logical_id", src: str = "src_
 
     Distinct edges are reduced to (src, dst, number of edges) first, from which both ends follow.
     An id stored with several pairs of ends would then count once for each; what it counts too
-    often is taken off again, from the rows of such ids alone.
+    often is taken off again, from the rows of such ids alone. Whether there are any is found from
+    hashes of the ids, so the edges are shuffled again only if there are.
     """
-    e = edges.select(F.col(edge_id).alias("id"), F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    e = edges.select(*[pack(F.col(c).cast("string")).alias(n) for c, n in ((edge_id, "id"), (src, "src"), (dst, "dst"))]).distinct()
     pairs = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    several = e.groupBy("id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("id")
-    odd = e.join(several, e["id"].eqNullSafe(several["id"]), "left_semi")
+    hashes = e.groupBy(F.xxhash64("id").alias("h")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    suspects = e.withColumn("h", F.xxhash64("id")).filter(hashes.agg(F.count(F.lit(1))).scalar() > 0).join(hashes, "h", "left_semi")
+    several = suspects.groupBy("id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("id")
+    odd = suspects.join(several, suspects["id"].eqNullSafe(several["id"]), "left_semi")
 
     def end(name: str, a: str, b: str) -> DataFrame:
-        base = pairs.filter(F.col(a).isNotNull()).groupBy(F.col(a).alias("node_ref")).agg(F.sum("n").alias("n"), F.count(b).alias("n_peers"))
-        extra = odd.filter(F.col(a).isNotNull()).groupBy(a, "id").agg((F.count(F.lit(1)) - 1).alias("x")).filter("x > 0").groupBy(F.col(a).alias("node_ref")).agg((-F.sum("x")).alias("n"), F.lit(0).cast("long").alias("n_peers"))
+        base = pairs.filter(F.col(a).isNotNull()).groupBy(F.col(a).alias("ref")).agg(F.sum("n").alias("n"), F.count(b).alias("n_peers"))
+        extra = odd.filter(F.col(a).isNotNull()).groupBy(a, "id").agg((F.count(F.lit(1)) - 1).alias("x")).filter("x > 0").groupBy(F.col(a).alias("ref")).agg((-F.sum("x")).alias("n"), F.lit(0).cast("long").alias("n_peers"))
         return base.unionByName(extra).withColumn("edge_end", F.lit(name))
 
     both = end("src", "src", "dst").unionByName(end("dst", "dst", "src"))
-    return both.groupBy("edge_end", "node_ref").agg(F.sum("n").alias("n_edges"), F.sum("n_peers").alias("n_peers"))
+    return both.groupBy("edge_end", "ref").agg(F.sum("n").alias("n_edges"), F.sum("n_peers").alias("n_peers")).select("edge_end", unpack(F.col("ref")).alias("node_ref"), "n_edges", "n_peers")
