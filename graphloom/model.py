@@ -1,8 +1,9 @@
 """A graph as DataFrames: sources of nodes and edges, and the view queries read.
 
-A node source has ``vid``, its property columns and, unless all its rows carry the same labels, a
-column ``labels``. An edge source has ``src``, ``dst``, ``eid`` and its property columns, and a column
-``type`` unless all its rows are of one type. A scan touches only sources that can hold what is asked.
+A node source has ``vid``, its property columns (``p_<key>``) and, unless all its rows carry the same
+labels, a column ``labels``. An edge source has ``src``, ``dst``, ``eid`` and its property columns, and a
+column ``type`` unless all its rows are of one type. A scan touches only sources that can hold what is
+asked.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 from .catalog import TYPES, Catalog
 
 
+def column(key: str) -> str:
+    """The column of a property; apart from the structural ones, whatever the property's name."""
+    return f"p_{key}"
+
+
 @dataclass(frozen=True)
 class NodeSource:
     df: DataFrame
@@ -66,7 +72,7 @@ class GraphView:
             parts.append(df.select(*cols))
         if parts:
             return reduce(DataFrame.unionByName, parts)
-        schema = ["vid long", *(["labels array<string>"] if with_labels else []), *[f"`{k}` {TYPES.get(self.catalog.node_keys.get(k, ''), 'string')}" for k in keys], *[f"`{c}` string" for c in extra]]
+        schema = ["vid long", *(["labels array<string>"] if with_labels else []), *[f"`{column(k)}` {TYPES.get(self.catalog.node_keys.get(k, ''), 'string')}" for k in keys], *[f"`{c}` string" for c in extra]]
         return self.spark.createDataFrame([], ", ".join(schema))
 
     def edges(self, types: Sequence[str] | None = None, keys: Sequence[str] = (), with_type: bool = False) -> DataFrame:
@@ -86,13 +92,13 @@ class GraphView:
             parts.append(df.select(*cols))
         if parts:
             return reduce(DataFrame.unionByName, parts)
-        schema = ["src long", "dst long", "eid long", *(["type string"] if with_type else []), *[f"`{k}` {TYPES.get(self.catalog.edge_keys.get(k, ''), 'string')}" for k in keys]]
+        schema = ["src long", "dst long", "eid long", *(["type string"] if with_type else []), *[f"`{column(k)}` {TYPES.get(self.catalog.edge_keys.get(k, ''), 'string')}" for k in keys]]
         return self.spark.createDataFrame([], ", ".join(schema))
 
     @staticmethod
     def _key(have: Sequence[str], k: str, types: dict[str, str]):  # noqa: ANN205
         t = TYPES.get(types.get(k, ""), "string")
-        return (F.col(f"`{k}`").cast(t) if k in have else F.lit(None).cast(t)).alias(k)
+        return (F.col(f"`{column(k)}`").cast(t) if k in have else F.lit(None).cast(t)).alias(column(k))
 
     def end_labels(self, types: Sequence[str] | None, end: str) -> set[str]:
         """Labels that the ``src`` or ``dst`` of every such edge is known to carry."""
@@ -102,8 +108,8 @@ class GraphView:
 
 def view_of(spark: SparkSession, nodes: DataFrame, edges: DataFrame, catalog: Catalog, closed: bool = True) -> GraphView:
     """A view of two stored tables: nodes (vid, labels, keys), edges (eid, src, dst, type, keys)."""
-    n = NodeSource(nodes, (), tuple(catalog.labels), tuple(k for k in catalog.node_keys if k in nodes.columns))
+    n = NodeSource(nodes, (), tuple(catalog.labels), tuple(k for k in catalog.node_keys if column(k) in nodes.columns))
     types = tuple(catalog.edge_types)
     # a single type still has to be looked up in the column: rows may hold types the catalogue lacks
-    e = EdgeSource(edges, types if len(types) != 1 else (*types, ""), (), (), tuple(k for k in catalog.edge_keys if k in edges.columns))
+    e = EdgeSource(edges, types if len(types) != 1 else (*types, ""), (), (), tuple(k for k in catalog.edge_keys if column(k) in edges.columns))
     return GraphView(spark, catalog, [n], [e] if types else [], closed)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EvalError, PlanError
 from ..functions import scalars as sc
-from ..model import GraphView
+from ..model import GraphView, column
 from .syntax import AGGREGATES, Binary, Call, IsNull, Item, ListLit, Lit, NodePattern, Param, Pattern, Prop, RelPattern, Statement, Unary, Var
 from .walk import MAX_HOPS, reach
 
@@ -218,7 +218,7 @@ class Rows:
     def _scan(self, n: NodePattern) -> DataFrame:
         keys = sorted(self.plan.needs[n.alias])
         df = self.view.nodes(n.labels, keys, n.alias in self.plan.wants_labels)
-        cols = [F.col("vid").alias(self.id(n.alias))] + [F.col(f"`{k}`").alias(self.prop(n.alias, k)) for k in keys]
+        cols = [F.col("vid").alias(self.id(n.alias))] + [F.col(f"`{column(k)}`").alias(self.prop(n.alias, k)) for k in keys]
         if n.alias in self.plan.wants_labels:
             cols.append(F.array_sort("labels").alias(self.labels(n.alias)))
         return df.select(*cols)
@@ -245,8 +245,8 @@ class Rows:
 
     def _directed(self, r: RelPattern, keys: list[str]) -> DataFrame:
         e = self.view.edges(r.types or None, keys)
-        there = e.select(F.col("src").alias("\x1ffrom"), F.col("dst").alias("\x1fto"), "eid", *[F.col(f"`{k}`") for k in keys])
-        back = e.select(F.col("dst").alias("\x1ffrom"), F.col("src").alias("\x1fto"), "eid", *[F.col(f"`{k}`") for k in keys])
+        there = e.select(F.col("src").alias("\x1ffrom"), F.col("dst").alias("\x1fto"), "eid", *[F.col(f"`{column(k)}`") for k in keys])
+        back = e.select(F.col("dst").alias("\x1ffrom"), F.col("src").alias("\x1fto"), "eid", *[F.col(f"`{column(k)}`") for k in keys])
         return {"out": there, "in": back}.get(r.direction) or there.unionByName(back)
 
     def _join_target(self, node: NodePattern, again: bool, known: set[str]) -> None:
@@ -266,7 +266,7 @@ class Rows:
     def _Expand(self, source: str, rel: RelPattern, node: NodePattern, again: bool) -> None:  # noqa: N802
         keys = sorted(self.plan.needs[rel.alias])
         e = self._directed(rel, keys)
-        e = e.select("\x1ffrom", "\x1fto", F.col("eid").alias(self.id(rel.alias)), *[F.col(f"`{k}`").alias(self.prop(rel.alias, k)) for k in keys])
+        e = e.select("\x1ffrom", "\x1fto", F.col("eid").alias(self.id(rel.alias)), *[F.col(f"`{column(k)}`").alias(self.prop(rel.alias, k)) for k in keys])
         e = self._restrict_props(e, rel.alias, rel.props)
         if rel.alias.startswith(" "):
             e = e.drop(self.id(rel.alias))

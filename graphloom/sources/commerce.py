@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..model import EdgeSource, GraphView, NodeSource
+from ..model import EdgeSource, GraphView, NodeSource, column
 from .tables import table
 
 LABELS = ("Region", "Nation", "Customer", "Supplier", "Part", "Order", "User", "Event", "Document", "English", "Long")
@@ -32,13 +32,20 @@ def micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
+STRUCTURE = ("vid", "labels", "src", "dst", "eid")
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in STRUCTURE else column(c)) for c in df.columns])
+
+
 def commerce(spark: SparkSession, folder: str) -> GraphView:
     t = lambda name: table(spark, folder, name)
 
     def nodes(label: str, df: DataFrame, key: str, *cols: Column, varying: tuple[str, ...] = ()) -> NodeSource:
         id_name = {"r_regionkey": "regionkey", "n_nationkey": "nationkey", "c_custkey": "custkey", "s_suppkey": "suppkey", "p_partkey": "partkey", "o_orderkey": "orderkey", "user_id": "userid", "event_id": "eventid", "doc_id": "docid"}[key]
         out = df.select(vid(label, key).alias("vid"), F.col(key).cast("long").alias(id_name), *cols)
-        return NodeSource(out, (label,), varying, tuple(c for c in out.columns if c not in ("vid", "labels")))
+        return NodeSource(_named(out), (label,), varying, tuple(c for c in out.columns if c not in STRUCTURE))
 
     c = F.col
     docs = t("documents")
@@ -59,7 +66,7 @@ def commerce(spark: SparkSession, folder: str) -> GraphView:
 
     def edges(kind: str, df: DataFrame, src: Column, dst: Column, a: str, b: str, *cols: Column) -> EdgeSource:
         out = df.select(src.alias("src"), dst.alias("dst"), *cols)
-        return EdgeSource(out, (kind,), (a,), (b,), tuple(x for x in out.columns if x not in ("src", "dst", "eid")))
+        return EdgeSource(_named(out), (kind,), (a,), (b,), tuple(x for x in out.columns if x not in STRUCTURE))
 
     # the next event of the same user, by time
     after = F.expr("lead(struct(event_id, ts)) over (partition by user_id order by ts, event_id)")
@@ -90,7 +97,7 @@ def exported(spark: SparkSession, folder: str) -> GraphView:
     """
     n = table(spark, folder, "graph_nodes")
     last = n.groupBy("logical_id", "vid").agg(F.max_by(F.struct("labels", "props"), "loaded_at").alias("x"), F.max("deleted_at").alias("gone")).filter("gone is null")
-    keys = [F.get_json_object("x.props", f"$.{k}").try_cast({"int": "bigint", "double": "double", "string": "string"}[t]).alias(k) for k, t in EXPORT_KEYS.items()]
+    keys = [F.get_json_object("x.props", f"$.{k}").try_cast({"int": "bigint", "double": "double", "string": "string"}[t]).alias(column(k)) for k, t in EXPORT_KEYS.items()]
     nodes = last.select("vid", "logical_id", F.array_sort(F.coalesce("x.labels", F.array().cast("array<string>"))).alias("labels"), *keys)
     ids = last.select("logical_id", "vid")
     e = table(spark, folder, "graph_edges").select("logical_id", "edge_type", "src_logical_id", "dst_logical_id").distinct()
