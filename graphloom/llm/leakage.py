@@ -1,7 +1,7 @@
 """Find held-out evaluation items whose passages occur in a corpus.
 
-Every window of ``RUN`` words of an item gets a seed: its rarest n-gram, by the number of corpus
-documents that hold it. Documents that hold a seed are aligned with the item (Smith-Waterman on
+Seeds are the rare n-grams of an item, by the number of corpus documents that hold them; every window
+of ``RUN`` words has its rarest one as a seed, however frequent that is. Documents that hold a seed are aligned with the item (Smith-Waterman on
 words), which scores copies, edited ones too. A document with ``RUN`` consecutive words in common
 holds all n-grams of that window, so its seed: none is missed.
 
@@ -27,6 +27,8 @@ from .lookalike import Canonicaliser, rules
 
 GRAM = 5
 RUN = 13
+#: An n-gram is rare if at most so many documents hold it; copies with an edit in every window are found by these.
+RARE = 1000
 #: Items are taken in blocks of about so many words; the n-grams of a block are what is sent to executors.
 BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -178,15 +180,18 @@ def _blocks(items: DataFrame, words: Words) -> Iterator[list[tuple[int, list[str
 
 
 def _seeds(grams: dict[int, np.ndarray], df: dict[int, int]) -> dict[int, set[int]]:
-    """Rarest n-gram of every window of each item -> items. N-grams that no document holds don't count."""
+    """N-grams of each item that are rare, and the rarest of every window, however frequent -> items.
+
+    N-grams that no document holds don't count.
+    """
     out: dict[int, set[int]] = defaultdict(set)
     per = RUN - GRAM + 1
     for item, g in grams.items():
         gs = g.astype(np.int64).tolist()
         for i in range(len(gs) - per + 1):
             seen = [(df[x], x) for x in gs[i : i + per] if x in df]
-            if seen:
-                out[min(seen)[1]].add(item)
+            for _, x in {min(seen), *(y for y in seen if y[0] <= RARE)} if seen else ():
+                out[x].add(item)
     return out
 
 

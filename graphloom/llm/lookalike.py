@@ -225,11 +225,13 @@ def rules(counts: Mapping[str, int] | None = None) -> Rules:
     reps: dict[str, str] = {}
     for sk, ms in members.items():
         if len(_clusters(sk)) == 1:
-            reps[sk] = min({*ms, sk}, key=lambda m: (-counts.get(m, 0), len(m), m))
+            stable = [m for m in {*ms, sk} if ud.normalize("NFC", m) == m]
+            reps[sk] = min(stable or [ud.normalize("NFC", sk)], key=lambda m: (-counts.get(m, 0), len(m), m))
     for sk in members:
         if sk not in reps:
             reps[sk] = "".join(reps.get(c, c) for c in _clusters(sk))
-    rewrite = {m: reps[sk] for m, sk in skeleton.items() if m != reps[sk] and len(_clusters(m)) == 1}
+    # a representative of several characters is matched too, lest its first one be rewritten
+    rewrite = {m: reps[sk] for m, sk in skeleton.items() if len(_clusters(m)) == 1 and (m != reps[sk] or len(m) > 1)}
     touched = {c for m in rewrite for c in m if not c.isascii() or m.isascii()}
     return Rules(rewrite, "".join(sorted(touched | set(_normal_changes()))), invisible_class())
 
