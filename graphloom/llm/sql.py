@@ -1,7 +1,46 @@
-"""Plain SQL for the text queries, where it can express them."""
+"""Plain SQL for the text queries, where it can express them.
+
+The consistent form is written there with DuckDB's own string functions: invisible characters are
+dropped, joined forms written out, look-alikes translated one by one, and the rest composed. Token
+ids, alignment scores and hashed class ids have no SQL; tests hold them against plain loops.
+"""
 
 from __future__ import annotations
 
+import unicodedata as ud
+
+from .lookalike import classes, invisible_class
+
+JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def form_sql(text: str) -> str:
+    """An SQL expression for the consistent form of the expression ``text``."""
+    skeleton, _ = classes()
+    pairs = {m: s for m, sk in skeleton.items() if len(m) == 1 and (ord(m) < 0x2100 or 0xFF00 <= ord(m) <= 0xFF60 or m == "　" or m == "K") and len(s := ud.normalize("NFC", sk)) == 1 and s != m}
+    hidden = "".join(rf"\x{{{a}}}-\x{{{b}}}" if b else rf"\x{{{a}}}" for a, _, b in (x.partition("-") for x in _spans(invisible_class())))
+    out = f"nfc_normalize(regexp_replace({text}, '[{hidden}]', '', 'g'))"
+    for a, b in JOINED.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"nfc_normalize(translate({out}, {_quoted(''.join(pairs))}, {_quoted(''.join(pairs.values()))}))"
+
+
+def _spans(cls: str) -> list[str]:
+    inside = cls[1:-2].split("\\U")[1:]  # \Uaaaaaaaa-\Ubbbbbbbb
+    return [f"{int(inside[i].rstrip('-'), 16):x}-{int(inside[i + 1], 16):x}" for i in range(0, len(inside), 2)]
+
+
+def _words(table: str, key: str) -> str:
+    twice = form_sql("lower(f)")
+    return f"(select distinct {key}, w[i : i + 12] as g from (select {key}, w, unnest(range(1, len(w) - 11)) as i from (select {key}, regexp_extract_all({twice}, '[\\p{{L}}\\p{{N}}]+') as w from (select {key}, {form_sql('text')} as f from {table} where text <> ''))))"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p7_found": f"select distinct d.doc_id, e.item_id from {_words('documents', 'doc_id')} d join {_words('eval_items', 'item_id')} e using (g)",
+        "p8_found": f"with c as (select doc_id, text, {form_sql('text')} as f from documents where text <> '') select a.doc_id as doc_id_a, b.doc_id as doc_id_b from c a join c b on a.f = b.f and a.doc_id < b.doc_id and a.text <> b.text",
+    }
