@@ -30,7 +30,7 @@ def find_nodes(view: GraphView, key: str, value: Any, label: str | None = None)
         return df.filter(F.array_contains("null_keys", key) if dict(df.dtypes)["null_keys"].startswith("array") else F.lit(False)).select("vid").orderBy("vid")
     if view.catalog.node_keys.get(key) != type_of(value):
         return view.nodes(labels).limit(0)
-    return view.nodes(labels, (key,)).filter(F.col(f"`{column(key)}`") == F.lit(value).cast(TYPES[type_of(value)])).select("vid").orderBy("vid")
+    return view.nodes(labels, (key,), having=key).filter(F.col(f"`{column(key)}`") == F.lit(value).cast(TYPES[type_of(value)])).select("vid").orderBy("vid")
 
 
 def find_node(view: GraphView, key: str, value: Any, label: str | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def neighbours(view: GraphView, vids: DataFrame, direction: str = "out", types:
 
 def property_values(view: GraphView, key: str, labels: Sequence[str] = ()) -> DataFrame:
     """(vid, value) of every node that has the property."""
-    return view.nodes(labels, (key,)).select("vid", F.col(f"`{column(key)}`").alias("value")).filter("value is not null")
+    return view.nodes(labels, (key,), having=key).select("vid", F.col(f"`{column(key)}`").alias("value")).filter("value is not null")
 
 
 def counts(view: GraphView) -> DataFrame:

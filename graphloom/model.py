@@ -8,7 +8,7 @@ asked.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,9 +23,19 @@ def column(key: str) -> str:
     return f"p_{key}"
 
 
+class _Lazy:
+    """A source's table, made when a query first needs it."""
+
+    @property
+    def df(self) -> DataFrame:
+        if callable(self.table):
+            object.__setattr__(self, "table", self.table())
+        return self.table
+
+
 @dataclass(frozen=True)
-class NodeSource:
-    df: DataFrame
+class NodeSource(_Lazy):
+    table: DataFrame | Callable[[], DataFrame]
     fixed: tuple[str, ...]  # labels every row carries
     varying: tuple[str, ...] = ()  # further labels rows may carry, in the column labels
     keys: tuple[str, ...] = ()
@@ -35,8 +45,8 @@ class NodeSource:
 
 
 @dataclass(frozen=True)
-class EdgeSource:
-    df: DataFrame
+class EdgeSource(_Lazy):
+    table: DataFrame | Callable[[], DataFrame]
     types: tuple[str, ...]  # one: all rows are of it; several: see the column type
     src: tuple[str, ...] = ()  # labels that all start nodes, all end nodes carry
     dst: tuple[str, ...] = ()
@@ -54,11 +64,14 @@ class GraphView:
     closed: bool = True
     extra: dict = field(default_factory=dict)
 
-    def nodes(self, labels: Sequence[str] = (), keys: Sequence[str] = (), with_labels: bool = False, extra: Sequence[str] = ()) -> DataFrame:
-        """vid [, labels], keys and stored columns ``extra`` of nodes that carry all ``labels``."""
+    def nodes(self, labels: Sequence[str] = (), keys: Sequence[str] = (), with_labels: bool = False, extra: Sequence[str] = (), having: str | None = None) -> DataFrame:
+        """vid [, labels], keys and stored columns ``extra`` of nodes that carry all ``labels``.
+
+        With ``having``, sources that don't have this key at all are left out.
+        """
         parts = []
         for s in self.node_sources:
-            if not s.may_hold(labels):
+            if not s.may_hold(labels) or (having is not None and having not in s.keys):
                 continue
             df = s.df
             for x in labels:

@@ -217,7 +217,9 @@ class Rows:
 
     def _scan(self, n: NodePattern) -> DataFrame:
         keys = sorted(self.plan.needs[n.alias])
-        df = self.view.nodes(n.labels, keys, n.alias in self.plan.wants_labels)
+        # a source without a key that has to equal something that isn't null can give no row
+        sure = [k for k, v in n.props.items() if isinstance(v, Lit) and v.value is not None and k in keys]
+        df = self.view.nodes(n.labels, keys, n.alias in self.plan.wants_labels, having=sure[0] if sure else None)
         cols = [F.col("vid").alias(self.id(n.alias))] + [F.col(f"`{column(k)}`").alias(self.prop(n.alias, k)) for k in keys]
         if n.alias in self.plan.wants_labels:
             cols.append(F.array_sort("labels").alias(self.labels(n.alias)))

@@ -32,59 +32,80 @@ def micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-STRUCTURE = ("vid", "labels", "src", "dst", "eid")
-
-
-def _named(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c in STRUCTURE else column(c)) for c in df.columns])
+# label -> (table, its key, properties as name = column)
+NODES = {
+    "Region": ("region", "r_regionkey", "regionkey=r_regionkey name=r_name"),
+    "Nation": ("nation", "n_nationkey", "nationkey=n_nationkey name=n_name"),
+    "Customer": ("customer", "c_custkey", "custkey=c_custkey name=c_name acctbal=c_acctbal mktsegment=c_mktsegment"),
+    "Supplier": ("supplier", "s_suppkey", "suppkey=s_suppkey name=s_name acctbal=s_acctbal"),
+    "Part": ("part", "p_partkey", "partkey=p_partkey name=p_name brand=p_brand type=p_type size=p_size retailprice=p_retailprice"),
+    "Order": ("orders", "o_orderkey", "orderkey=o_orderkey status=o_orderstatus totalprice=o_totalprice orderdate=o_orderdate priority=o_orderpriority"),
+    "User": ("events", "user_id", "userid=user_id"),
+    "Event": ("events", "event_id", "eventid=event_id ts=ts etype=event_type value=value"),
+    "Document": ("documents", "doc_id", "docid=doc_id lang=lang source=source nchars=n_chars author=author"),
+}
+# type, table, start's label and column, end's label and column, properties; the tables of NEXT and PARENT are derived
+EDGES = [
+    ("IN_REGION", "nation", "Nation", "n_nationkey", "Region", "n_regionkey", ""),
+    ("LOCATED_IN", "customer", "Customer", "c_custkey", "Nation", "c_nationkey", ""),
+    ("LOCATED_IN", "supplier", "Supplier", "s_suppkey", "Nation", "s_nationkey", ""),
+    ("PLACED", "orders", "Customer", "o_custkey", "Order", "o_orderkey", ""),
+    ("CONTAINS", "lineitem", "Order", "l_orderkey", "Part", "l_partkey", "linenumber=l_linenumber suppkey=l_suppkey quantity=l_quantity extendedprice=l_extendedprice discount=l_discount tax=l_tax returnflag=l_returnflag linestatus=l_linestatus shipdate=l_shipdate"),
+    ("SUPPLIES", "lineitem", "Supplier", "l_suppkey", "Part", "l_partkey", ""),
+    ("DID", "events", "User", "user_id", "Event", "event_id", ""),
+    ("NEXT", "events", "Event", "event_id", "Event", "next_id", "gap=gap"),
+    ("PARENT", "documents", "Document", "doc_id", "Document", "parent", ""),
+]
+TIMES = ("orderdate", "ts", "shipdate")
+
+
+def _pairs(text: str) -> list[tuple[str, str]]:
+    return [tuple(x.split("=")) for x in text.split()]
+
+
+def _props(text: str, types: dict[str, str]) -> list[Column]:
+    spark_types = {"int": "bigint", "double": "double", "string": "string"}
+    return [(micros(col) if name in TIMES else F.col(col).cast(spark_types[types[name]])).alias(column(name)) for name, col in _pairs(text)]
 
 
 def commerce(spark: SparkSession, folder: str) -> GraphView:
-    t = lambda name: table(spark, folder, name)
-
-    def nodes(label: str, df: DataFrame, key: str, *cols: Column, varying: tuple[str, ...] = ()) -> NodeSource:
-        id_name = {"r_regionkey": "regionkey", "n_nationkey": "nationkey", "c_custkey": "custkey", "s_suppkey": "suppkey", "p_partkey": "partkey", "o_orderkey": "orderkey", "user_id": "userid", "event_id": "eventid", "doc_id": "docid"}[key]
-        out = df.select(vid(label, key).alias("vid"), F.col(key).cast("long").alias(id_name), *cols)
-        return NodeSource(_named(out), (label,), varying, tuple(c for c in out.columns if c not in STRUCTURE))
-
-    c = F.col
-    docs = t("documents")
-    nation, customer, supplier, orders, line, events = t("nation"), t("customer"), t("supplier"), t("orders"), t("lineitem"), t("events")
-    users = events.filter("user_id is not null").select("user_id").distinct()
-    doc_labels = F.array_sort(F.array_compact(F.array(F.lit("Document"), F.when(c("lang") == "en", "English"), F.when(c("n_chars") >= 1000, "Long"))))
-    node_sources = [
-        nodes("Region", t("region"), "r_regionkey", c("r_name").alias("name")),
-        nodes("Nation", nation, "n_nationkey", c("n_name").alias("name")),
-        nodes("Customer", customer, "c_custkey", c("c_name").alias("name"), c("c_acctbal").cast("double").alias("acctbal"), c("c_mktsegment").alias("mktsegment")),
-        nodes("Supplier", supplier, "s_suppkey", c("s_name").alias("name"), c("s_acctbal").cast("double").alias("acctbal")),
-        nodes("Part", t("part"), "p_partkey", c("p_name").alias("name"), c("p_brand").alias("brand"), c("p_type").alias("type"), c("p_size").cast("long").alias("size"), c("p_retailprice").cast("double").alias("retailprice")),
-        nodes("Order", orders, "o_orderkey", c("o_orderstatus").alias("status"), c("o_totalprice").cast("double").alias("totalprice"), micros("o_orderdate").alias("orderdate"), c("o_orderpriority").alias("priority")),
-        nodes("User", users, "user_id"),
-        nodes("Event", events, "event_id", micros("ts").alias("ts"), c("event_type").alias("etype"), c("value").cast("double").alias("value")),
-        nodes("Document", docs, "doc_id", c("lang"), c("source"), c("n_chars").cast("long").alias("nchars"), c("author"), doc_labels.alias("labels"), varying=("English", "Long")),
-    ]
-
-    def edges(kind: str, df: DataFrame, src: Column, dst: Column, a: str, b: str, *cols: Column) -> EdgeSource:
-        out = df.select(src.alias("src"), dst.alias("dst"), *cols)
-        return EdgeSource(_named(out), (kind,), (a,), (b,), tuple(x for x in out.columns if x not in STRUCTURE))
-
-    # the next event of the same user, by time
-    after = F.expr("lead(struct(event_id, ts)) over (partition by user_id order by ts, event_id)")
-    nexts = events.filter("user_id is not null").select("event_id", "ts", after.alias("n")).filter("n is not null")
-    parents = docs.filter("parent_sha is not null").select("doc_id", c("parent_sha").alias("sha")).join(docs.filter("commit_sha is not null").select(c("doc_id").alias("parent"), c("commit_sha").alias("sha")), "sha")
-    edge_sources = [
-        edges("IN_REGION", nation, vid("Nation", "n_nationkey"), vid("Region", "n_regionkey"), "Nation", "Region"),
-        edges("LOCATED_IN", customer, vid("Customer", "c_custkey"), vid("Nation", "c_nationkey"), "Customer", "Nation"),
-        edges("LOCATED_IN", supplier, vid("Supplier", "s_suppkey"), vid("Nation", "s_nationkey"), "Supplier", "Nation"),
-        edges("PLACED", orders, vid("Customer", "o_custkey"), vid("Order", "o_orderkey"), "Customer", "Order"),
-        edges("CONTAINS", line, vid("Order", "l_orderkey"), vid("Part", "l_partkey"), "Order", "Part", c("l_linenumber").cast("long").alias("linenumber"), c("l_suppkey").cast("long").alias("suppkey"), *[c(f"l_{x}").cast("double").alias(x) for x in ("quantity", "extendedprice", "discount", "tax")], c("l_returnflag").alias("returnflag"), c("l_linestatus").alias("linestatus"), micros("l_shipdate").alias("shipdate")),
-        edges("SUPPLIES", line.select("l_suppkey", "l_partkey").distinct(), vid("Supplier", "l_suppkey"), vid("Part", "l_partkey"), "Supplier", "Part"),
-        edges("DID", events.filter("user_id is not null"), vid("User", "user_id"), vid("Event", "event_id"), "User", "Event"),
-        edges("NEXT", nexts, vid("Event", "event_id"), vid("Event", c("n.event_id")), "Event", "Event", (F.unix_micros(c("n.ts").cast("timestamp")) - micros("ts")).alias("gap")),
-        edges("PARENT", parents, vid("Document", "doc_id"), vid("Document", "parent"), "Document", "Document"),
-    ]
+    """Tables are opened when a query first needs them."""
+
+    def nodes(label: str) -> NodeSource:
+        name, key, props = NODES[label]
+
+        def make() -> DataFrame:
+            t = table(spark, folder, name)
+            if label == "User":
+                t = t.filter("user_id is not null").select("user_id").distinct()
+            cols = [vid(label, key).alias("vid"), *_props(props, NODE_KEYS)]
+            if label == "Document":
+                has = F.array(F.lit("Document"), F.when(F.col("lang") == "en", "English"), F.when(F.col("n_chars") >= 1000, "Long"))
+                cols.append(F.array_sort(F.array_compact(has)).alias("labels"))
+            return t.select(*cols)
+
+        return NodeSource(make, (label,), ("English", "Long") if label == "Document" else (), tuple(k for k, _ in _pairs(props)))
+
+    def edges(kind: str, name: str, a: str, src: str, b: str, dst: str, props: str) -> EdgeSource:
+        def make() -> DataFrame:
+            t = table(spark, folder, name)
+            if kind == "SUPPLIES":
+                t = t.select(src, dst).distinct()
+            elif kind == "DID":
+                t = t.filter("user_id is not null")
+            elif kind == "NEXT":  # the next event of the same user, by time
+                after = F.expr("lead(struct(event_id, ts)) over (partition by user_id order by ts, event_id)")
+                t = t.filter("user_id is not null").select("event_id", "ts", after.alias("n")).filter("n is not null")
+                t = t.select("event_id", F.col("n.event_id").alias("next_id"), (F.unix_micros(F.col("n.ts").cast("timestamp")) - micros("ts")).alias("gap"))
+            elif kind == "PARENT":
+                of = t.filter("commit_sha is not null").select(F.col("doc_id").alias("parent"), F.col("commit_sha").alias("sha"))
+                t = t.filter("parent_sha is not null").select("doc_id", F.col("parent_sha").alias("sha")).join(of, "sha")
+            return t.select(vid(a, src).alias("src"), vid(b, dst).alias("dst"), *_props(props, EDGE_KEYS))
+
+        return EdgeSource(make, (kind,), (a,), (b,), tuple(k for k, _ in _pairs(props)))
+
     cat = Catalog(dict(NODE_KEYS), dict(EDGE_KEYS), list(LABELS), list(TYPES))
-    return GraphView(spark, cat, node_sources, edge_sources)
+    return GraphView(spark, cat, [nodes(x) for x in NODES], [edges(*x) for x in EDGES])
 
 
 EXPORT_KEYS = {"name": "string", "age": "int", "city": "string", "score": "double"}
