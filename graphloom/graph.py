@@ -428,6 +428,90 @@ class Graph:
         self._advance(Version(self.version.nodes, with_columns(self.version.edges, cat.edge_keys).unionByName(with_columns(add, cat.edge_keys)), cat, 0, self.version.deltas + 1), lsn)
         return n
 
+    def bulk_import(self, nodes: DataFrame, edges: DataFrame | None = None) -> tuple[int, int]:
+        """Add nodes (logical_id, labels, p_<key>...) and edges (src, dst: logical ids, type, p_<key>...) as one transaction.
+
+        Ends may be nodes of the graph or of the import. Null values are not set. A logical id that is
+        null, given twice or there already, a node without labels, and an end that names no node are
+        errors, and then nothing is imported. Returns the numbers of nodes and edges.
+        """
+        from .replay import apply_log, names_in
+        from .session import written
+
+        self._writable()
+        cat = self.catalog.copy()
+        back = {"bigint": "int", "int": "int", "double": "double", "boolean": "bool", "string": "string"}
+
+        def keys(df: DataFrame, owner: str) -> list[str]:
+            out = []
+            for c, t in df.dtypes:
+                if c.startswith("p_"):
+                    cat.declare(owner, c[2:], back.get(t) or "")
+                    out.append(c[2:])
+            return out
+
+        def sets(df: DataFrame, i: str, names: Sequence[str], op: str) -> list[DataFrame]:
+            out = []
+            for k in names:
+                v = F.to_json(F.struct(F.col(f"`{column(k)}`").alias("v")))
+                out.append(df.filter(F.col(f"`{column(k)}`").isNotNull()).select(F.lit(op).alias("op"), i, F.lit(k).alias("key"), F.substring(v, F.lit(6), F.length(v) - 6).alias("value")))
+            return out
+
+        nk = keys(nodes, "node")
+        n = written(nodes.select("logical_id", F.array_sort(F.array_distinct("labels")).alias("labels"), *[f"`{column(k)}`" for k in nk]).withColumn("vid", F.monotonically_increasing_id() + self.next_vid), "import")
+        if n.filter("logical_id is null or coalesce(size(labels), 0) <= 0").limit(1).count():
+            raise DataError("an imported node has no logical id or no label")
+        ids = n.select("logical_id", "vid").unionByName(self.version.nodes.select("logical_id", "vid"))
+        if n.groupBy("logical_id").count().filter("count > 1").limit(1).count() or n.join(self.version.nodes, "logical_id", "left_semi").limit(1).count():
+            raise ConstraintViolation("an imported logical id is given twice or exists")
+        parts = [n.select(F.lit("AddNode").alias("op"), "vid", "logical_id", "labels"), *sets(n, "vid", nk, "SetNodeProp")]
+        n_edges = 0
+        if edges is not None:
+            ek = keys(edges, "edge")
+            e = edges.select(F.col("src").alias("s"), F.col("dst").alias("d"), "type", *[f"`{column(k)}`" for k in ek])
+            for end, to in (("s", "src"), ("d", "dst")):
+                e = e.join(ids.select(F.col("logical_id").alias(end), F.col("vid").alias(to)), end, "left")
+            e = written(e.withColumn("eid", F.monotonically_increasing_id() + self.next_eid), "import")
+            if e.filter("src is null or dst is null or type is null").limit(1).count():
+                raise NotFound("an imported edge names no node or no type")
+            parts += [e.select(F.lit("AddEdge").alias("op"), "eid", "src", "dst", "type", F.uuid().alias("logical_id")), *sets(e, "eid", ek, "SetEdgeProp")]
+            n_edges, top = e.agg(F.count(F.lit(1)), F.max("eid")).first()
+            self.next_eid = max(self.next_eid, -1 if top is None else top + 1, 0)
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p, allowMissingColumns=True)
+        before = self.version, self.txn
+        log, lsn = self._log_rows(rows)
+        v = apply_log(self.version, log, names_in(log, cat))
+        try:
+            self._check(v, list(self.constraints.values()))
+        except ConstraintViolation:
+            remove(self.spark, f"{self.path}/log/{self.txn:019d}")
+            self.version, self.txn = before
+            raise
+        n_nodes, top = n.agg(F.count(F.lit(1)), F.max("vid")).first()
+        self.next_vid = max(self.next_vid, -1 if top is None else top + 1, 0)
+        self._advance(Version(v.nodes, v.edges, v.catalog, lsn, before[0].deltas + 1), lsn)
+        return n_nodes, n_edges
+
+    def add_edge_if_absent(self, src: int, dst: int, edge_type: str) -> int | None:
+        """Add an edge unless one of the type runs from ``src`` to ``dst``; its id, or None."""
+        e = self.version.edges
+        if e.filter((F.col("src") == src) & (F.col("dst") == dst) & (F.col("type") == edge_type)).limit(1).count():
+            return None
+        return self.transact(lambda t: t.add_edge(src, dst, edge_type))
+
+    def replace_edge(self, src: int, dst: int, edge_type: str) -> int:
+        """Make ``src`` -> ``dst`` the only edge of the type that leaves ``src``, in one transaction."""
+        old = [r.eid for r in self.version.edges.filter((F.col("src") == src) & (F.col("type") == edge_type)).select("eid").collect()]
+
+        def body(t: Txn) -> int:
+            for eid in old:
+                t.del_edge(eid)
+            return t.add_edge(src, dst, edge_type)
+
+        return self.transact(body)
+
     def _log_rows(self, rows: DataFrame) -> tuple[DataFrame, int]:
         """Write a transaction of DataFrame size; numbers ascend within it and may have gaps."""
         txn = self.txn + 1

@@ -156,3 +156,42 @@ def test_generators(spark) -> None:  # noqa: ANN001
     c = HybridClock("x", lambda: 10)
     a, b = c.tick(), c.tick(Stamp(12, 4, "y"))
     assert a < b == Stamp(12, 5, "x") and c.tick() == Stamp(12, 6, "x")
+
+
+def test_import(spark) -> None:  # noqa: ANN001
+    g = Graph.empty(spark)
+    g.transact(lambda t: t.add_node(["City"], {"name": "Oslo"}, "oslo"))
+    nodes = spark.createDataFrame([("a", ["P", "Q", "P"], "Ann", 3), ("b", ["P"], None, 4)], "logical_id string, labels array<string>, p_name string, p_n long")
+    edges = spark.createDataFrame([("a", "b", "knows", 1.5), ("b", "oslo", "livesIn", None), ("a", "b", "knows", 2.5)], "src string, dst string, type string, p_w double")
+    assert g.bulk_import(nodes, edges) == (2, 3)
+    assert sorted(tuple(r) for r in g.execute("MATCH (x:P)-[r]->(y) RETURN x.n AS n, y.name AS m, r.w AS w").collect() if r.w) == [(3, None, 1.5), (3, None, 2.5)]
+    assert g.execute("MATCH (x:Q) RETURN labels(x) AS l, x.name AS m").first().asDict() == {"l": ["P", "Q"], "m": "Ann"}
+    again = Graph.open(spark, g.path)
+    assert table(again.version.nodes) == table(g.version.nodes) and table(again.version.edges) == table(g.version.edges)
+    before = table(g.version.nodes)
+    for bad_nodes, bad_edges, error in (
+        (nodes, None, ConstraintViolation),
+        (nodes.limit(1).selectExpr("'z' as logical_id", "array() as labels"), None, DataError),
+        (nodes.limit(0), edges.selectExpr("src", "'nowhere' as dst", "type"), NotFound),
+        (nodes.limit(1).selectExpr("'y' as logical_id", "labels", "p_n as p_name"), None, SchemaError),
+    ):
+        with pytest.raises(error):
+            g.bulk_import(bad_nodes, bad_edges)
+    assert table(g.version.nodes) == before
+
+
+def test_schema_and_single_edges(spark) -> None:  # noqa: ANN001
+    from graphloom.schema import GraphSchema
+
+    g = Graph.empty(spark)
+    s = GraphSchema(g, ["P", "C"], ["worksAt"], {"name": "string", "score": "double"})
+    a, b, c = s.add("P", {"name": "Ann", "score": 2}), s.add("C", {"name": "Co"}), s.add("C", {"name": "Do"})
+    for bad in (lambda: s.add("X"), lambda: s.add("P", {"nope": 1}), lambda: s.add("P", {"score": "x"}), lambda: s.connect(a, b, "x"), lambda: GraphSchema(g, [], [], {"name": "int"})):
+        with pytest.raises(SchemaError):
+            bad()
+    assert s.find("P", "score", 2) == a and s.find("C", "name", "Ann") is None and s.find_all("C", "name", "Co").count() == 1
+    s.connect(a, b, "worksAt")
+    assert g.add_edge_if_absent(a, b, "worksAt") is None and g.add_edge_if_absent(b, c, "worksAt") is not None
+    g.replace_edge(a, c, "worksAt")
+    assert [r.neighbour for r in s.neighbours(a, "worksAt").collect()] == [c]
+    assert {r.neighbour for r in s.neighbours(c, "worksAt", "in").collect()} == {a, b}
