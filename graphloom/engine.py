@@ -84,6 +84,41 @@ def _tailed(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{out}/rows").groupBy("op").agg(F.countDistinct("lsn").alias("n"), F.count(F.lit(1)).alias("delivered"))
 
 
+def _card(s: SparkSession, d: str) -> DataFrame:
+    """What surrounds every person: out-neighbours by edge type, and who knows them."""
+    v = exported(s, d)
+    people = v.nodes(("Person",))
+    out = api.neighbours(v, people).select("vid", F.concat(F.lit("out "), "type").alias("side"), "neighbour")
+    known = api.neighbours(v, people, "in", ["knows"]).select("vid", F.lit("known by").alias("side"), "neighbour")
+    return out.unionByName(known).groupBy("vid", "side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("neighbour").alias("who"))
+
+
+def _staff(s: SparkSession, d: str) -> DataFrame:
+    v = exported(s, d)
+    return api.neighbours(v, v.nodes(("Company",)), "in", ["worksAt", "founded"]).groupBy("vid", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _imported(s: SparkSession, d: str) -> DataFrame:
+    """Regions, nations and suppliers imported by logical ids into an empty graph."""
+    r, n, p = (table(s, d, x) for x in ("region", "nation", "supplier"))
+    key = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    arr = lambda x: F.array(F.lit(x)).alias("labels")
+    nodes = r.select(key("r", "r_regionkey").alias("logical_id"), arr("Region"), F.col("r_name").alias(column("name")))
+    nodes = nodes.unionByName(n.select(key("n", "n_nationkey").alias("logical_id"), arr("Nation"), F.col("n_name").alias(column("name"))))
+    nodes = nodes.unionByName(p.select(key("s", "s_suppkey").alias("logical_id"), arr("Supplier"), F.col("s_name").alias(column("name")), F.col("s_acctbal").alias(column("acctbal"))), allowMissingColumns=True)
+    edges = n.select(key("n", "n_nationkey").alias("src"), key("r", "n_regionkey").alias("dst"), F.lit("IN_REGION").alias("type"))
+    edges = edges.unionByName(p.select(key("s", "s_suppkey").alias("src"), key("n", "s_nationkey").alias("dst"), F.lit("LOCATED_IN").alias("type")))
+    g = Graph.empty(s)
+    g.bulk_import(nodes, edges)
+    return g.execute("MATCH (s:Supplier)-[:LOCATED_IN]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, COUNT(*) AS n, SUM(s.acctbal) AS v")
+
+
+def _id_map(s: SparkSession, d: str) -> DataFrame:
+    """(remote_id, logical_id): the last remote id each node was given."""
+    n = table(s, d, "graph_nodes").filter("remote_id is not null")
+    return n.groupBy("logical_id").agg(F.max_by("remote_id", F.struct("loaded_at", "remote_id")).alias("remote_id"))
+
+
 def _nodes_of(s: SparkSession, d: str) -> DataFrame:
     return commerce(s, d).nodes((), ("name", "mktsegment", "author"), True)
 
@@ -132,6 +167,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sync_seed_nodes": lambda s, d: api.export_nodes(exported(s, d)).select("logical_id", "labels"),
         "sync_seed_edges": lambda s, d: api.export_edges(exported(s, d)).select("src", "dst", "type"),
         "export_subgraph": lambda s, d: api.export_nodes(exported(s, d), ["Topic", "Device"]).select("logical_id", "labels"),
+        "sync_id_map": _id_map,
+        "bulk_import": _imported,
+        "person_card": _card,
+        "company_staff": _staff,
         "stream_log_tail": _tailed,
         "rmat_stats": lambda s, d: rmat(s, 14, 100_000).agg(F.count(F.lit(1)).alias("edges"), (F.max(F.greatest("src", "dst")) < 1 << 14).alias("inside"), (F.min(F.least("src", "dst")) >= 0).alias("natural")),
     }
@@ -186,6 +225,10 @@ def oracle_sql() -> dict[str, str]:
         "sync_seed_nodes": f"with {_LIVE} select logical_id, list_sort(coalesce(labels, [])) as labels from live",
         "sync_seed_edges": f"with {_LIVE} select src, dst, edge_type as type from e",
         "export_subgraph": f"with {_LIVE} select logical_id, list_sort(labels) as labels from live where list_has_any(labels, ['Topic', 'Device'])",
+        "sync_id_map": "select logical_id, arg_max(remote_id, (loaded_at, remote_id)) as remote_id from graph_nodes where remote_id is not null group by 1",
+        "bulk_import": "select r_name as region, count(*) as n, sum(s_acctbal) as v from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1",
+        "person_card": f"with {_LIVE}, p as (select vid from live where list_contains(labels, 'Person')), x as (select src as vid, 'out ' || edge_type as side, dst as o from e join p on vid = src union all select dst, 'known by', src from e join p on vid = dst where edge_type = 'knows') select vid, side, count(*) as n, count(distinct o) as who from x group by all",
+        "company_staff": f"with {_LIVE} select dst as vid, edge_type as type, count(*) as n from e join live on vid = dst where list_contains(labels, 'Company') and edge_type in ('worksAt', 'founded') group by all",
         "stream_log_tail": "select op, count(distinct lsn) as n, count(*) as delivered from wal_ops group by 1",
         "rmat_stats": "select 100000 as edges, true as inside, true as natural",
     }
