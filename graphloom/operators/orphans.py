@@ -21,6 +21,11 @@ def reference_key(ref: Column) -> Column:
     return F.coalesce(uuid, F.concat(F.encode(F.lit("r"), "UTF-8"), F.encode(ref, "UTF-8")))
 
 
+def node_names(logical_id: Column, vid: Column) -> Column:
+    """The keys a node can be named by, exploded: its id and ``local-<vid>``; null where it lacks one."""
+    return F.explode(F.array(reference_key(logical_id), reference_key(F.concat(F.lit("local-"), vid.cast("string")))))
+
+
 def parent_intervals(nodes: DataFrame) -> DataFrame:
     """(key, deleted_at, loaded_at), one row per key a node can be named by: its id and ``local-<vid>``.
 
@@ -28,8 +33,7 @@ def parent_intervals(nodes: DataFrame) -> DataFrame:
     named by ``vid`` alone, and the other way round.
     """
     one = nodes.groupBy("logical_id", "vid").agg(F.min("deleted_at").alias("deleted_at"), F.min("loaded_at").alias("loaded_at"))
-    local = F.concat(F.lit("local-"), F.col("vid").cast("string"))
-    named = one.select(F.explode(F.array(reference_key(F.col("logical_id")), reference_key(local))).alias("key"), "deleted_at", "loaded_at")
+    named = one.select(node_names(F.col("logical_id"), F.col("vid")).alias("key"), "deleted_at", "loaded_at")
     return named.filter("key is not null").groupBy("key").agg(F.min("deleted_at").alias("deleted_at"), F.min("loaded_at").alias("loaded_at"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..model import EdgeSource, GraphView, NodeSource, column
+from ..operators.orphans import node_names, reference_key
 from .tables import table
 
 LABELS = ("Region", "Nation", "Customer", "Supplier", "Part", "Order", "User", "Event", "Document", "English", "Long")
@@ -114,18 +115,21 @@ EXPORT_KEYS = {"name": "string", "age": "int", "city": "string", "score": "doubl
 def exported(spark: SparkSession, folder: str) -> GraphView:
     """The exported nodes and edges as a graph: the last load of each node that is not deleted.
 
-    Edges whose ends are written in another way than their node's id, or that have none, dangle.
+    An edge's end names a node by its id in any spelling of the UUID or by ``local-<vid>``. Edges with an
+    end that names none of these nodes dangle and are left out; repeated edges count once.
     """
     n = table(spark, folder, "graph_nodes")
     last = n.groupBy("logical_id", "vid").agg(F.max_by(F.struct("labels", "props"), "loaded_at").alias("x"), F.max("deleted_at").alias("gone")).filter("gone is null")
     keys = [F.get_json_object("x.props", f"$.{k}").try_cast({"int": "bigint", "double": "double", "string": "string"}[t]).alias(column(k)) for k, t in EXPORT_KEYS.items()]
     nodes = last.select("vid", "logical_id", F.array_sort(F.coalesce("x.labels", F.array().cast("array<string>"))).alias("labels"), *keys)
-    ids = last.select("logical_id", "vid")
-    e = table(spark, folder, "graph_edges").select("logical_id", "edge_type", "src_logical_id", "dst_logical_id").distinct()
+    names = last.select(node_names(F.col("logical_id"), F.col("vid")).alias("key"), "vid").filter("key is not null").distinct()
+    end = lambda c: reference_key(F.col(f"{c}_logical_id")).alias(f"{c}_key")
+    e = table(spark, folder, "graph_edges").select("logical_id", "edge_type", end("src"), end("dst"))
     edges = (
-        e.join(ids.select(F.col("logical_id").alias("src_logical_id"), F.col("vid").alias("src")), "src_logical_id")
-        .join(ids.select(F.col("logical_id").alias("dst_logical_id"), F.col("vid").alias("dst")), "dst_logical_id")
+        e.join(names.select(F.col("key").alias("src_key"), F.col("vid").alias("src")), "src_key")
+        .join(names.select(F.col("key").alias("dst_key"), F.col("vid").alias("dst")), "dst_key")
         .select("src", "dst", F.lit(None).cast("long").alias("eid"), F.col("logical_id").alias("edge_logical_id"), F.col("edge_type").alias("type"))
+        .distinct()
     )
     labels = ("Person", "Company", "Post", "Comment", "Place", "Topic", "Device", "Archived", "Verified")
     types = ("knows", "worksAt", "founded", "CREATED", "REPLY_OF", "locatedIn", "tagged", "owns")
