@@ -1,9 +1,12 @@
 """Find held-out evaluation items whose passages occur in a corpus.
 
-Seeds are the rare n-grams of an item, by the number of corpus documents that hold them; every window
-of ``RUN`` words has its rarest one as a seed, however frequent that is. Documents that hold a seed are aligned with the item (Smith-Waterman on
-words), which scores copies, edited ones too. A document with ``RUN`` consecutive words in common
-holds all n-grams of that window, so its seed: none is missed.
+Every n-gram of an item is a seed, however many documents hold it. Documents that hold a seed are
+aligned with the item (Smith-Waterman on words), which scores copies, edited ones too; so whether a
+document and an item are aligned follows from the two alone, not from the rest of the corpus.
+
+Where only ``RUN`` consecutive words in common are asked for, the rarest n-gram of every window of
+``RUN`` words is seed enough, rare by the number of corpus documents that hold it: such a document
+holds all n-grams of that window, so its seed, and none is missed.
 
 Words are maximal runs of letters and digits of the consistent form, without regard to case. Null
 and empty texts have no words. Items of fewer than ``RUN`` words have no window. Repeated document or
@@ -27,8 +30,6 @@ from .lookalike import Canonicaliser, rules
 
 GRAM = 5
 RUN = 13
-#: An n-gram is rare if at most so many documents hold it; copies with an edit in every window are found by these.
-RARE = 1000
 #: Items are taken in blocks of about so many words; the n-grams of a block are what is sent to executors.
 BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -179,27 +180,28 @@ def _blocks(items: DataFrame, words: Words) -> Iterator[list[tuple[int, list[str
         yield block
 
 
-def _seeds(grams: dict[int, np.ndarray], df: dict[int, int]) -> dict[int, set[int]]:
-    """N-grams of each item that are rare, and the rarest of every window, however frequent -> items.
+def _seeds(grams: dict[int, np.ndarray], df: dict[int, int], runs: bool) -> dict[int, set[int]]:
+    """N-grams of each item -> items: all, or with ``runs`` the rarest of every window, however frequent.
 
     N-grams that no document holds don't count.
     """
     out: dict[int, set[int]] = defaultdict(set)
-    per = RUN - GRAM + 1
+    per = RUN - GRAM + 1 if runs else 1
     for item, g in grams.items():
         gs = g.astype(np.int64).tolist()
         for i in range(len(gs) - per + 1):
             seen = [(df[x], x) for x in gs[i : i + per] if x in df]
-            for _, x in {min(seen), *(y for y in seen if y[0] <= RARE)} if seen else ():
-                out[x].add(item)
+            if seen:
+                out[min(seen)[1]].add(item)
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, identity, run) of documents that hold a rare passage of an item.
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", runs: bool = False) -> DataFrame:
+    """(doc_id, item_id, score, identity, run) of documents that hold ``GRAM`` consecutive words of an item.
 
     ``score`` is that of the best local alignment (match 2, mismatch -1, gap -1), ``identity`` the
-    score by twice the item's words, ``run`` the most consecutive words in common.
+    score by twice the item's words, ``run`` the most consecutive words in common. With ``runs``,
+    documents without ``RUN`` consecutive words in common may be left out.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("text") != "")
@@ -217,7 +219,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
         hits = written(_hits(src, g, r), "leak-hits")
         # at most as many rows as the block has n-grams
         df = {x.g: x.n for x in hits.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-        seeds = {k: sorted(v) for k, v in _seeds(grams, df).items()}
+        seeds = {k: sorted(v) for k, v in _seeds(grams, df, runs).items()}
         bc, key = spark.sparkContext.broadcast((seeds, ids, texts)), uuid.uuid4().hex
         found = hits.mapInArrow(_aligner(bc, key), "doc_id long, item_id long, score long, identity double, run long")
         out = found if out is None else out.unionByName(found)
@@ -270,4 +272,4 @@ def _near(d: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, **columns: str) -> DataFrame:
     """(doc_id, item_id) with at least ``run`` (>= 13) consecutive words in common; the exact check follows the alignment."""
-    return leaks(docs, items, **columns).filter(F.col("run") >= run).select("doc_id", "item_id")
+    return leaks(docs, items, **columns, runs=True).filter(F.col("run") >= run).select("doc_id", "item_id")

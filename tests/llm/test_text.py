@@ -168,6 +168,18 @@ def test_edited_copies_are_scored(spark) -> None:  # noqa: ANN001
     assert set(got) == {1, 2} and got[1].identity == 1.0 and 0.7 < got[2].identity < 1.0 and got[2].run < 13
 
 
+def test_edited_copies_are_found_however_many_copies_there_are(spark) -> None:  # noqa: ANN001
+    text = "the quiet anchor seals every ledger that a lofty compass turns near the wharf while nobody at all is watching it closely today"
+    edited = "zz quiet anchor seals every ledger zz a zz compass turns near the wharf zz nobody zz all is watching it closely zz"
+    e = spark.createDataFrame([(1, text)], "item_id long, text string")
+    # each window's rarest n-gram is none of those the edited copy holds
+    copies = spark.range(1100).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.range(2000, 3000).select(F.col("id").alias("doc_id"), F.lit(edited).alias("text")))
+    assert {x.doc_id for x in leakage.leaks(copies.filter("doc_id in (0, 2000)"), e).collect()} == {0, 2000}
+    got = leakage.leaks(copies, e).groupBy("run").count().collect()
+    assert {x.run: x["count"] for x in got} == {len(text.split()): 1100, 5: 1000}
+    assert leakage.leaked_items(copies, e).count() == 1100
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12))
 def test_alignment_against_the_textbook(a: list[int], b: list[int]) -> None:
