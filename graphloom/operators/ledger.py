@@ -13,10 +13,12 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ranges are sent to all executors up to so many rows (some MB); above, both sides are shuffled.
@@ -86,6 +88,9 @@ class WorkLedger:
         d = self.Path(f"{self.path}/items")
         return sorted(s.getPath().getName() for s in self.fs.listStatus(d)) if self.fs.exists(d) else []
 
+    def payload(self, item: str) -> dict:
+        return next((e.get("payload", {}) for e in self._events(item)[:1]), {})
+
     def state(self, item: str) -> tuple[str, int]:
         """``(pending | leased | done, highest token so far)``; a lease that has expired is pending again."""
         return self._fold(self._events(item))
@@ -162,21 +167,93 @@ class WorkLedger:
         return n
 
 
-def advance(ledger: WorkLedger, source: DataFrame, key: str = "lsn", step: int = 100_000) -> int:
-    """Enter items for the ranges of ``key`` that lie above all ranges entered so far. Returns their number."""
-    upto = max((int(i.rpartition("-")[2]) for i in ledger.items()), default=None)
-    lo, hi = source.agg(F.min(key), F.max(key)).first()
+def deliverable(log: DataFrame) -> DataFrame:
+    """Committed records of ``log``, one row each, with ``commit_lsn`` and ``arrived_at`` for ``advance``.
+
+    A record can be processed once it and its CommitTxn are there, so the later of their first arrivals
+    counts, and its place on the axis is its ``commit_lsn``.
+    """
+    from ..sources.log import committed
+
+    records = log.filter("op not in ('BeginTxn', 'CommitTxn')").groupBy("lsn", "txn_id").agg(F.min("arrived_at").alias("first"))
+    commits = log.filter("op = 'CommitTxn'").groupBy("txn_id").agg(F.min("arrived_at").alias("closed"))
+    return committed(records, log).join(commits, "txn_id").select("lsn", "txn_id", "commit_lsn", F.when(F.col("first").isNotNull() & F.col("closed").isNotNull(), F.greatest("first", "closed")).alias("arrived_at"))
+
+
+def advance(ledger: WorkLedger, source: DataFrame, key: str = "lsn", step: int = 100_000, arrived: str = "arrived_at") -> int:
+    """Enter items for what ``source`` holds and no item covers yet. Returns their number.
+
+    Each item covers the rows with ``from < key <= to`` and, if ``source`` has the column ``arrived``,
+    ``after < arrived <= until`` in microseconds (``after`` null: from the beginning); ``part`` selects
+    them. Above the highest range entered so far new ranges are entered, and for rows that came later
+    into a range entered before, done or not, a follow-up item. So every row belongs to one item, and
+    an item's rows stay the same for every attempt.
+
+    ``source`` has one row per record, with its first arrival; what comes later arrives after what was
+    there. Without the column a row below the highest range can't be told from an old one, and ``source``
+    must come in ascending order of ``key``.
+    """
+    timed = arrived in source.columns
+    src = source.select(F.col(key).alias("key"), (_micros(arrived) if timed else F.lit(None).cast("long")).alias("at")).filter("key is not null")
+    lo, hi, until, unknown = src.agg(F.min("key"), F.max("key"), F.max("at"), F.count(F.when(F.col("at").isNull(), 1))).first()
     if hi is None:
         return 0
-    at = lo - 1 if upto is None else upto
+    if timed and unknown:
+        raise ValueError(f"{unknown} rows have no {arrived}: what came late can't be told")
+    entered: dict[tuple[int, int], int | None] = {}
+    for p in (ledger.payload(i) for i in ledger.items() if i.startswith(f"{key}-")):
+        r, u = (p["from"], p["to"]), p.get("until")
+        entered[r] = u if entered.get(r) is None else max(u or entered[r], entered[r])
     n = 0
+    if timed and entered:
+        if None in entered.values():
+            raise ValueError(f"ranges were entered without {arrived}: what came late can't be told")
+        # one range lies below all: keys beneath the lowest range belong to none so far
+        bottom = min(f for f, _ in entered)
+        for f, t, u in _late(src, sorted((f, t, u) for (f, t), u in entered.items())):
+            n += ledger.add(f"{key}-{_digits(f)}-{_digits(t)}-{_digits(until)}", {"from": f, "to": t, "after": u, "until": until})
+        if lo <= bottom:
+            n += ledger.add(f"{key}-{_digits(lo - 1)}-{_digits(bottom)}", {"from": lo - 1, "to": bottom, "after": None, "until": until})
+    at = max((t for _, t in entered), default=lo - 1)
     while at < hi:
         to = min(at + step, hi)
-        n += ledger.add(f"{key}-{at:019d}-{to:019d}", {"from": at, "to": to})
+        bounds = {"after": None, "until": until} if timed else {}
+        n += ledger.add(f"{key}-{_digits(at)}-{_digits(to)}", {"from": at, "to": to, **bounds})
         at = to
     return n
 
 
+def _late(src: DataFrame, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The ranges (from, to, until), disjoint and ascending, with rows (key, at) later than ``until``; each row is looked up by bisection."""
+    lows, highs, untils = (np.array(x, np.int64) for x in zip(*known, strict=True))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            i = np.minimum(np.searchsorted(highs, k), len(highs) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(i[(k > lows[i]) & (k <= highs[i]) & (at > untils[i])]), pa.int64())], ["i"])
+
+    found = src.select(F.col("key").cast("long"), "at").mapInArrow(run, "i long").distinct().collect()
+    return [known[x.i] for x in sorted(found)]
+
+
+def part(source: DataFrame, payload: dict, key: str = "lsn", arrived: str = "arrived_at") -> DataFrame:
+    """The rows of ``source`` that an item entered by ``advance`` covers."""
+    out = source.filter((F.col(key) > payload["from"]) & (F.col(key) <= payload["to"]))
+    if payload.get("until") is None:
+        return out
+    out = out.filter(_micros(arrived) <= payload["until"])
+    return out if payload["after"] is None else out.filter(_micros(arrived) > payload["after"])
+
+
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def _digits(n: int) -> str:
+    return f"{n:019d}"
+
+
 def ranges(attempts: DataFrame, target: str = "target_id") -> DataFrame:
     """Work items of a table of attempts: (target, lo, hi, state, token, done_at), for ``lo < key <= hi``.
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import eav, skew
-from graphloom.operators.ledger import StaleLease, WorkLedger, advance, ranges, unshipped
+from graphloom.operators.ledger import StaleLease, WorkLedger, advance, deliverable, part, ranges, unshipped
 from graphloom.operators.orphans import orphan_report, orphans
 from graphloom.session import scratch
 from graphloom.streaming.changefeed import apply_node_feed
@@ -82,6 +82,37 @@ def test_each_record_is_processed_once_whatever_fails(spark) -> None:  # noqa: A
     assert sorted(got) == list(range(1, 101))
 
 
+def test_late_and_late_committed_records_get_follow_up_items(spark) -> None:  # noqa: ANN001
+    w = WorkLedger(spark, scratch(spark, "w"))
+    # (3) arrives late, (4) is committed late, 5's commit arrives late with a low lsn, (1) lies beneath all
+    records = [rec(10, 1, "AddNode", 1), rec(11, 1, "CommitTxn", 2), rec(12, 2, "AddNode", 1), rec(30, 3, "AddNode", 1), rec(31, 3, "CommitTxn", 2), rec(10, 1, "AddNode", 9)]
+    records += [rec(9, 1, "AddNode", 12), rec(40, 2, "CommitTxn", 12), rec(15, 5, "AddNode", 1), rec(16, 5, "CommitTxn", 12)]
+    records += [rec(2, 6, "AddNode", 20), rec(3, 6, "CommitTxn", 21), rec(13, 7, "AddNode", 21), rec(14, 7, "CommitTxn", 20)]
+
+    def turn(upto):  # noqa: ANN001, ANN202
+        source = deliverable(log_of(spark, [r for r in records if r["arrived_at"] <= ts(upto)]))
+        n = advance(w, source, "commit_lsn", step=10)
+        assert advance(w, source, "commit_lsn", step=10) == 0
+        return n, lambda lease: part(source, lease.payload, "commit_lsn").select("lsn")
+
+    def done():  # noqa: ANN202
+        return sorted(r.lsn for i in w.items() if w.state(i)[0] == "done" for r in spark.read.parquet(w.output(i)).collect())
+
+    n, work = turn(5)
+    w.run("me", work)
+    assert n == 3 and done() == [10, 30]
+    assert turn(10)[0] == 0  # a record delivered again is none that is new
+    n, work = turn(15)
+    w.run("me", work)
+    assert n == 2 and done() == [9, 10, 12, 15, 30]
+    turn(18)
+    n, work = turn(30)  # into a range that has a follow-up already, and beneath the lowest
+    w.run("me", work)
+    assert n == 2 and done() == [2, 9, 10, 12, 13, 15, 30] == sorted({r["lsn"] for r in records if r["op"] == "AddNode"})
+    with pytest.raises(ValueError):
+        advance(w, spark.createDataFrame([(50, None)], "commit_lsn long, arrived_at timestamp_ntz"), "commit_lsn")
+
+
 def test_unshipped_against_a_loop(spark) -> None:  # noqa: ANN001
     r = random.Random(3)
     records = []
