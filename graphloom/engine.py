@@ -164,9 +164,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "log_lsn_gate": lambda s, d: committed(table(s, d, "wal_ops").filter("op in ('AddNode', 'AddEdge')").select("lsn", "txn_id", "op").distinct(), table(s, d, "wal_ops")).filter("lsn > 5000").groupBy("op").agg(F.count(F.lit(1)).alias("n")),
         "log_last_write": lambda s, d: committed(table(s, d, "wal_ops").filter("op = 'SetEdgeProp'").select("lsn", "txn_id", "eid", "key_id", "prop_value"), table(s, d, "wal_ops")).groupBy("eid", "key_id").agg(F.max_by("prop_value", "lsn").alias("prop_value")),
         "sync_delta": lambda s, d: shippable(table(s, d, "wal_ops"), table(s, d, "interned_names"), 3000).select("lsn", "op", "logical_id", "labels", "edge_type", "src", "dst"),
-        "sync_seed_nodes": lambda s, d: api.export_nodes(exported(s, d)).select("logical_id", "labels"),
-        "sync_seed_edges": lambda s, d: api.export_edges(exported(s, d)).select("src", "dst", "type"),
-        "export_subgraph": lambda s, d: api.export_nodes(exported(s, d), ["Topic", "Device"]).select("logical_id", "labels"),
+        "sync_seed_nodes": lambda s, d: api.export_nodes(exported(s, d)).select("logical_id", "labels", "props"),
+        "sync_seed_edges": lambda s, d: api.export_edges(exported(s, d)).select("src", "dst", "type", "props"),
+        "export_subgraph": lambda s, d: api.export_nodes(exported(s, d), ["Topic", "Device"]).select("logical_id", "labels", "props"),
         "sync_id_map": _id_map,
         "bulk_import": _imported,
         "person_card": _card,

@@ -109,29 +109,45 @@ def commerce(spark: SparkSession, folder: str) -> GraphView:
     return GraphView(spark, cat, [nodes(x) for x in NODES], [edges(*x) for x in EDGES])
 
 
-EXPORT_KEYS = {"name": "string", "age": "int", "city": "string", "score": "double"}
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def _declared(spark: SparkSession, folder: str, owner: str) -> dict[str, str]:
+    """Property keys and their types; the declaration is a schema, so it fits on the driver."""
+    keys = table(spark, folder, "prop_keys").filter((F.col("owner_kind") == owner) & F.col("key_name").isNotNull())
+    return {k.key_name: k.value_type for k in keys.select("key_id", "key_name", "value_type").distinct().orderBy("key_id").collect()}
+
+
+def _read(props: str, key: str, value_type: str) -> Column:
+    """A property of a JSON object in its declared type; null where it cannot be read."""
+    text = F.get_json_object(props, f"$['{key}']")
+    low = F.lower(F.trim(text))
+    number = F.when(text.rlike(_NUMBER), text).try_cast("double")
+    return {"int": text.try_cast("bigint"), "double": F.when(F.abs(number) < float("inf"), number), "bool": F.when(low.isin("true", "false"), low == "true"), "string": text}[value_type].alias(column(key))
 
 
 def exported(spark: SparkSession, folder: str) -> GraphView:
-    """The exported nodes and edges as a graph: the last load of each node that is not deleted.
+    """The exported nodes and edges as a graph, with the declared properties: the last load of each node that is not deleted.
 
     An edge's end names a node by its id in any spelling of the UUID or by ``local-<vid>``. Edges with an
     end that names none of these nodes dangle and are left out; repeated edges count once.
     """
     n = table(spark, folder, "graph_nodes")
     last = n.groupBy("logical_id", "vid").agg(F.max_by(F.struct("labels", "props"), "loaded_at").alias("x"), F.max("deleted_at").alias("gone")).filter("gone is null")
-    keys = [F.get_json_object("x.props", f"$.{k}").try_cast({"int": "bigint", "double": "double", "string": "string"}[t]).alias(column(k)) for k, t in EXPORT_KEYS.items()]
+    node_keys, edge_keys = _declared(spark, folder, "node"), _declared(spark, folder, "edge")
+    keys = [_read("x.props", k, t) for k, t in node_keys.items()]
     nodes = last.select("vid", "logical_id", F.array_sort(F.coalesce("x.labels", F.array().cast("array<string>"))).alias("labels"), *keys)
     names = last.select(node_names(F.col("logical_id"), F.col("vid")).alias("key"), "vid").filter("key is not null").distinct()
     end = lambda c: reference_key(F.col(f"{c}_logical_id")).alias(f"{c}_key")
-    e = table(spark, folder, "graph_edges").select("logical_id", "edge_type", end("src"), end("dst"))
+    e = table(spark, folder, "graph_edges").select("logical_id", "edge_type", end("src"), end("dst"), "props", "loaded_at")
     edges = (
         e.join(names.select(F.col("key").alias("src_key"), F.col("vid").alias("src")), "src_key")
         .join(names.select(F.col("key").alias("dst_key"), F.col("vid").alias("dst")), "dst_key")
-        .select("src", "dst", F.lit(None).cast("long").alias("eid"), F.col("logical_id").alias("edge_logical_id"), F.col("edge_type").alias("type"))
-        .distinct()
+        .groupBy("src", "dst", F.col("logical_id").alias("edge_logical_id"), F.col("edge_type").alias("type"))
+        .agg(F.max(F.struct("loaded_at", "props")).alias("x"))
+        .select("src", "dst", F.lit(None).cast("long").alias("eid"), "edge_logical_id", "type", *[_read("x.props", k, t) for k, t in edge_keys.items()])
     )
     labels = ("Person", "Company", "Post", "Comment", "Place", "Topic", "Device", "Archived", "Verified")
     types = ("knows", "worksAt", "founded", "CREATED", "REPLY_OF", "locatedIn", "tagged", "owns")
-    cat = Catalog(dict(EXPORT_KEYS), {}, list(labels), list(types))
-    return GraphView(spark, cat, [NodeSource(nodes, (), labels, tuple(EXPORT_KEYS))], [EdgeSource(edges, types)])
+    cat = Catalog(node_keys, edge_keys, list(labels), list(types))
+    return GraphView(spark, cat, [NodeSource(nodes, (), labels, tuple(node_keys))], [EdgeSource(edges, types, keys=tuple(edge_keys))])

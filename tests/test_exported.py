@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
+import __spark_entry__ as entry
 from graphloom import api
 from graphloom.sources.commerce import exported
 
@@ -33,3 +35,18 @@ def test_edges_are_kept_however_their_ends_are_written(spark, tmp_path) -> None:
     assert [tuple(r)[:2] for r in v.edges().collect()] == [(11, 10)] * len(spell)
     assert tuple(api.counts(v).first())[:2] == (3, len(spell))
     assert {r.vid: (r.out_degree, r.in_degree) for r in api.degrees(v).collect()} == {10: (0, 6), 11: (6, 0), 12: (0, 0)}
+
+
+def test_seed_and_export_keep_all_declared_properties(spark, tmp_path) -> None:  # noqa: ANN001
+    keys = [(0, "name", "node", "string"), (1, "depth", "node", "int"), (2, "online", "node", "bool"), (3, "battery level", "node", "double"), (40, "weight", "edge", "double"), (41, "since", "edge", "int"), (42, "role", "edge", "string"), (43, "confirmed", "edge", "bool")]
+    old, new = '{"name":"a","depth":1}', '{"name":"b","depth":-7,"online":"TRUE","battery level":2.50,"other":1}'
+    nodes = [(U[0], 10, ["Topic"], old, None, ts(0), None, ts(5)), (U[0], 10, ["Topic"], new, None, ts(0), None, ts(6)), (U[1], 11, ["Person"], '{"name":null,"depth":"x","online":1,"battery level":"NaN"}', None, ts(0), None, ts(5))]
+    edge = '{"weight":0.96,"since":2015,"role":"kindly","confirmed":false}'
+    edges = [("e", "knows", U[0], "local-11", edge, None, ts(1), ts(2)), ("e", "knows", U[0], U[1], edge, None, ts(1), ts(3)), ("f", "knows", U[0], U[1], None, None, ts(1), ts(3))]
+    d = folder_of(spark, tmp_path, nodes, edges, keys)
+    q = entry.queries()
+    want = {"name": "b", "depth": -7, "online": True, "battery level": 2.5}
+    assert {r.logical_id: json.loads(r.props) for r in q["sync_seed_nodes"](spark, d).collect()} == {U[0]: want, U[1]: {}}
+    assert [json.loads(r.props) for r in q["export_subgraph"](spark, d).collect()] == [want]
+    got = sorted(((r.src, r.dst, r.type, json.loads(r.props)) for r in q["sync_seed_edges"](spark, d).collect()), key=str)
+    assert got == sorted([(10, 11, "knows", json.loads(edge)), (10, 11, "knows", {})], key=str)
