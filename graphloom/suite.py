@@ -89,7 +89,7 @@ _SUPPLIES_WALK = """with recursive sp as (select distinct 's' || l_suppkey as a,
   w(v, d) as (select 's0', 0 union select e.b, d + 1 from w join e on e.a = w.v where d < 3),
   m as (select v, min(d) as d from w group by v)"""
 
-# name -> (query, SQL) of variable-length walks; sources are selective
+# name -> (query, SQL) of variable-length walks
 WALKS: dict[str, tuple[str, str]] = {
     "var_1_3": ("MATCH (a:Event)-[:NEXT*1..3]->(b:Event) WHERE a.etype = 'purchase' RETURN a.eventid AS s, b.eventid AS v", _chain(1, 3, "a in (select event_id from events where event_type = 'purchase')")),
     "var_exact": ("MATCH (a:Event)-[:NEXT*2]->(b:Event) RETURN a.eventid AS s, b.eventid AS v", _chain(2, 2, "true")),
@@ -101,6 +101,14 @@ WALKS: dict[str, tuple[str, str]] = {
     "var_distance_two": ("MATCH (s:Supplier {suppkey: 0})-[:SUPPLIES*2]-(x:Supplier) RETURN x.suppkey AS k", _SUPPLIES_WALK + " select substr(v, 2)::bigint as k from m where d = 2"),
 }
 
+# walks from every node of a table, without SQL; tests/test_walks.py holds them against plain loops
+WHOLE_WALKS: dict[str, str] = {
+    "var_upto_all": "MATCH (a:Event)-[:NEXT*..2]->(b) RETURN a.eventid AS s, COUNT(*) AS n",
+    "var_from_all": "MATCH (a:Event)-[:NEXT*2..]->(b:Event) RETURN a.eventid AS s, COUNT(*) AS n",
+    "var_undirected_all": "MATCH (s:Supplier)-[:SUPPLIES*1..3]-(x) RETURN s.suppkey AS s, labels(x) AS l, COUNT(*) AS n",
+    "var_distance_two_all": "MATCH (s:Supplier)-[:SUPPLIES*2]-(x:Supplier) RETURN s.suppkey AS s, COUNT(*) AS n",
+}
+
 _LIVE = """live as (select logical_id, vid, arg_max(labels, loaded_at) as labels, arg_max(props, loaded_at) as props from graph_nodes group by all having max(deleted_at) is null),
   e as (select distinct g.logical_id, edge_type, s.vid as src, d.vid as dst from graph_edges g join live s on s.logical_id = g.src_logical_id join live d on d.logical_id = g.dst_logical_id)"""
 
@@ -121,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {"flagship": _gql(commerce, FLAGSHIP)}
     for group, make in ((GQL, commerce), (WALKS, commerce), (EXPORTED, exported)):
         out |= {k: _gql(make, q) for k, (q, _) in group.items()}
+    out |= {k: _gql(commerce, q) for k, q in WHOLE_WALKS.items()}
     out["filter_param"] = lambda s, d: run(commerce(s, d), "MATCH (c:Customer {mktsegment: $seg}) WHERE c.acctbal >= $lo RETURN c.custkey AS k", {"seg": "MACHINERY", "lo": 100})
     out["agg_collect"] = lambda s, d: run(commerce(s, d), "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS r, COLLECT(n.name) AS names").selectExpr("r", "array_sort(names) as names")
     return out
