@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.eav import named, node_cells, wide_nodes
-from .operators.ledger import ranges, unshipped
+from .operators.ledger import processed, ranges, unshipped
 from .operators.orphans import orphan_report, orphans
 from .operators.skew import edge_profile, frequencies, percentiles, summary
 from .session import scratch
@@ -29,7 +29,8 @@ def _weights(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: unshipped(table(s, d, "wal_ops"), table(s, d, "sync_runs")),
-        "p1_items": lambda s, d: ranges(table(s, d, "sync_runs")).select(F.col("target").alias("target_id"), "lo", "hi", "state"),
+        "p1_items": lambda s, d: ranges(table(s, d, "sync_runs")).select(F.col("target").alias("target_id"), "lo", "hi", "state", "token"),
+        "p1_processed": lambda s, d: processed(table(s, d, "wal_ops"), scratch(s, "ledger")),
         "p2_found": lambda s, d: orphans(table(s, d, "graph_edges"), table(s, d, "graph_nodes")),
         "p2_report": lambda s, d: orphan_report(table(s, d, "graph_edges"), table(s, d, "graph_nodes")),
         "p3_found": lambda s, d: apply_node_feed(s, f"{d}/wal_ops.parquet", scratch(s, "feed")),
@@ -60,11 +61,14 @@ select t.target_id, f.lsn from f join c using (txn_id) cross join (select distin
 except select target_id, lsn from done"""
 
 _P1_ITEMS = """
-with a as (select distinct target_id, from_lsn, to_lsn, started_at, outcome from sync_runs where from_lsn < to_lsn),
+with a as (select distinct batch_id, target_id, from_lsn, to_lsn, started_at, outcome, ended_at from sync_runs where from_lsn < to_lsn and started_at is not null),
+  now as (select greatest(max(started_at), max(ended_at)) as t from a),
   cuts as (select target_id, from_lsn as lo from a union select target_id, to_lsn from a union select target_id, -4611686018427387904 from a),
-  i as (select target_id, lo, coalesce(lead(lo) over (partition by target_id order by lo), 4611686018427387904) as hi from cuts)
-select i.target_id, lo, hi, case when bool_or(coalesce(a.outcome = 'acked', false)) then 'done' else 'pending' end as state
-from i left join a on a.target_id = i.target_id and a.from_lsn <= lo and hi <= a.to_lsn group by all"""
+  i as (select target_id, lo, coalesce(lead(lo) over (partition by target_id order by lo), 4611686018427387904) as hi from cuts),
+  f as (select i.target_id, lo, hi, max((started_at, batch_id)) filter (where outcome = 'acked') as done, max((started_at, batch_id)) as top,
+               arg_max(outcome is null and ended_at is null and started_at + interval 10 minute > (select t from now), (started_at, batch_id)) as held
+        from i left join a on a.target_id = i.target_id and a.from_lsn <= lo and hi <= a.to_lsn group by all)
+select target_id, lo, hi, case when done is not null then 'done' when held then 'leased' else 'pending' end as state, coalesce(done, top)[2] as token from f"""
 
 _ORPHANS = """
 with n as (select replace(logical_id, '-', '') as k, vid, min(deleted_at) as d, min(loaded_at) as l from graph_nodes group by all),
@@ -123,6 +127,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
         "p1_items": _P1_ITEMS,
+        "p1_processed": f"select lsn, c as commit_lsn from (select distinct lsn, txn_id from wal_ops where op not in ('BeginTxn', 'CommitTxn')) join ({_COMMITTED}) using (txn_id)",
         "p2_found": _ORPHANS + " select edge_logical_id, edge_end, reason, period_ym from o where reason is not null",
         "p2_report": _ORPHANS + " select edge_type, edge_end, reason, period_ym, count(*) as n from o where reason is not null group by all",
         "p3_found": _P3,

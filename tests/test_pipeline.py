@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import eav, skew
-from graphloom.operators.ledger import StaleLease, WorkLedger, advance, deliverable, part, ranges, unshipped
+from graphloom.operators import ledger as ledgers
+from graphloom.operators.ledger import StaleLease, WorkLedger, advance, deliverable, outstanding, part, processed, ranges, unshipped
 from graphloom.operators.orphans import orphan_report, orphans
 from graphloom.session import scratch
 from graphloom.streaming.changefeed import apply_node_feed
@@ -146,6 +147,69 @@ def test_unshipped_against_a_loop(spark) -> None:  # noqa: ANN001
     assert ranges(spark.createDataFrame([], RUNS)).count() == 0
 
 
+def test_items_fold_leases_by_token(spark) -> None:  # noqa: ANN001
+    run = lambda b, lo, hi, start, end, outcome, t="x": (b, t, 1, b, lo, hi, ts(start), ts(end), outcome)
+    runs = [run(7, 0, 10, 500, 900, "acked"), run(3, 0, 10, 100, 990, "acked")]  # 3 is stale: its end is the later one
+    runs += [run(4, 10, 20, 600, None, "crashed"), run(5, 10, 20, 610, 620, "rejected"), run(6, 20, 30, 100, None, None), run(8, 30, 40, 950, None, None)]
+    runs += [run(9, 35, 40, 960, 970, "rejected"), run(9, 35, 40, 960, 970, "rejected"), run(1, 5, 7, 999, None, "crashed"), run(2, 0, 50, 1, 2, "acked", "y")]
+    got = {(r.target, r.lo, r.hi): (r.state, r.token, r.done_at) for r in ranges(spark.createDataFrame(runs, RUNS), ttl=100).collect()}
+    at = {k[1]: v[:2] for k, v in got.items() if k[0] == "x" and 0 <= k[1] < 40}
+    # 6 has expired; 8 still holds its range but where 9 came after it; 1 cannot undo what 7 did
+    assert at == {0: ("done", 7), 5: ("done", 7), 7: ("done", 7), 10: ("pending", 5), 20: ("pending", 6), 30: ("leased", 8), 35: ("pending", 9)}
+    assert got[("y", 0, 50)][:2] == ("done", 2) and got[("x", 0, 5)][2].replace(tzinfo=None) == ts(500)
+    records = spark.createDataFrame([(1, 3, ts(499)), (2, 3, ts(501)), (3, 33, ts(1)), (4, 99, None)], "lsn long, commit_lsn long, arrived_at timestamp_ntz")
+    left = lambda: sorted((r.target, r.lsn) for r in outstanding(records, ranges(spark.createDataFrame(runs, RUNS))).collect())
+    # an ack whose start lies before the arrival leaves the record to a follow-up; y was acked from second 1 on
+    assert left() == [("x", 2), ("x", 3), ("x", 4), ("y", 1), ("y", 2), ("y", 4)]
+
+
+def test_very_many_targets(spark) -> None:  # noqa: ANN001
+    n = 20_000
+    runs = spark.range(n).select(F.col("id").alias("batch_id"), F.concat(F.lit("t"), F.col("id")).alias("target_id"), F.lit(0).cast("long").alias("from_lsn"), (F.col("id") % 10 + 1).alias("to_lsn"), F.lit(ts(10)).alias("started_at"), F.lit(ts(20)).alias("ended_at"), F.lit("acked").alias("outcome"))
+    log = log_of(spark, [x for k in range(1, 6) for x in (rec(100 + k, k, "AddNode", 1), {**rec(200 + k, k, "CommitTxn", 1), "commit_lsn": 2 * k})])
+    out = unshipped(log, runs)
+    # a target that was acked up to m lacks the commits above m
+    want = sum(n // 10 for m in range(1, 11) for k in range(1, 6) if 2 * k > m)
+    assert out.count() == want and out.distinct().count() == want
+
+
+def test_wide_lookup_equals_the_broadcast_one(spark) -> None:  # noqa: ANN001
+    r = random.Random(8)
+    runs = spark.createDataFrame([(b, r.choice("xyz"), 1, b, lo := r.randrange(200), lo + r.randrange(60), ts(r.randrange(99)), ts(99), r.choice(["acked", "crashed"])) for b in range(60)], RUNS)
+    records = spark.createDataFrame([(i, r.randrange(300), ts(r.randrange(99))) for i in range(300)], "lsn long, commit_lsn long, arrived_at timestamp_ntz")
+    rows = lambda: sorted(map(tuple, outstanding(records, ranges(runs)).select("target", "lsn").collect()))
+    want, limit = rows(), ledgers.BROADCAST_RANGES
+    try:
+        ledgers.BROADCAST_RANGES = 0
+        assert rows() == want and len(want) > 300
+    finally:
+        ledgers.BROADCAST_RANGES = limit
+
+
+def test_events_that_are_not_whole(spark) -> None:  # noqa: ANN001
+    clock = Clock()
+    w = WorkLedger(spark, scratch(spark, "w"), ttl=10, clock=clock)
+    w.add("a", {"x": 1})
+    w.fs.create(w.Path(f"{w.path}/items/a/{1:09d}.json"), False).close()  # a writer died while it took a lease
+    lease = w.lease("me")
+    assert lease.payload == {"x": 1}
+    w.fs.create(w.Path(f"{w.path}/items/a/{3:09d}.json"), False).close()  # and another while it finished
+    assert w.state("a") == ("leased", 1)
+    w.finish(lease, spark.range(3))
+    assert w.state("a")[0] == "done" and spark.read.parquet(w.output("a")).count() == 3
+    w.fs.create(w.Path(f"{w.path}/items/b/{0:09d}.json"), False).close()  # what an item means is stored before it is there
+    assert not w.add("b") and w.lease("me", "c") is None
+
+
+def test_processed_has_every_record_once(spark) -> None:  # noqa: ANN001
+    r = random.Random(12)
+    records = [rec(100 + i, i % 40, "AddNode", r.randrange(500)) for i in range(200)] + [rec(1000 + t, t, "CommitTxn", r.randrange(500)) for t in range(0, 40, 2)]
+    records += r.sample(records, 50)
+    got = sorted(x.lsn for x in processed(log_of(spark, records), scratch(spark, "w"), waves=3).collect())
+    assert got == sorted({x["lsn"] for x in records if x["op"] == "AddNode" and x["txn_id"] % 2 == 0})
+    assert processed(log_of(spark, []), scratch(spark, "w")).count() == 0
+
+
 # -- orphans
 EDGES = "logical_id string, edge_type string, src_logical_id string, dst_logical_id string, props string, remote_id string, created_at timestamp_ntz, loaded_at timestamp_ntz"
 NODES = "logical_id string, vid long, labels array<string>, props string, remote_id string, created_at timestamp_ntz, deleted_at timestamp_ntz, loaded_at timestamp_ntz"
