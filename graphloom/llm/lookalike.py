@@ -2,9 +2,18 @@
 
 Look-alike classes are the transitive closure, by union-find over code points and strings, of
 three relations: compatibility forms that keep the look (full width, ligatures, fonts, kinds of
-blank), canonical composition, and letters or signs of other scripts that look the same. Each class
-has a representative chosen by frequency in the corpus; an Aho-Corasick automaton rewrites members
-to representatives, the longest match first. Invisible characters are removed.
+blank), canonical composition, and letters or signs that look the same. The last are those of the
+table below and of the public table of confusable characters (Unicode Technical Standard 39), which
+is read from the ICU library that Spark ships. A character has one relation only: that of the table
+below, else its decomposition, else the public table's. Each class has a representative chosen by
+frequency in the corpus; an Aho-Corasick automaton rewrites members to representatives, the longest
+match first. Invisible characters are removed.
+
+Of the public table are left out, since they are real differences here or would change what is a
+word: characters of ASCII, which never come together; right-to-left scripts, whose letters are
+drawn otherwise beside each other; combining marks; pairs of a letter or digit and a sign, of a
+letter and a digit, of two digits of different value, and of two cases of one letter; characters that
+look like several (ligatures stay, since Unicode decomposes them), and ``EXCLUDED``.
 
 Letter case, the presence of an accent, the number of blanks and line ends stay as they are.
 Null stays null, the empty text stays empty; the form of a form is itself.
@@ -70,7 +79,7 @@ X Х Χ
 Y Ү Υ
 Z Ζ
 - ‐ ‑ ‒ – − ˗ ⁃
-' ’ ‘ ʼ ′ ʹ
+' ’ ‘ ʼ ′ ʹ ´
 " “ ” ″
 , ‚
 : ∶ ։
@@ -81,8 +90,13 @@ Z Ζ
 < ‹
 > ›
 · ‧ ∙ ⋅
+— ― ─
+µ μ
 """
 
+#: Letters whose compatibility form is another drawing of the same letter: they look like neither.
+EXCLUDED = set("ſϱϐϑϕϖϰϴϵẛ")
+
 #: Compatibility tags whose forms keep the look of what they decompose to.
 TAGS = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 #: Format characters that are drawn; the other format characters are invisible.
@@ -120,17 +134,84 @@ class UnionFind:
             self.up[hi] = lo
 
 
-def _unfold(ch: str) -> str:
-    """The decomposition of a character, following only what keeps the look."""
+def confusables(path: str | None = None) -> dict[str, str]:
+    """character -> what it looks like, as the public table has it; the file lies in Spark's ICU library."""
+    import glob
+    import os
+    import struct
+    import zipfile
+
+    if path is None:
+        import pyspark
+
+        found = glob.glob(os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "jars", "icu4j-*.jar"))
+        path = (found or glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "icu4j-*.jar")))[0]
+    with zipfile.ZipFile(path) as z:
+        raw = z.read("com/ibm/icu/impl/data/icudata/confusables.cfu")
+    data = raw[struct.unpack(">H", raw[:2])[0] :]
+    keys, n, index, _, text, size = struct.unpack(">6i", data[12:36])
+    table = data[text : text + 2 * size].decode("utf-16-be", "surrogatepass")
+    units = [data[text + 2 * i : text + 2 * i + 2] for i in range(len(table.encode("utf-16-be", "surrogatepass")) // 2)]
+    out = {}
+    for k, at in zip(struct.unpack(f">{n}I", data[keys : keys + 4 * n]), struct.unpack(f">{n}H", data[index : index + 2 * n]), strict=True):
+        length = (k >> 24) + 1  # a single unit is stored in place of its index
+        out[chr(k & 0xFFFFFF)] = chr(at) if length == 1 else b"".join(units[at : at + length]).decode("utf-16-be")
+    return out
+
+
+def _other(ch: str, of: str) -> bool:
+    """Whether two characters that are said to look alike stay apart."""
+    if ch.isalnum() != of.isalnum() or ud.combining(of) or ud.category(of)[0] == "M" or is_invisible(ord(of)):
+        return True
+    a, b = ud.numeric(ch, None), ud.numeric(of, None)
+    if (a is None) != (b is None) or a != b:
+        return True
+    return ch.isupper() != of.isupper() and (ch.lower() == of.lower() or ch.upper() == of.upper())
+
+
+def _public() -> dict[str, str]:
+    """The public table without what is left out; where it gathers several characters of ASCII, the one of the same kind."""
+    table = confusables()
+    ascii_of: dict[str, list[str]] = defaultdict(list)
+    for c in map(chr, range(0x21, 0x7F)):
+        ascii_of[table.get(c, c)].append(c)
+    out = {}
+    for ch, of in table.items():
+        if ch.isascii() or ch in EXCLUDED or ud.category(ch)[0] in "MC" or ud.bidirectional(ch) in ("R", "AL", "AN"):
+            continue
+        kind = (lambda c: "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" if c.isalpha() else "s")
+        if of in ascii_of:
+            same = [c for c in ascii_of[of] if kind(c) == kind(ch)] or (ascii_of[of] if len(ascii_of[of]) == 1 else [])
+            if not same:
+                continue
+            of = same[0]
+        if len(of) == 1 and not _other(ch, of):
+            out[ch] = of
+    twice = {ch for ch, of in out.items() for c in (ch.lower(), ch.upper()) if c != ch and out.get(c) == of}
+    return {ch: of for ch, of in out.items() if ch not in twice}
+
+
+def _decomposed(ch: str) -> str | None:
+    """What a character is composed of, if that looks the same."""
     d = ud.decomposition(ch)
-    if not d:
-        return ch
+    if not d or ch in EXCLUDED:
+        return None
     parts = d.split()
     if parts[0].startswith("<"):
         if parts[0] not in TAGS:
-            return ch
+            return None
         parts = parts[1:]
-    out = "".join(_unfold(chr(int(p, 16))) for p in parts)
+    return "".join(chr(int(p, 16)) for p in parts)
+
+
+def _unfold(ch: str, apart: frozenset[str]) -> str:
+    """The decomposition of a character, following only what keeps the look; those ``apart`` stay."""
+    if ch in apart:
+        return ch
+    d = _decomposed(ch)
+    if d is None:
+        return ch
+    out = "".join(_unfold(c, apart) for c in d)
     if out.strip() == "" and out != " ":
         return ch
     if out[0] == " " and len(out) > 1:  # spacing accents
@@ -152,10 +233,13 @@ def _clusters(s: str) -> list[str]:
 def classes() -> tuple[dict[str, str], dict[str, list[str]]]:
     """``(skeleton of each member, members of each skeleton)``, from the Unicode data and the table above."""
     uf = UnionFind()
+    apart: set[str] = set()
     for line in LOOKALIKES.strip().splitlines():
         first, *rest = line.split()
+        apart |= set(rest)
         for x in rest:
             uf.union(first, x)
+    public, listed = _public(), frozenset(apart)
     unfolded: dict[str, str] = {}
     for cp in range(0x80, LAST):
         ch = chr(cp)
@@ -164,19 +248,24 @@ def classes() -> tuple[dict[str, str], dict[str, list[str]]]:
         if ud.category(ch) == "Zs" or cp in (0x2800, 0x3164, 0xFFA0):
             uf.union(" ", ch)
             continue
-        s = _unfold(ch)
-        if s != ch:
+        s = _unfold(ch, listed)
+        if len(s) > 1:
             unfolded[ch] = s
-            if len(s) == 1:
-                uf.union(s, ch)
-    skeleton = {x: uf.find(x) for x in list(uf.up)}
-    base = lambda s: ud.normalize("NFD", "".join(uf.find(c) for c in s))
+        elif s != ch:
+            uf.union(s, ch)
+        elif ch not in listed and ch in public:
+            to = _unfold(public[ch], listed)
+            if len(to) > 1:
+                unfolded[ch] = to
+            else:
+                uf.union(to, ch)
+    # only now that all unions are made are skeletons read off, those of strings character by character
+    base = lambda s: ud.normalize("NFD", "".join(uf.find(c) for c in ud.normalize("NFD", s)))
+    skeleton = {x: base(uf.find(x)) for x in list(uf.up)}
     for ch, s in unfolded.items():
-        if len(s) > 1:
-            sk = base(s)
-            uf.union(sk, ch)
-            skeleton[ch] = sk
-            skeleton[sk] = sk
+        sk = base(s)
+        skeleton[ch] = sk
+        skeleton[sk] = sk
     members: dict[str, list[str]] = defaultdict(list)
     for x, sk in skeleton.items():
         members[sk].append(x)
@@ -219,14 +308,14 @@ class Rules:
 
 
 def rules(counts: Mapping[str, int] | None = None) -> Rules:
-    """Representatives by frequency; without counts, the least code point of a class represents it."""
+    """Representatives by frequency; of equally frequent members one without a decomposition, then the least code point."""
     counts = counts or {}
     skeleton, members = classes()
     reps: dict[str, str] = {}
     for sk, ms in members.items():
         if len(_clusters(sk)) == 1:
             stable = [m for m in {*ms, sk} if ud.normalize("NFC", m) == m]
-            reps[sk] = min(stable or [ud.normalize("NFC", sk)], key=lambda m: (-counts.get(m, 0), len(m), m))
+            reps[sk] = min(stable or [ud.normalize("NFC", sk)], key=lambda m: (-counts.get(m, 0), _decomposed(m[0]) is not None, len(m), m))
     for sk in members:
         if sk not in reps:
             reps[sk] = "".join(reps.get(c, c) for c in _clusters(sk))
@@ -377,26 +466,36 @@ def fingerprints(docs: DataFrame, counts: Mapping[str, int] | None, doc_id: str
 
 
 def lookalike_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with text: (doc_id, class_id, n_variants of the class as stored)."""
+    """One row per document with text: (doc_id, class_id, n_variants of the class as stored, n_links).
+
+    ``n_links`` counts the documents of the class that are stored otherwise. A class that holds very many
+    documents is met by one row of counts per variant, so adaptive execution can split it.
+    """
     fp = written(fingerprints(docs, corpus_counts(docs, text), doc_id, text), "lookalike")
-    variants = fp.select("c1", "c2", "r1", "r2").distinct().groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_variants"))
-    return fp.join(variants, ["c1", "c2"]).select("doc_id", F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0")).alias("class_id"), "n_variants")
+    variants = fp.groupBy("c1", "c2", "r1", "r2").agg(F.count(F.lit(1)).alias("n"))
+    whole = variants.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("all"))
+    per = variants.join(whole.hint("merge"), ["c1", "c2"]).select("c1", "c2", "r1", "r2", "n_variants", (F.col("all") - F.col("n")).alias("n_links"))
+    return fp.join(per.hint("merge"), ["c1", "c2", "r1", "r2"]).select("doc_id", F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0")).alias("class_id"), "n_variants", "n_links")
 
 
 def lookalike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: texts that differ as stored and agree in their consistent form.
 
     Pairs are formed between the stored variants of a class first, so no step is larger than the
-    result: documents with the same stored text never meet.
+    result: documents with the same stored text never meet. Only where an id has several texts can a
+    pair come about twice; it is then reported once.
     """
     fp = written(fingerprints(docs, corpus_counts(docs, text), doc_id, text), "lookalike")
     per = fp.groupBy("c1", "c2").agg(F.min("r1").alias("lo1"), F.max("r1").alias("hi1"), F.min("r2").alias("lo2"), F.max("r2").alias("hi2"))
     multi = per.filter("lo1 <> hi1 or lo2 <> hi2").select("c1", "c2")
-    rows = written(fp.join(multi, ["c1", "c2"], "left_semi"), "lookalike-multi")
+    # merge joins: what adaptive execution would broadcast grows with the corpus
+    rows = written(fp.join(multi.hint("merge"), ["c1", "c2"], "left_semi").filter("doc_id is not null").distinct(), "lookalike-multi")
     var = rows.select("c1", "c2", "r1", "r2").distinct()
     a, b = var.select("c1", "c2", F.col("r1").alias("a1"), F.col("r2").alias("a2")), var.select("c1", "c2", F.col("r1").alias("b1"), F.col("r2").alias("b2"))
-    pairs = a.join(b, ["c1", "c2"]).filter("a1 < b1 or (a1 = b1 and a2 < b2)")
+    pairs = a.join(b.hint("merge"), ["c1", "c2"]).filter("a1 < b1 or (a1 = b1 and a2 < b2)")
     da = rows.select("c1", "c2", F.col("r1").alias("a1"), F.col("r2").alias("a2"), F.col("doc_id").alias("da"))
     db = rows.select("c1", "c2", F.col("r1").alias("b1"), F.col("r2").alias("b2"), F.col("doc_id").alias("db"))
-    out = pairs.join(da, ["c1", "c2", "a1", "a2"]).join(db, ["c1", "c2", "b1", "b2"])
-    return out.filter("da <> db").select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")).distinct()
+    out = pairs.join(da.hint("merge"), ["c1", "c2", "a1", "a2"]).join(db.hint("merge"), ["c1", "c2", "b1", "b2"])
+    out = out.filter("da <> db").select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"))
+    several = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return out if several.isEmpty() else out.distinct()

@@ -1,37 +1,56 @@
 """Plain SQL for the text queries, where it can express them.
 
-The consistent form is written there with DuckDB's own string functions: invisible characters are
-dropped, joined forms written out, look-alikes translated one by one, and the rest composed. Token
-ids, alignment scores and hashed class ids have no SQL; tests hold them against plain loops.
+The consistent form is written there with DuckDB's own string functions, from a table of its own that
+shares nothing with the operator's: Python's compatibility normalisation for single characters,
+Unicode's class of format characters, and letters and signs listed here by script. Token ids,
+alignment scores and hashed class ids have no SQL; tests hold them against plain loops.
 """
 
 from __future__ import annotations
 
 import unicodedata as ud
 
-from .lookalike import classes, invisible_class
-
-JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}
+# Letters of other scripts and signs, each beside the characters of ASCII they look like, in order.
+SCRIPTS = [
+    ("асеіјорѕхуһԁԛԝӏѵг", "aceijopsxyhdqwlvr"),
+    ("АВСЕНІЈКМОРЅТХҮԌԚԜѴӀЬ", "ABCEHIJKMOPSTXYGQWVIb"),
+    ("αορυνιγϲϳ", "aopuviycj"),
+    ("ΑΒΕΗΙΚΜΝΟΡΤΧΥΖϹͿϜ", "ABEHIKMNOPTXYZCJF"),
+    ("ոօսհզաՕՏՍց", "nouhqwOSUg"),
+    ("ɑɡıμ", "agiµ"),
+    ("‐‑‒–−˗⁃", "-------"),
+    ("’‘ʼ′ʹ´", "''''''"),
+    ("“”″‚∶։∕⁄∗∣∼‹›‧∙⋅―─", '""",::' + "//*|~<>···——"),
+]
+JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "‥": "..", "ĳ": "ij", "Ĳ": "IJ", "ǉ": "lj", "ǌ": "nj"}
+APART = "ſϱϐϑϕϖϰϴϵ"
 
 
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def pairs() -> dict[str, str]:
+    """Character -> what stands for it, over all code points."""
+    out = {chr(cp): " " for cp in range(0x80, 0x3001) if ud.category(chr(cp)) == "Zs"}
+    for a, b in SCRIPTS:
+        out |= {x: y for x, y in zip(a, b, strict=True) if x != y}
+    for cp in range(0x80, 0x20000):
+        ch = chr(cp)
+        tag = ud.decomposition(ch).partition(" ")[0]
+        if tag in ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>") and ch not in out and ch not in APART and len(to := ud.normalize("NFKC", ch)) == 1 and to != ch:
+            out[ch] = out.get(to, to)
+    return out
+
+
 def form_sql(text: str) -> str:
     """An SQL expression for the consistent form of the expression ``text``."""
-    skeleton, _ = classes()
-    pairs = {m: s for m, sk in skeleton.items() if len(m) == 1 and (ord(m) < 0x2100 or 0xFF00 <= ord(m) <= 0xFF60 or m == "　" or m == "K") and len(s := ud.normalize("NFC", sk)) == 1 and s != m}
-    hidden = "".join(rf"\x{{{a}}}-\x{{{b}}}" if b else rf"\x{{{a}}}" for a, _, b in (x.partition("-") for x in _spans(invisible_class())))
-    out = f"nfc_normalize(regexp_replace({text}, '[{hidden}]', '', 'g'))"
+    p = pairs()
+    hidden = r"[\p{Cf}\x{34f}\x{180b}-\x{180f}\x{fe00}-\x{fe0f}\x{e0100}-\x{e01ef}]"
+    out = f"nfc_normalize(regexp_replace({text}, '{hidden}', '', 'g'))"
     for a, b in JOINED.items():
         out = f"replace({out}, '{a}', '{b}')"
-    return f"nfc_normalize(translate({out}, {_quoted(''.join(pairs))}, {_quoted(''.join(pairs.values()))}))"
-
-
-def _spans(cls: str) -> list[str]:
-    inside = cls[1:-2].split("\\U")[1:]  # \Uaaaaaaaa-\Ubbbbbbbb
-    return [f"{int(inside[i].rstrip('-'), 16):x}-{int(inside[i + 1], 16):x}" for i in range(0, len(inside), 2)]
+    return f"nfc_normalize(translate({out}, {_quoted(''.join(p))}, {_quoted(''.join(p.values()))}))"
 
 
 def _words(table: str, key: str) -> str:

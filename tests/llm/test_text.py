@@ -42,12 +42,45 @@ FORM = lookalike.Canonicaliser()
         ("x²", "x2", False),
         ("0", "O", False),
         ("1", "l", False),
+        ("Σ", "C", False),
+        ("ς", "c", False),
+        ("ſ", "s", False),
+        ("ϱ", "p", False),
+        ("″", '"', True),
+        ('"', "''", False),
+        ("æ", "ae", False),
+        ("ø", "o", False),
+        ("—", "-", False),
+        ("―", "—", True),
+        ("ı", "i", True),
+        ("´", "'", True),
+        ("ᎪꓐС", "ABC", True),
+        ("հց", "hg", True),
+        ("〇一", "〇⼀", True),
     ],
 )
 def test_equal_looks(a: str, b: str, same: bool) -> None:
     assert (FORM.form(a) == FORM.form(b)) is same
 
 
+def test_no_class_holds_real_differences() -> None:
+    _, members = lookalike.classes()
+    for sk, ms in members.items():
+        one = {c for c in (*ms, sk) if len(c) == 1}
+        assert sum(c.isascii() for c in one) <= 1, one
+        if any(c.isascii() for c in one):
+            # neither two cases of a letter, nor numbers of different value, nor a letter that is a digit
+            assert not [c for c in one if c.lower() != c and c.lower() in one], one
+            assert len({ud.numeric(c, None) for c in one}) == 1, one
+    plain = "Σίσυφος ἀνέβη λόγος · Съешь ещё этих мягких булок · שלום · سلام ١٢٣ · 日本語カタカナ"
+    assert FORM.form(plain).isprintable() and len(FORM.form(plain)) == len(ud.normalize("NFC", plain)) and "C" not in FORM.form("ΣΣ")
+
+
+def test_the_public_table_is_read_whole() -> None:
+    t = lookalike.confusables()
+    assert len(t) > 6000 and t["а"] == "a" and t["m"] == "rn" and t["\U0001d41a"] == "a"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("aаαeеéëё́̈​  ﬁﬀfiｆ\n-–KКöôó"), st.characters(codec="utf-8")), max_size=30))
 def test_forms_are_fixed_points_and_don_t_depend_on_composition(s: str) -> None:
@@ -73,7 +106,11 @@ def test_pairs_against_a_loop(spark) -> None:  # noqa: ANN001
     got = [tuple(x) for x in lookalike.lookalike_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
-    c = {x.class_id: x.n_variants for x in lookalike.lookalike_classes(df).collect()}
+    rows_of = lookalike.lookalike_classes(df).collect()
+    c = {x.class_id: x.n_variants for x in rows_of}
+    every = [(i, t) for i, t in rows if t]
+    links = sorted(sum(FORM.form(u) == FORM.form(t) and u != t for _, u in every) for _, t in every)
+    assert sorted(x.n_links for x in rows_of) == links
     assert max(c.values()) == max(len({t for _, t in rows if t and FORM.form(t) == f}) for f in {FORM.form(t) for _, t in rows if t})
 
 
