@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import unicodedata as ud
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
@@ -308,14 +308,19 @@ class Rules:
 
 
 def rules(counts: Mapping[str, int] | None = None) -> Rules:
-    """Representatives by frequency; of equally frequent members one without a decomposition, then the least code point."""
+    """Representatives by frequency.
+
+    Of equally frequent members one that is no compatibility form, the shortest, of ASCII, the one with
+    most accented forms, so that letters with accents stay single characters, and the least code point.
+    """
     counts = counts or {}
     skeleton, members = classes()
     reps: dict[str, str] = {}
+    built = _accented()
     for sk, ms in members.items():
         if len(_clusters(sk)) == 1:
             stable = [m for m in {*ms, sk} if ud.normalize("NFC", m) == m]
-            reps[sk] = min(stable or [ud.normalize("NFC", sk)], key=lambda m: (-counts.get(m, 0), _decomposed(m[0]) is not None, len(m), m))
+            reps[sk] = min(stable or [ud.normalize("NFC", sk)], key=lambda m: (-counts.get(m, 0), ud.decomposition(m[0]).startswith("<"), len(m), not m.isascii(), -built[m[0]], m))
     for sk in members:
         if sk not in reps:
             reps[sk] = "".join(reps.get(c, c) for c in _clusters(sk))
@@ -325,6 +330,12 @@ def rules(counts: Mapping[str, int] | None = None) -> Rules:
     return Rules(rewrite, "".join(sorted(touched | set(_normal_changes()))), invisible_class())
 
 
+@lru_cache(1)
+def _accented() -> Counter[str]:
+    """How many characters are composed of each one and a mark."""
+    return Counter(d[0] for cp in range(0x80, LAST) if len(d := ud.normalize("NFD", chr(cp))) > 1)
+
+
 @lru_cache(1)
 def _normal_changes() -> str:
     """Characters that normalisation C may join, reorder or replace, and the invisible ones."""

@@ -1,11 +1,17 @@
 """Encode a whole corpus with a public byte-level BPE tokenizer, reusing what documents share.
 
 Texts are cut into content-defined chunks by a rolling hash. Every distinct chunk of the corpus is
-encoded once, its ids are joined back to the places where it occurs, and the chunks of a document
-are put together. Cuts prefer places where the ids of both sides can simply be joined (a blank after
-a visible character: the tokenizer's pattern never spans it). A chunk that grows beyond ``MAX_CHUNK``
-without such a place is cut anyway; that join is repaired by encoding a window around it anew,
-widened until it agrees with the ids on both of its sides.
+encoded once, its ids go back to the places where it occurs, and the chunks of a document are put
+together. (A chunk that holds more than ``HOT`` of a task's chunks is spread by task, so that no task
+gets all places of a hot chunk; it is then encoded once a part.) The corpus is read once.
+
+Cuts prefer safe places, where the ids of both sides can simply be joined since the tokenizer's pattern
+never spans them: a blank after anything visible, and a sign after an ideograph, kana or Hangul. A
+stretch of more than ``MAX_CHUNK`` bytes without a safe place is cut anyway. Such joins are repaired:
+pieces of the pattern that a cut went through, or changed, are encoded anew; in a piece that spans
+several chunks, a window around each cut is encoded anew and widened until the pairs of ids at both
+its edges agree with the ids beside it. Ids of a piece are right if every two neighbours are the ids
+of their common bytes, so agreement at the edges is exact; the work is linear in the text's length.
 
 Null and empty texts give an empty list. Rows are kept as they are: repeated rows and repeated or
 null ids give one result row each. Other columns are ignored.
@@ -14,7 +20,9 @@ null ids give one result row each. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import unicodedata
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,12 +38,17 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WINDOW = 16  # bytes under the rolling hash
 MEAN_CUTS = 40  # admissible places per cut: chunks of about 300 bytes
 MAX_CHUNK = 8192
+FORCED = 2048  # mean bytes of chunks in a stretch without safe places
+#: Above this share of a task's chunks, a chunk's places are spread by task.
+HOT, PARTS = 1 / 64, 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _SEEN = np.zeros(256, bool)
 _SEEN[0x21:0x7F] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
@@ -60,27 +73,66 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return s
 
 
+def _safe(data: np.ndarray) -> np.ndarray:
+    """Places of ``data`` before which and after which ids are those of the whole; none is within a code point."""
+    n = len(data)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    blank = np.flatnonzero(_BLANK[data[1:]]) + 1
+    before = data[blank - 1]
+    wide = before >= 0x80
+    ok = _SEEN[before]
+    if wide.any():
+        w = blank[wide]
+        a, b, c = (np.where(w >= k, data[np.maximum(w - k, 0)], 0) for k in (3, 2, 1))
+        # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+        space = (b == 0xC2) & ((c == 0x85) | (c == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+        space |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        ok[wide] = ~space
+    blank = blank[ok]
+    # after U+5000..U+9FFF, U+3041..U+3096, U+30A1..U+30FA or U+B000..U+CFFF: a sign of ASCII, U+3001, U+3002 or a full-width one
+    at = np.flatnonzero((data[:-3] >= 0xE3) & (data[:-3] <= 0xEC)) if n > 3 else np.zeros(0, np.int64)
+    if len(at):
+        a, b, c, d = (data[at + k].astype(np.int64) for k in range(4))
+        kana = (b << 8) | c
+        letter = (a >= 0xE5) & (a <= 0xE9) | (a >= 0xEB) | (a == 0xE3) & ((kana >= 0x8181) & (kana <= 0x8296) | (kana >= 0x82A1) & (kana <= 0x83BA))
+        at = at[letter & (_SIGN[d] | (d == 0xE3) | (d == 0xEF))] + 3
+        wide = data[at] >= 0x80
+        x, y = np.where(at + 1 < n, data[np.minimum(at + 1, n - 1)], 0), np.where(at + 2 < n, data[np.minimum(at + 2, n - 1)], 0)
+        first = data[at]
+        at = at[~wide | (first == 0xE3) & (x == 0x80) & ((y == 0x81) | (y == 0x82)) | (first == 0xEF) & (x == 0xBC) & ((y == 0x81) | (y == 0x8C) | (y >= 0x9A) & (y <= 0x9B) | (y == 0x9F))]
+    return np.union1d(blank, at)
+
+
 def cut_places(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Content-defined cuts within texts that begin at ``starts`` of ``data``: (places, safe)."""
     n = len(data)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    places = np.flatnonzero(_BLANK[data[1:]] & _SEEN[data[:-1]]) + 1
+    s, (_, q) = rolling(data), powers(n)
+    places = _safe(data)
     begin = starts[np.searchsorted(starts, places, "right") - 1]
     places = places[places - begin >= WINDOW]
-    s, (_, q) = rolling(data), powers(n)
     h = (s[places] - s[places - WINDOW]) * q[places - WINDOW]
     places = places[(h >> np.uint64(33)) % np.uint64(MEAN_CUTS) == 0]
     bounds = np.union1d(starts, places)
     ends = np.append(bounds[1:], n)
     forced = []
-    for b, e in zip(bounds[ends - bounds > MAX_CHUNK], ends[ends - bounds > MAX_CHUNK], strict=True):
-        at = b + MAX_CHUNK
-        while at < e:
-            while at > b and data[at] & 0xC0 == 0x80:  # not within a code point
-                at -= 1
-            forced.append(at)
-            at += MAX_CHUNK
+    for b, e in zip(bounds[ends - bounds > MAX_CHUNK].tolist(), ends[ends - bounds > MAX_CHUNK].tolist(), strict=True):
+        at = np.arange(b + WINDOW, e)
+        at = at[data[at] & 0xC0 != 0x80]  # not within a code point
+        hashes = (s[at] - s[at - WINDOW]) * q[at - WINDOW]
+        chosen = at[(hashes >> np.uint64(33)) % np.uint64(FORCED) == 0].tolist()
+        last = b
+        for x in [*chosen, e]:
+            while x - last > MAX_CHUNK:
+                last += MAX_CHUNK
+                while data[last] & 0xC0 == 0x80:
+                    last -= 1
+                forced.append(last)
+            if x < e:
+                forced.append(x)
+                last = x
     if not forced:
         return places, np.ones(len(places), bool)
     f = np.asarray(forced, np.int64)
@@ -104,39 +156,59 @@ def chunk_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, begins, np.append(begins[1:], len(data)), rows[np.searchsorted(starts, begins, "right") - 1], safe
 
 
-def _chunks(with_text: bool):  # noqa: ANN202
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("text", pa.binary())] if with_text else [("row", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("safe", pa.bool_()), ("text", pa.binary())])
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, pos, k1, k2, safe, near, text) of every chunk.
+
+    ``text`` is there the first time a chunk occurs in the task, and for ``near``: chunks of a stretch
+    that has joins to repair. ``doc_id`` is there with a text's first chunk. An empty text is a row
+    whose position is -1.
+    """
+    import xxhash
+
+    task = TaskContext.get().partitionId()
+    row, part = task << 40, np.int64(task % PARTS + 1)
+    seen: set[bytes] = set()
+    met: Counter[bytes] = Counter()
+    total = 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            b = whole.slice(at, 2000)
+            data, begins, ends, rows, safe = chunk_batch(b.column(1))
+            mem = memoryview(data)
+            keys = [xxhash.xxh3_128_digest(mem[x:y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
+            n = len(keys)
+            total += n
+            met.update(keys)
+            hot = {k for k, m in met.most_common(int(1 / HOT)) if m > max(total * HOT, 1000)}
+            two = np.frombuffer(b"".join(keys), np.dtype(">i8")).astype(np.int64).reshape(-1, 2).copy()
+            spread = np.fromiter((k in hot for k in keys), bool, n) if hot else np.zeros(n, bool)
+            two[spread, 1] += part
+            near = np.zeros(n, bool)
+            if not safe.all():
+                group = np.cumsum(safe)
+                near = np.isin(group, group[~safe])
+            text = []
+            for i, (k, x, y) in enumerate(zip(keys, begins.tolist(), ends.tolist(), strict=True)):
+                k = (k, True) if spread[i] else k
+                if k not in seen:
+                    seen.add(k)
+                    text.append(bytes(mem[x:y]))
+                else:
+                    text.append(bytes(mem[x:y]) if near[i] else None)
+            first = np.r_[True, rows[1:] != rows[:-1]] if n else np.zeros(0, bool)
+            pos = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else rows
+            empty = np.setdiff1d(np.arange(b.num_rows), rows)
+            # an empty text meets no chunk; the key spreads such rows
+            away = (empty + row) * 0x5851F42D
+            pad = np.zeros(len(empty), np.int64)
+            ids = b.column(0)
+            ids = pa.concat_arrays([pa.compute.if_else(pa.array(first), ids.take(pa.array(rows)), pa.scalar(None, pa.int64())) if n else ids.slice(0, 0), ids.take(pa.array(empty))])
+            cols = [np.concatenate([rows, empty]) + row, ids, np.concatenate([pos, pad - 1]).astype(np.int32), np.concatenate([two[:, 0], away]), np.concatenate([two[:, 1], pad]), np.concatenate([safe, pad == 0]), np.concatenate([near, pad != 0])]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols] + [pa.array([*text, *[None] * len(empty)], pa.binary())], schema=_PLACES)
+            row += b.num_rows
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        row = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                data, begins, ends, rows, safe = chunk_batch(b.column(1))
-                mem = memoryview(data)
-                keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(mem[x:y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]), np.dtype(">i8")).astype(np.int64).reshape(-1, 2)
-                if with_text:
-                    text = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(data)).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), text], schema=schema)
-                else:
-                    first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
-                    pos = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0)) if len(rows) else rows
-                    near = ~safe | np.r_[~safe[1:], False] if len(safe) else safe
-                    text = [bytes(mem[x:y]) if t else None for x, y, t in zip(begins.tolist(), ends.tolist(), near.tolist(), strict=True)] if near.any() else pa.nulls(len(rows), pa.binary())
-                    empty = np.setdiff1d(np.arange(b.num_rows), rows)
-                    # an empty text is a row of its own whose key meets no chunk; the key spreads such rows
-                    spread = (empty + row) * 0x5851F42D
-                    ids = b.column(0).take(pa.array(np.concatenate([rows, empty])))
-                    pad = np.zeros(len(empty), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([rows, empty]) + row), ids, pa.array(np.concatenate([pos, pad]).astype(np.int32)), pa.array(np.concatenate([keys[:, 0], spread])), pa.array(np.concatenate([keys[:, 1], pad])), pa.array(np.concatenate([safe, pad == 0])), pa.concat_arrays([pa.array(text, pa.binary()), pa.nulls(len(empty), pa.binary())])],
-                        schema=schema,
-                    )
-                row += b.num_rows
-
-    return run
+_PLACES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("safe", pa.bool_()), ("near", pa.bool_()), ("text", pa.binary())])
 
 
 class Encoder:
@@ -149,7 +221,12 @@ class Encoder:
 
         import tiktoken
 
-        self.plain = tiktoken.Encoding("graphloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        import regex
+
+        e = tiktoken.Encoding("graphloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.plain, self.one = e.encode_ordinary, e._encode_single_piece
+        self.bytes_of = {v: k for k, v in ranks.items()}
+        self.split = regex.compile(pattern).finditer
         self.dtype = np.dtype(np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32)
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for k, v in ranks.items():
@@ -176,36 +253,97 @@ class Encoder:
             out.append(x)
         return b"".join(out)
 
+    def bpe(self, piece: bytes) -> np.ndarray:
+        """Ids of bytes that are one piece of the pattern, or part of one."""
+        return np.asarray(self.one(piece), self.dtype)
+
     def joined(self, parts: list[tuple[bytes | None, bytes, bool]]) -> bytes:
         """The ids of a document from ``(text near a repair, ids, begins safely)`` of its chunks, in order."""
         out: list[bytes] = []
-        text: bytes = b""
-        for t, ids, safe in parts:
-            if safe:
-                out.append(ids)
-                text = t or b""
-            else:
-                out[-1] = self._repair(text, out[-1], t or b"", ids)
-                text += t or b""
+        at = 0
+        while at < len(parts):
+            end = at + 1
+            while end < len(parts) and not parts[end][2]:
+                end += 1
+            out.append(parts[at][1] if end == at + 1 else self._stretch([t or b"" for t, _, _ in parts[at:end]], [i for _, i, _ in parts[at:end]]))
+            at = end
         return b"".join(out)
 
-    def _repair(self, left: bytes, left_ids: bytes, right: bytes, right_ids: bytes) -> bytes:
-        a, b = np.frombuffer(left_ids, self.dtype), np.frombuffer(right_ids, self.dtype)
-        at_a, at_b = np.r_[0, np.cumsum(self.size[a])], np.r_[0, np.cumsum(self.size[b])]
-        back, on = _safe_places(left)[::-1] + [0], _safe_places(right) + [len(right)]
-        i = j = 0
+    def _pieces(self, text: bytes) -> np.ndarray | None:
+        """Ends of the pattern's pieces in bytes; None if the text holds characters unknown to Unicode's tables here."""
+        s = text.decode()
+        ends = np.fromiter((m.end() for m in self.split(s)), np.int64)
+        if s.isascii():
+            return ends
+        cp = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+        if any(unicodedata.category(chr(c)) == "Cn" for c in np.unique(cp[cp > 0x7F]).tolist()):
+            return None
+        size = 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
+        return np.r_[0, np.cumsum(size)][ends]
+
+    def _stretch(self, texts: list[bytes], ids: list[bytes]) -> bytes:
+        """The ids of consecutive chunks whose joins are not safe."""
+        whole = b"".join(texts)
+        ends = self._pieces(whole)
+        if ends is None:
+            return self.ids(whole.decode()).tobytes()
+        starts = np.r_[0, ends[:-1]]
+        cuts = np.cumsum([0] + [len(t) for t in texts])
+        # where chunk i begins in the ids put end to end, and where each of its tokens begins in the text
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        token_at = np.r_[0, np.cumsum(self.size[flat])]
+        same = np.zeros(len(starts), bool)  # pieces that a chunk has alike
+        for i, t in enumerate(texts):
+            own = self._pieces(t) + cuts[i]
+            lo, hi = np.searchsorted(starts, cuts[i]), np.searchsorted(ends, cuts[i + 1], "right")
+            at = np.searchsorted(own, ends[lo:hi])
+            begin = np.r_[cuts[i], own[:-1]]
+            at = np.minimum(at, len(own) - 1)
+            same[lo:hi] = (own[at] == ends[lo:hi]) & (begin[at] == starts[lo:hi])
+        out: list[np.ndarray] = []
+        k = 0
+        while k < len(starts):
+            if same[k]:
+                rest = np.flatnonzero(~same[k:])
+                to = k + int(rest[0]) if len(rest) else len(starts)
+                out.append(flat[np.searchsorted(token_at, starts[k]) : np.searchsorted(token_at, ends[to - 1])])
+                k = to
+                continue
+            a, e = int(starts[k]), int(ends[k])
+            marks = [a, *cuts[np.searchsorted(cuts, a, "right") : np.searchsorted(cuts, e)].tolist(), e]
+            done: list[int] = []
+            for x, y in zip(marks, marks[1:], strict=False):
+                i = int(np.searchsorted(cuts, x, "right")) - 1
+                if x == cuts[i] and y == cuts[i + 1] and len(self._pieces(texts[i])) == 1:
+                    new = flat[np.searchsorted(token_at, x) : np.searchsorted(token_at, y)]
+                else:
+                    new = self.bpe(whole[x:y])
+                done = self._meet(done, new.tolist())
+            out.append(np.asarray(done, self.dtype))
+            k += 1
+        return np.concatenate(out).astype(self.dtype).tobytes()
+
+    def _meet(self, left: list[int], right: list[int]) -> list[int]:
+        """The ids of two halves of a piece: a window around the join is widened until it agrees with both sides."""
+        if not left:
+            return right
+        i = j = 4
         while True:
-            x, y = int(np.searchsorted(at_a, back[i])), int(np.searchsorted(at_b, on[j]))
-            ok_a, ok_b = at_a[x] == back[i], at_b[y] == on[j]
+            i, j = min(i, len(left)), min(j, len(right))
+            window = left[len(left) - i :] + right[:j]
+            mid = self.one(b"".join(self.bytes_of[x] for x in window))
+            ok_a = i == len(left) or self._neighbours(left[-i - 1], mid[0])
+            ok_b = j == len(right) or self._neighbours(mid[-1], right[j])
             if ok_a and ok_b:
-                mid = self.ids((left[back[i] :] + right[: on[j]]).decode())
-                return np.concatenate([a[:x], mid, b[y:]]).astype(self.dtype).tobytes()
-            i, j = i + (not ok_a), j + (not ok_b)  # no token ends there: widen the window
-
+                del left[len(left) - i :]
+                left += mid
+                left += right[j:]
+                return left
+            i, j = i if ok_a else 2 * i, j if ok_b else 2 * j
 
-def _safe_places(text: bytes) -> list[int]:
-    d = np.frombuffer(text, np.uint8)
-    return (np.flatnonzero(_BLANK[d[1:]] & _SEEN[d[:-1]]) + 1).tolist() if len(d) > 1 else []
+    def _neighbours(self, a: int, b: int) -> bool:
+        """Whether two ids are those of their common bytes."""
+        return list(self.one(self.bytes_of[a] + self.bytes_of[b])) == [a, b]
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -228,16 +366,27 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
         return _held[key]
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    places = src.mapInArrow(_chunks(False), "row long, doc_id long, pos int, k1 long, k2 long, safe boolean, text binary")
-    chunks = src.mapInArrow(_chunks(True), "k1 long, k2 long, text binary").groupBy("k1", "k2").agg(F.first("text").alias("chunk"))
+    places = src.mapInArrow(_chunks, "row long, doc_id long, pos int, k1 long, k2 long, safe boolean, near boolean, text binary")
 
-    @F.arrow_udf("binary")
-    def encode(chunk: pa.Array) -> pa.Array:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a chunk come one after another, one with its text first: encoded once, its ids go to all."""
         e = encoder()
-        return pa.array([e.encode(c) for c in chunk.to_pylist()], pa.binary())
-
-    coded = chunks.select("k1", "k2", encode("chunk").alias("ids"))
-    parts = places.join(coded.hint("merge"), ["k1", "k2"], "left").select("row", "doc_id", "pos", "safe", "text", "ids")
+        last, ids = None, b""
+        for b in batches:
+            k1, k2 = (b.column(i).to_numpy() for i in (3, 4))
+            change = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]) if len(k1) else []
+            out: list[bytes | None] = []
+            text, pos = b.column(7), b.column(2).to_numpy()
+            for x, y in zip(change, [*change[1:], len(k1)], strict=True):
+                key = (k1[x], k2[x])
+                if key != last:
+                    last, ids = key, None if pos[x] < 0 else e.encode(text[x].as_py())
+                out += [ids] * int(y - x)
+            kept = pa.compute.if_else(b.column(6), text, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(5), kept, pa.array(out, pa.binary())], names=["row", "doc_id", "pos", "safe", "text", "ids"])
+
+    coded = places.repartition("k1", "k2").sortWithinPartitions("k1", "k2", F.col("text").isNull())
+    parts = coded.mapInArrow(encode, "row long, doc_id long, pos int, safe boolean, text binary, ids binary")
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder()

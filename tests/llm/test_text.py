@@ -71,7 +71,7 @@ def test_no_class_holds_real_differences() -> None:
         if any(c.isascii() for c in one):
             # neither two cases of a letter, nor numbers of different value, nor a letter that is a digit
             assert not [c for c in one if c.lower() != c and c.lower() in one], one
-            assert len({ud.numeric(c, None) for c in one}) == 1, one
+            assert len({ud.digit(c, None) for c in one}) == 1, one
     plain = "Σίσυφος ἀνέβη λόγος · Съешь ещё этих мягких булок · שלום · سلام ١٢٣ · 日本語カタカナ"
     assert FORM.form(plain).isprintable() and len(FORM.form(plain)) == len(ud.normalize("NFC", plain)) and "C" not in FORM.form("ΣΣ")
 
@@ -154,6 +154,36 @@ def test_repair_agrees_at_any_cut() -> None:
         assert np.frombuffer(enc.joined(parts), enc.dtype).tolist() == enc.plain(t)
 
 
+def test_long_texts_without_blanks_take_linear_work() -> None:
+    import time
+
+    import pyarrow as pa
+
+    enc, r = tokenize.Encoder(tokenize.read_vocabulary(), tokenize.PATTERN), random.Random(6)
+
+    def join(t: str) -> list[int]:
+        d, b, e, _, safe = tokenize.chunk_batch(pa.array([t]))
+        return np.frombuffer(enc.joined([(bytes(d[x:y]), enc.encode(bytes(d[x:y])), bool(s)) for x, y, s in zip(b, e, safe, strict=True)]), enc.dtype).tolist()
+
+    for alphabet in ("abcdefghij0123456789_-/=+", "".join(map(chr, range(0x4E00, 0x9F00, 7))), "aбв"):
+        t = "".join(r.choice(alphabet) for _ in range(100_000))
+        assert join(t) == enc.plain(t)
+        begin = time.process_time()
+        join(t * 3)
+        assert time.process_time() - begin < 20
+    for unit, most in (("Съешь ещё этих мягких ", 0), ("日本語の文、です。", 0)):
+        d, b, e, _, safe = tokenize.chunk_batch(pa.array([unit * 5000 if most else "".join(unit + str(r.randrange(10**6)) + "漢。" for _ in range(3000))]))
+        assert safe.all() and 20 < len(b)
+
+
+def test_a_chunk_of_very_many_texts_is_spread(spark) -> None:  # noqa: ANN001
+    enc = plain()
+    t = "the same message again and again, with some words and 12 numbers"
+    df = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, F.lit(t)).otherwise(F.concat(F.lit("doc "), F.col("id"))).alias("text"))
+    got = {x.doc_id: list(x.ids) for x in tokenize.encode_corpus(df).collect()}
+    assert len(got) == 20_000 and all(got[i] == enc(t if i % 3 < 2 else f"doc {i}") for i in range(0, 20_000, 37))
+
+
 # -- leaks
 def words(t):  # noqa: ANN001, ANN201
     return [w for w in re.split(r"[\W_]+", FORM.form(FORM.form(t).lower())) if w] if t else []
