@@ -1,8 +1,9 @@
 """Find held-out evaluation items whose passages occur in a corpus.
 
 Every n-gram of an item is a seed, however many documents hold it. Documents that hold a seed are
-aligned with the item (Smith-Waterman on words), which scores copies, edited ones too; so whether a
-document and an item are aligned follows from the two alone, not from the rest of the corpus.
+aligned with the item (Smith-Waterman on words), which scores copies, edited ones too, and counts from
+``LEAST`` on; so whether a document and an item are reported follows from the two alone, not from the
+rest of the corpus.
 
 Where only ``RUN`` consecutive words in common are asked for, the rarest n-gram of every window of
 ``RUN`` words is seed enough, rare by the number of corpus documents that hold it: such a document
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +33,10 @@ RUN = 13
 #: Items are taken in blocks of about so many words; the n-grams of a block are what is sent to executors.
 BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: An alignment counts from the score on that ``RUN`` words, of which four in five agree, can have.
+LEAST = 0.8 * MATCH * RUN
+#: Cells of alignments computed at once.
+CELLS = 1 << 16
 
 _P = np.uint64(0xD6E8FEB86659FD93)
 _P_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -119,22 +123,38 @@ class Members:
         return at[self.values[x] == g[at]]
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman score of two word sequences, and the longest run of words they share."""
-    m = len(b)
-    prev, run_prev = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-    best = longest = 0
-    step = np.arange(m + 1) * -GAP
-    for x in a.tolist():
-        same = b == x
-        h = np.zeros(m + 1, np.int64)
-        h[1:] = np.maximum(np.maximum(prev[:-1] + np.where(same, MATCH, MISMATCH), prev[1:] + GAP), 0)
-        h = np.maximum.accumulate(h + step) - step  # gaps within b
-        best = max(best, int(h.max()))
-        run = np.zeros(m + 1, np.int64)
-        run[1:] = np.where(same, run_prev[:-1] + 1, 0)
-        longest = max(longest, int(run.max()))
-        prev, run_prev = h, run
+def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Smith-Waterman scores of pairs of word sequences, and the longest runs of words they share.
+
+    Pairs of like size are aligned together, one word of all their first sequences at a time.
+    """
+    best, longest = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    while order:
+        m, k = len(pairs[order[-1]][1]), 1
+        while k < len(order) and k * m < CELLS and 2 * len(pairs[order[-k - 1]][1]) >= m:
+            k += 1
+        group, order = order[-k:], order[:-k]
+        n = max(len(pairs[i][0]) for i in group)
+        a, b = np.full((k, n), -2, np.int32), np.full((k, m), -3, np.int32)  # padding equals nothing
+        for r, i in enumerate(group):
+            a[r, : len(pairs[i][0])], b[r, : len(pairs[i][1])] = pairs[i]
+        prev, run = np.zeros((k, m + 1), np.int32), np.zeros((k, m + 1), np.int32)
+        top, most = np.zeros(k, np.int32), np.zeros(k, np.int32)
+        step = (np.arange(m + 1) * -GAP).astype(np.int32)
+        for x in range(n):
+            same = b == a[:, x : x + 1]
+            h = np.zeros_like(prev)
+            np.maximum(prev[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), prev[:, 1:] + np.int32(GAP), out=h[:, 1:])
+            np.maximum(h, 0, out=h)
+            h += step
+            np.maximum.accumulate(h, axis=1, out=h)  # gaps within the second sequence
+            h -= step
+            np.maximum(top, h.max(1), out=top)
+            run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+            np.maximum(most, run.max(1), out=most)
+            prev = h
+        best[group], longest[group] = top, most
     return best, longest
 
 
@@ -180,34 +200,42 @@ def _blocks(items: DataFrame, words: Words) -> Iterator[list[tuple[int, list[str
         yield block
 
 
-def _seeds(grams: dict[int, np.ndarray], df: dict[int, int], runs: bool) -> dict[int, set[int]]:
-    """N-grams of each item -> items: all, or with ``runs`` the rarest of every window, however frequent.
+def _seeds(grams: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, item) in ascending order: all n-grams, or with ``counts`` the rarest of every window, however frequent.
 
-    N-grams that no document holds don't count.
+    ``counts`` are n-grams, ascending, and how many documents hold them; those that none holds are left out.
     """
-    out: dict[int, set[int]] = defaultdict(set)
-    per = RUN - GRAM + 1 if runs else 1
-    for item, g in grams.items():
-        gs = g.astype(np.int64).tolist()
-        for i in range(len(gs) - per + 1):
-            seen = [(df[x], x) for x in gs[i : i + per] if x in df]
-            if seen:
-                out[min(seen)[1]].add(item)
-    return out
-
-
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", runs: bool = False) -> DataFrame:
-    """(doc_id, item_id, score, identity, run) of documents that hold ``GRAM`` consecutive words of an item.
-
-    ``score`` is that of the best local alignment (match 2, mismatch -1, gap -1), ``identity`` the
-    score by twice the item's words, ``run`` the most consecutive words in common. With ``runs``,
-    documents without ``RUN`` consecutive words in common may be left out.
+    per, keys, items = RUN - GRAM + 1, [], []
+    for item, g in enumerate(grams):
+        g = g.astype(np.int64)
+        if counts is not None:
+            known, n = counts
+            at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
+            never = np.iinfo(np.int64).max
+            c = np.where(known[at] == g, n[at], never) if len(known) else np.full(len(g), never)
+            rarest = np.lib.stride_tricks.sliding_window_view(c, per).argmin(1) + np.arange(len(g) - per + 1)
+            g = g[rarest[c[rarest] < never]]
+        g = np.unique(g)
+        keys.append(g)
+        items.append(np.full(len(g), item, np.int64))
+    k, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, items))
+    order = np.lexsort((v, k))
+    return k[order], v[order]
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", runs: bool = False, least: float = LEAST) -> DataFrame:
+    """(doc_id, item_id, score, identity, run) of documents that hold ``GRAM`` consecutive words of an item and align with it.
+
+    ``score`` is that of the best local alignment (match 2, mismatch -1, gap -1), at least ``least``;
+    ``identity`` the score by twice the item's words, ``run`` the most consecutive words in common. With
+    ``runs``, documents without ``RUN`` consecutive words in common may be left out.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("text") != "")
     its = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter(F.col("text") != "")
     r = rules()
     words = Words(Canonicaliser(r))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out: DataFrame | None = None
     for block in _blocks(its, words):
         texts = [w for _, w in block if len(w) >= RUN]
@@ -215,47 +243,63 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
         if not ids:
             continue
         row, g = words.grams([" ".join(w) for w in texts])
-        grams = dict(enumerate(np.split(g, np.flatnonzero(row[1:] != row[:-1]) + 1)))
-        hits = written(_hits(src, g, r), "leak-hits")
-        # at most as many rows as the block has n-grams
-        df = {x.g: x.n for x in hits.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-        seeds = {k: sorted(v) for k, v in _seeds(grams, df, runs).items()}
-        bc, key = spark.sparkContext.broadcast((seeds, ids, texts)), uuid.uuid4().hex
-        found = hits.mapInArrow(_aligner(bc, key), "doc_id long, item_id long, score long, identity double, run long")
+        grams = np.split(g, np.flatnonzero(row[1:] != row[:-1]) + 1)
+        hits, counts = _hits(src, g, r), None
+        if runs:
+            hits = written(hits, "leak-hits")
+            # at most as many rows as the block has n-grams
+            df = hits.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("g")
+            counts = df["g"].to_numpy(np.int64), df["n"].to_numpy(np.int64)
+        code = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+        coded = [np.array([code[w] for w in t], np.int32) for t in texts]
+        bc, key = spark.sparkContext.broadcast((_seeds(grams, counts), code, coded)), uuid.uuid4().hex
+        # pairs are spread over all tasks whatever documents they come from
+        pairs = hits.mapInArrow(_candidates(bc, key), "doc_id long, item int, words binary").repartition(tasks, "doc_id", "item")
+        found = pairs.mapInArrow(_aligner(bc, ids), "doc_id long, item_id long, score long, identity double, run long").filter(F.col("score") >= least)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score long, identity double, run long")
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("identity").alias("identity"), F.max("run").alias("run"))
 
 
-def _aligner(bc, key: str):  # noqa: ANN001, ANN202
+def _candidates(bc, key: str):  # noqa: ANN001, ANN202
+    """Documents with seeds -> one row for each item they may hold, with the document's words near the item's."""
+    schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("words", pa.binary())])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int64()), ("identity", pa.float64()), ("run", pa.int64())])
-        seeds, ids, texts = bc.value
-        if key not in _held:
-            _held.clear()
-            code = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
-            _held[key] = code, [np.array([code[w] for w in t]) for t in texts]
-        code, coded = _held[key]
+        (seeds, of), code, coded = bc.value
         for b in batches:
             rows = []
             for doc, grams, plain in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                near = {i for g in grams if g in seeds for i in seeds[g]}
+                g = np.asarray(grams, np.int64)
+                lo, hi = np.searchsorted(seeds, g), np.searchsorted(seeds, g, "right")
+                near = sorted({int(i) for x, y in zip(lo.tolist(), hi.tolist(), strict=True) if x < y for i in of[x:y]})
                 if not near:
                     continue
-                d = np.array([code.get(w, -1) for w in _apart.split(plain) if w])
-                for i in sorted(near):
-                    t = coded[i]
+                d = np.array([code.get(w, -1) for w in _apart.split(plain) if w], np.int32)
+                for i in near:
                     # words of the item in the document; what lies further than the item is long from any cannot align
-                    at = np.flatnonzero(np.isin(d, t))
-                    score, longest = align(t, _near(d, at, len(t)))
-                    rows.append((doc, ids[i], score, score / (MATCH * len(t)), longest))
+                    rows.append((doc, i, _near(d, np.flatnonzero(np.isin(d, coded[i])), len(coded[i])).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+def _aligner(bc, ids: list[int]):  # noqa: ANN001, ANN202
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int64()), ("identity", pa.float64()), ("run", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = bc.value[2]
+        for b in batches:
+            items = b.column(1).to_pylist()
+            score, longest = align([(coded[i], np.frombuffer(w, np.int32)) for i, w in zip(items, b.column(2).to_pylist(), strict=True)])
+            whole = np.array([MATCH * len(coded[i]) for i in items])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids[i] for i in items], pa.int64()), pa.array(score), pa.array(score / whole) if len(items) else pa.array([], pa.float64()), pa.array(longest)], schema=schema)
+
+    return run
+
+
 def _near(d: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """The document's words without stretches of more than 3n words none of which is the item's.
 
@@ -266,7 +310,7 @@ def _near(d: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     breaks = np.flatnonzero(np.diff(at) > 3 * n)
     parts = []
     for lo, hi in zip(np.r_[at[0], at[breaks + 1]], np.r_[at[breaks], at[-1]], strict=True):
-        parts += [d[lo : hi + 1], np.full(3 * n, -1)]
+        parts += [d[lo : hi + 1], np.full(3 * n, -1, np.int32)]
     return np.concatenate(parts)
 
 

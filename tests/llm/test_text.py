@@ -247,6 +247,61 @@ def test_edited_copies_are_found_however_many_copies_there_are(spark) -> None:
     assert leakage.leaked_items(copies, e).count() == 1100
 
 
+def local(a: list[str], b: list[str]) -> int:
+    """The textbook's Smith-Waterman score."""
+    prev, best = [0] * (len(b) + 1), 0
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b, 1):
+            row.append(max(0, prev[j - 1] + (2 if x == y else -1), prev[j] - 1, row[-1] - 1))
+        best, prev = max(best, *row), row
+    return best
+
+
+def test_alignments_against_a_loop_over_all_pairs(spark) -> None:  # noqa: ANN001
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(80)]
+    items = {i: [r.choice(vocabulary) for _ in range(r.choice([13, 25, 60]))] for i in range(12)}
+    docs = {}
+    for i in range(60):
+        t = [r.choice(vocabulary) for _ in range(r.randrange(80))]
+        for _ in range(r.randrange(3)):
+            src = r.choice(list(items.values()))
+            at = r.randrange(len(t) + 1)
+            t[at:at] = [r.choice(vocabulary) if r.random() < 0.15 else w for w in src if r.random() > 0.05]
+        docs[i] = t
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = {(i, j): s for i, d in docs.items() for j, t in items.items() if grams(d) & grams(t) and (s := local(t, d)) >= leakage.LEAST}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")
+    e = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in leakage.leaks(d, e).collect()}
+    assert got == want and len(want) > 20
+
+
+RECALL = {0.05: 0.99, 0.1: 0.98, 0.15: 0.95}
+
+
+@pytest.mark.parametrize("rate", RECALL)
+def test_recall_of_copies_edited_at_a_known_rate(spark, sf: str, rate: float) -> None:  # noqa: ANN001
+    """Each word of an item is replaced, left out or followed by another at ``rate``; 240 items in long documents."""
+    r = random.Random(int(rate * 100))
+    items = [x for x in spark.read.parquet(f"{sf}/eval_items.parquet").select("item_id", "text").collect() if x.text]
+    filler = sorted({w for x in items for w in words(x.text)})
+    docs = []
+    for x in items:
+        w, out = words(x.text), []
+        for token in w:
+            u = r.random() / rate
+            out += [r.choice(filler)] if u < 1 / 3 else [] if u < 2 / 3 else [token, r.choice(filler)] if u < 1 else [token]
+        pad = [r.choice(filler) for _ in range(300)]
+        docs.append((x.item_id, " ".join(pad[:150] + out + pad[150:])))
+    found = {(a.doc_id, a.item_id) for a in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x.item_id, x.text) for x in items], "item_id long, text string")).collect()}
+    long = [x.item_id for x in items if len(words(x.text)) >= 13]
+    recall = sum((i, i) in found for i in long) / len(long)
+    print(f"recall at {rate}: {recall:.3f} of {len(long)}, {len(found)} reported")
+    assert recall >= RECALL[rate]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12))
 def test_alignment_against_the_textbook(a: list[int], b: list[int]) -> None:
@@ -256,4 +311,6 @@ def test_alignment_against_the_textbook(a: list[int], b: list[int]) -> None:
         for j, y in enumerate(b, 1):
             h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
             run[i][j] = run[i - 1][j - 1] + 1 if x == y else 0
-    assert leakage.align(np.array(a), np.array(b)) == (max(map(max, h)), max(map(max, run)))
+    more = [(np.array(x, np.int32), np.array(y, np.int32)) for x, y in ((a, b), ([1, 2, 3], [1, 2, 3, 1]), ([], [1]), ([1], []))]
+    score, longest = leakage.align(more)
+    assert score.tolist() == [max(map(max, h)), 6, 0, 0] and longest.tolist() == [max(map(max, run)), 3, 0, 0]
