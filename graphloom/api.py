@@ -101,5 +101,5 @@ def export_edges(view: GraphView, types: Sequence[str] | None = None, limit: int
     """(src, dst, type, props) of edges of any of ``types`` (None: all)."""
     keys = list(view.catalog.edge_keys)
     props = F.to_json(F.struct(*[F.col(f"`{column(k)}`").alias(k) for k in keys])) if keys else F.lit("{}")
-    df = view.edges(types, keys, True).select("src", "dst", "type", props.alias("props"))
-    return df if limit is None else df.orderBy("src", "dst").limit(limit)
+    df = view.edges(types, keys, True).select("src", "dst", "type", "eid", props.alias("props"))
+    return (df if limit is None else df.orderBy("src", "dst", "type", "eid", "props").limit(limit)).drop("eid")

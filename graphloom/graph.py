@@ -1,16 +1,18 @@
 """A mutable property graph: immutable versions of two tables, a log, transactions and constraints.
 
 Every commit gives a new version; a version, once taken, never changes, so a pinned one is a true
-snapshot. A commit is written to the log first, as one folder, and counts if its CommitTxn record is
-there with the number of records before it. Bulk changes (SET and DELETE of a query) stay DataFrames
-from the match to the log to the next version; nothing of them passes through the driver.
+snapshot. A commit is written to the log first, as one folder, and counts once its commit file is in
+place (``journal``). Bulk changes (SET and DELETE of a query) stay DataFrames from the match to the log
+to the next version; nothing of them passes through the driver. Changes of single entities are kept
+on the driver as one net change over the stored tables, so that a version is one join deep however
+many commits it has; they are folded into new tables when there are many.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -24,13 +26,20 @@ from .model import GraphView, column, view_of
 from .plans.compile import Diagnostic, Planner, Rows
 from .plans.query import CACHE
 from .plans.syntax import Item, Statement, Var
-from .session import remove, scratch
+from .journal import LOG, SCHEMA_OPS, Files, Journal
+from .session import scratch
 
 NODE = "vid long, logical_id string, labels array<string>, null_keys array<string>"
 EDGE = "eid long, logical_id string, src long, dst long, type string, null_keys array<string>"
-LOG = "lsn long, txn_id long, op string, vid long, eid long, src long, dst long, type string, labels array<string>, removed array<string>, logical_id string, key string, value string, prev_value string, commit_lsn long, n_records long"
-#: Commits kept as deltas over the last stored tables before they are folded into new ones.
+#: Bulk changes kept as deltas over the last stored tables before they are folded into new ones.
 FOLD_AFTER = 8
+#: Changes of single entities kept on the driver before they are folded.
+FOLD_OPS = 10_000
+#: A checkpoint is due beyond so many bytes of log.
+CHECKPOINT_BYTES = 8 << 20
+#: Commits of a level other than fsync held back at most, until the next flush.
+GROUP = 256
+DURABILITY = ("fsync", "group", "periodic", "none")
 
 
 @dataclass(frozen=True)
@@ -45,12 +54,13 @@ class Version:
 @dataclass(frozen=True)
 class Constraint:
     kind: str  # unique or exists
-    label: str
+    label: str  # of nodes; empty: all
     key: str
+    owner: str = "node"
 
     @property
     def name(self) -> str:
-        return f"{self.kind}:{self.label}.{self.key}"
+        return f"{self.kind}:{'' if self.owner == 'node' else 'edge '}{self.label}.{self.key}"
 
 
 @dataclass(frozen=True)
@@ -60,6 +70,28 @@ class Index:
     key: str
     unique: bool = False
     label: str | None = None
+    mode: str = "inline"  # inline, deferred, incremental or batch
+
+
+class Pin:
+    """A version that stays readable until it is released, whatever is committed since."""
+
+    def __init__(self, graph: Graph) -> None:
+        self.lsn, self.view, self._graph = graph.current_lsn, graph.view, graph
+        graph.pins.append(self)
+
+    def __getattr__(self, name: str) -> Any:
+        return getattr(self.__dict__["view"], name)
+
+    def release(self) -> None:
+        if self in self._graph.pins:
+            self._graph.pins.remove(self)
+
+    def __enter__(self) -> Pin:
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        self.release()
 
 
 @dataclass
@@ -108,50 +140,97 @@ class Txn:
 
 
 class Graph:
-    def __init__(self, spark: SparkSession, version: Version, path: str | None = None, txn: int = 0) -> None:
+    def __init__(self, spark: SparkSession, version: Version, path: str | None = None, txn: int = 0, ids: tuple[int, int] | None = None) -> None:
         self.spark, self.version = spark, version
         self.path = path or scratch(spark, "graph")
+        self.journal = Journal(spark, self.path)
         self.constraints: dict[str, Constraint] = {}
         self.indexes: dict[str, Index] = {}
+        self._built: dict[str, Any] = {}
         self.closed = False
+        self.linked = True  # every end of an edge is a node
         self.txn = txn
-        top = version.nodes.agg(F.max("vid")).first()[0], version.edges.agg(F.max("eid")).first()[0]
-        self.next_vid, self.next_eid = (0 if x is None else x + 1 for x in top)
+        self._ids = list(ids) if ids else None
+        self._base, self._ops = version, []  # version = base and what the ops leave
+        self._waiting: list[tuple[int, int, list, list]] = []  # commits not yet in the log
+        self.pins: list[Pin] = []
+        self.checkpoint_commits: int | None = None
+        self.checkpoint_bytes: int | None = None
+        self.on_index_size: Callable[[str, int], None] | None = None
+
+    def _next(self) -> list[int]:
+        """The next node and edge ids, looked up when they are first needed."""
+        if self._ids is None:
+            n = self.version.nodes.select(F.col("vid").alias("a"), F.lit(None).cast("long").alias("b"))
+            e = self.version.edges.select(F.lit(None).cast("long").alias("a"), F.col("eid").alias("b"))
+            self._ids = [0 if x is None else x + 1 for x in n.unionByName(e).agg(F.max("a"), F.max("b")).first()]
+        return self._ids
+
+    @property
+    def next_vid(self) -> int:
+        return self._next()[0]
+
+    @next_vid.setter
+    def next_vid(self, x: int) -> None:
+        self._next()[0] = x
+
+    @property
+    def next_eid(self) -> int:
+        return self._next()[1]
+
+    @next_eid.setter
+    def next_eid(self, x: int) -> None:
+        self._next()[1] = x
 
     # -- opening
     @classmethod
     def empty(cls, spark: SparkSession, path: str | None = None) -> Graph:
-        return cls(spark, Version(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE), Catalog()), path)
+        return cls(spark, Version(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE), Catalog()), path, ids=(0, 0))
 
     @classmethod
-    def of(cls, spark: SparkSession, nodes: DataFrame, edges: DataFrame, catalog: Catalog, path: str | None = None) -> Graph:
-        """From tables (vid, labels, p_<key>...) and (eid, src, dst, type, p_<key>...); further columns are ignored."""
+    def of(cls, spark: SparkSession, nodes: DataFrame, edges: DataFrame, catalog: Catalog, path: str | None = None, dangling: str = "error") -> Graph:
+        """From tables (vid, labels, p_<key>...) and (eid, src, dst, type, p_<key>...); further columns are ignored.
+
+        An edge with an end that is no node is an error; ``dangling="drop"`` leaves such edges out, and
+        ``"keep"`` keeps them: a pattern then finds them only where it doesn't name the missing end.
+        """
+        if dangling not in ("error", "drop", "keep"):
+            raise DataError(f"dangling is error, drop or keep, not {dangling}")
 
         def shaped(df: DataFrame, schema: str, keys: Mapping[str, str]) -> DataFrame:
             cols = [tuple(c.strip().split(" ")) for c in schema.split(",")]
             out = [(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in cols if n != "null_keys"]
             return df.select(*out, F.array().cast("array<string>").alias("null_keys"), *[F.col(f"`{column(k)}`").cast(TYPES[t]).alias(column(k)) for k, t in keys.items() if column(k) in df.columns])
 
-        return cls(spark, Version(shaped(nodes, NODE, catalog.node_keys), shaped(edges, EDGE, catalog.edge_keys), catalog), path)
+        n, e = shaped(nodes, NODE, catalog.node_keys), shaped(edges, EDGE, catalog.edge_keys)
+        if dangling == "error":
+            _no_dangling(e, n)
+        elif dangling == "drop":
+            for end in ("src", "dst"):
+                e = e.join(n.select(F.col("vid").alias(end)), end, "left_semi").select(*e.columns)
+        g = cls(spark, Version(n, e, catalog), path)
+        g.linked = dangling != "keep"
+        return g
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Graph:
-        """The last checkpoint under ``path`` and the committed transactions after it."""
+        """The last checkpoint under ``path`` and the committed transactions after it, up to the first that is torn."""
         from .replay import replay
 
-        fs, where = _fs(spark, path)
-        if not fs.exists(where(f"{path}/current.json")):
+        m = Journal(spark, path).manifests.read()
+        if m is None:
             g = cls.empty(spark, path)
         else:
-            m = json.loads(_read(fs, where(f"{path}/current.json")))
             base = f"{path}/versions/{m['version']}"
             cat = Catalog(m["node_keys"], m["edge_keys"], m["labels"], m["edge_types"])
-            g = cls(spark, Version(spark.read.parquet(f"{base}/nodes"), spark.read.parquet(f"{base}/edges"), cat, m["lsn"]), path, m["txn"])
-            g.constraints = {c["kind"] + f":{c['label']}.{c['key']}": Constraint(**c) for c in m["constraints"]}
-            g.next_vid, g.next_eid = max(g.next_vid, m["next_vid"]), max(g.next_eid, m["next_eid"])
+            g = cls(spark, Version(spark.read.parquet(f"{base}/nodes"), spark.read.parquet(f"{base}/edges"), cat, m["lsn"]), path, m["txn"], (m["next_vid"], m["next_eid"]))
+            g.constraints = {c.name: c for c in (Constraint(**x) for x in m["constraints"])}
+            g.indexes = {x["name"]: Index(**x) for x in m["indexes"]}
+            g.linked = m.get("linked", True)
         return replay(g)
 
     def close(self) -> None:
+        self.flush()
         self.closed = True
 
     def __enter__(self) -> Graph:
@@ -167,11 +246,28 @@ class Graph:
 
     @property
     def view(self) -> GraphView:
-        return view_of(self.spark, self.version.nodes, self.version.edges, self.catalog)
+        return view_of(self.spark, self.version.nodes, self.version.edges, self.catalog, closed=self.linked)
+
+    @property
+    def base(self) -> GraphView:
+        """The tables of the last fold, without what was written since."""
+        return view_of(self.spark, self._base.nodes, self._base.edges, self._base.catalog, closed=self.linked)
+
+    @property
+    def has_pending(self) -> bool:
+        return bool(self._ops) or self.version.deltas > 0
 
-    def pin(self) -> GraphView:
+    def pin(self) -> Pin:
         """A view of this version that later commits don't change."""
-        return self.view
+        return Pin(self)
+
+    @property
+    def min_pinned_lsn(self) -> int | None:
+        return min((p.lsn for p in self.pins), default=None)
+
+    @property
+    def next_lsn(self) -> int:
+        return self.version.lsn + 1
 
     @property
     def current_lsn(self) -> int:
@@ -189,69 +285,179 @@ class Graph:
         return self._create(s, params)
 
     # -- schema and constraints
+    def _change_schema(self, cat: Catalog, *ops: dict, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
+        """Log changes of the schema as a transaction of their own, then take them over."""
+        self._writable()
+        self.flush()
+        lsn = self.journal.append(self.txn + 1, self.version.lsn + 1, [], [*_new_names(self.catalog, cat), *ops])
+        self.txn += 1
+        v = self.version
+        if nodes is None and edges is None:
+            self._base = _replace(self._base, catalog=cat)
+            self.version = _replace(v, catalog=cat, lsn=lsn)
+        else:
+            self._rebase(Version(v.nodes if nodes is None else nodes, v.edges if edges is None else edges, cat, lsn, v.deltas))
+
     def declare(self, owner: str, key: str, value_type: str) -> None:
         cat = self.catalog.copy()
-        cat.declare(owner, key, value_type)
-        self.version = _replace(self.version, catalog=cat)
+        if cat.declare(owner, key, value_type):
+            self._change_schema(cat)
 
     def drop_column(self, owner: str, key: str) -> None:
         cat = self.catalog.copy()
         cat.drop(owner, key)
         n, e = self.version.nodes, self.version.edges
-        self.version = _replace(self.version, catalog=cat, nodes=n.drop(column(key)) if owner == "node" else n, edges=e.drop(column(key)) if owner == "edge" else e)
+        self._change_schema(cat, {"op": "DropColumn", "owner": owner, "key": key}, nodes=n.drop(column(key)) if owner == "node" else n, edges=e.drop(column(key)) if owner == "edge" else e)
 
-    def add_constraint(self, kind: str, label: str, key: str) -> Constraint:
+    def add_constraint(self, kind: str, label: str, key: str, owner: str = "node") -> Constraint:
         """``unique`` or ``exists``; refused if the graph violates it already."""
-        if kind not in ("unique", "exists"):
-            raise DataError(f"unknown constraint {kind}")
-        c = Constraint(kind, label, key)
-        self._check(self.version, [c])
-        self.constraints[c.name] = c
+        if kind not in ("unique", "exists") or owner not in ("node", "edge"):
+            raise DataError(f"unknown constraint {kind} of {owner}")
+        c = Constraint(kind, label, key, owner)
+        if c.name not in self.constraints:
+            self._check(self.version, [c])
+            self._change_schema(self.catalog, {"op": "DeclareConstraint", **c.__dict__})
+            self.constraints[c.name] = c
         return c
 
     def drop_constraint(self, name: str) -> None:
-        if self.constraints.pop(name, None) is None:
+        if name not in self.constraints:
             raise NotFound(f"no constraint {name}")
+        self._change_schema(self.catalog, {"op": "DropConstraint", "name": name})
+        del self.constraints[name]
+
+    def create_index(self, name: str, owner: str, key: str, unique: bool = False, label: str | None = None, value_type: str | None = None, mode: str = "inline") -> Index:
+        """A named index of a node or edge property; with ``unique`` also a constraint.
 
-    def create_index(self, name: str, owner: str, key: str, unique: bool = False, label: str | None = None, value_type: str | None = None) -> Index:
+        ``inline`` and ``batch`` follow every commit when next read, ``incremental`` (int only) by way of
+        what was changed since; ``deferred`` answers as of the last ``flush_indexes``.
+        """
         if name in self.indexes:
             raise DataError(f"index {name} exists")
+        if mode not in ("inline", "deferred", "incremental", "batch") or (unique and mode == "incremental"):
+            raise DataError(f"no {'unique ' if unique else ''}index can be {mode}")
+        if owner == "edge" and label:
+            raise DataError("edges have no labels")
         if key not in self.catalog.keys(owner):
             if value_type is None:
                 raise SchemaError(f"no column {key}")
             self.declare(owner, key, value_type)
+        if mode == "incremental" and self.catalog.keys(owner)[key] != "int":
+            raise DataError("only an int can be indexed incrementally")
         if unique:
-            self.add_constraint("unique", label or "", key)
-        self.indexes[name] = Index(name, owner, key, unique, label)
-        return self.indexes[name]
+            self.add_constraint("unique", label or "", key, owner)
+        x = Index(name, owner, key, unique, label, mode)
+        self._change_schema(self.catalog, {"op": "DeclareIndex", **x.__dict__})
+        self.indexes[name] = x
+        return x
 
     def drop_index(self, name: str) -> None:
-        if self.indexes.pop(name, None) is None:
+        """Drop an index; the constraint of a unique one goes with it unless another index needs it."""
+        if name not in self.indexes:
             raise NotFound(f"no index {name}")
-
-    def _check(self, v: Version, constraints: Sequence[Constraint]) -> None:
+        x = self.indexes[name]
+        self._change_schema(self.catalog, {"op": "DropIndex", "name": name})
+        del self.indexes[name]
+        self._built.pop(name, None)
+        c = Constraint("unique", x.label or "", x.key, x.owner).name
+        if x.unique and c in self.constraints and not any(y.unique and (y.label, y.key, y.owner) == (x.label, x.key, x.owner) for y in self.indexes.values()):
+            self.drop_constraint(c)
+
+    def get_index(self, name: str) -> Any:
+        """The index's entries (``PropertyIndex``), brought up to the version its mode asks for."""
+        from .operators.index import PropertyIndex
+
+        if name not in self.indexes:
+            raise NotFound(f"no index {name}")
+        x, had = self.indexes[name], self._built.get(name)
+        if had is not None and (had[0] == self.version.lsn or x.mode == "deferred"):
+            return had[1]
+        i = "vid" if x.owner == "node" else "eid"
+        df = self.version.nodes if x.owner == "node" else self.version.edges
+        labels = (x.label,) if x.label else ()
+        touched = None if had is None or x.mode != "incremental" else self._touched_since(had[0], i)
+        if touched is None:
+            made = PropertyIndex.of_table(df, x.key, i, labels, f"{scratch(self.spark, 'index')}/t")
+        else:
+            made = had[1].updated(PropertyIndex.of_table(df.filter(F.col(i).isin(touched)), x.key, i, labels), touched)
+        self._built[name] = (self.version.lsn, made)
+        if self.on_index_size is not None and made.path:
+            self.on_index_size(name, Files(self.spark, made.path).fs.getContentSummary(self.journal.files.where(made.path)).getLength())
+        return made
+
+    def _touched_since(self, lsn: int, i: str) -> list[int] | None:
+        """Ids that single changes after ``lsn`` touched; None if there were others, or many."""
+        if lsn < self._base.lsn:
+            return None
+        ids = {o[i] for at, o in self._ops if at > lsn and o.get(i) is not None}
+        return sorted(ids) if len(ids) <= 1000 else None
+
+    def flush_indexes(self) -> None:
+        """Bring deferred indexes up to the present version."""
+        for n, x in self.indexes.items():
+            if x.mode == "deferred":
+                self._built.pop(n, None)
+                self.get_index(n)
+
+    def list_indexes(self) -> list[Index]:
+        return sorted(self.indexes.values(), key=lambda x: x.name)
+
+    def list_constraints(self) -> list[Constraint]:
+        return sorted(self.constraints.values(), key=lambda c: c.name)
+
+    def find(self, key: str, value: Any, label: str | None = None) -> DataFrame:
+        """(vid), ascending, of nodes whose ``key`` equals ``value``: by an index of the key that is up to date, else by a scan."""
+        for n, x in self.indexes.items():
+            if x.owner == "node" and x.key == key and x.label in (None, label) and value is not None and self.catalog.node_keys.get(key) == type_of(value) and self._built.get(n, (None,))[0] == self.version.lsn:
+                hit = self._built[n][1].equal(value)
+                if label and x.label != label:
+                    hit = hit.join(self.view.nodes((label,)), "vid", "left_semi")
+                return hit.orderBy("vid")
+        from .api import find_nodes
+
+        return find_nodes(self.view, key, value, label)
+
+    def _check(self, v: Version, constraints: Sequence[Constraint], touched: Mapping[str, DataFrame] | None = None) -> None:
+        """Raise if a constraint is violated; with ``touched`` (ids by owner) only by entities among them."""
         from .operators.constraints import existence_violations, unique_violations
 
         for c in constraints:
-            bad = (unique_violations if c.kind == "unique" else existence_violations)(v.nodes, c.label, c.key)
+            df, i = (v.nodes, "vid") if c.owner == "node" else (v.edges, "eid")
+            near = df if touched is None else df.join(touched[c.owner], i, "left_semi")
+            if c.kind == "exists":
+                bad = existence_violations(near, c.label, c.key, i)
+            else:
+                if touched is not None and column(c.key) in df.columns:
+                    df = df.join(near.select(column(c.key)).distinct(), column(c.key), "left_semi")  # only values that were written
+                bad = unique_violations(df, c.label, c.key)
             if (row := bad.limit(1).collect()):
                 raise ConstraintViolation(f"{c.name}: {row[0].asDict()}")
 
+    def _concerned(self, keys: Mapping[str, set[str]], new: set[str]) -> list[Constraint]:
+        """Constraints that writes to ``keys`` (by owner), or entities that are ``new`` or relabelled, can violate."""
+        return [c for c in self.constraints.values() if c.owner in new or c.key in keys.get(c.owner, ())]
+
     # -- transactions
     def _writable(self) -> None:
         if self.closed:
             raise GraphClosed("the graph is closed")
 
-    def transact(self, body: Callable[[Txn], Any], capture_prev: bool = False) -> Any:
-        """Run ``body`` with a transaction; commit when it returns, drop everything if it raises."""
+    def transact(self, body: Callable[[Txn], Any], capture_prev: bool = False, durability: str = "fsync") -> Any:
+        """Run ``body`` with a transaction; commit when it returns, drop everything if it raises.
+
+        With a ``durability`` other than fsync the commit may be held back, and lost in a crash, until
+        ``flush``, ``close``, a checkpoint, a commit that is durable, or ``GROUP`` such commits.
+        """
         self._writable()
+        if durability not in DURABILITY:
+            raise DataError(f"unknown durability {durability}")
         t = Txn(self)
         out = body(t)
         if t.ops:
-            self._commit(t.ops, capture_prev)
+            self._commit(t.ops, capture_prev, durability)
         return out
 
-    def _commit(self, ops: list[dict], capture_prev: bool = False) -> None:
+    def _commit(self, ops: list[dict], capture_prev: bool = False, durability: str = "fsync") -> None:
         """Check the whole batch, write the log, then apply it: all or nothing."""
         cat = self.catalog.copy()
         for o in ops:
@@ -264,31 +470,54 @@ class Graph:
                 o["props"] = {k: cat.fit(owner, k, v) for k, v in o["props"].items()}
             elif o["op"].startswith("Set") and "key" in o:
                 o["value"] = cat.fit(owner, o["key"], o["value"])
-        new = {o["vid"] for o in ops if o["op"] == "AddNode"}
-        there = self._existing({v for o in ops for v in ((o["src"], o["dst"]) if o["op"] == "AddEdge" else (o["vid"],) if o["op"] in ("SetNodeProp", "SetNodeLabels", "DelNodeProp") else ()) if v not in new})
-        gone: set[int] = set()
-        for o in ops:
-            if o["op"] == "DelNode":
-                gone.add(o["vid"])
-            need = (o["src"], o["dst"]) if o["op"] == "AddEdge" else (o["vid"],) if o["op"] in ("SetNodeProp", "SetNodeLabels", "DelNodeProp") else ()
-            for v in need:
-                if v in gone or (v not in new and v not in there):
-                    raise NotFound(f"{o['op']}: no node {v}")
+        self._check_there(ops)
         self._check_ids(ops)
-        v = self._applied(ops, cat)
-        touched = [c for c in self.constraints.values()]
-        self._check(v, touched)
+        at = self.version.lsn + 1
+        v = self._applied([*self._ops, *((at, o) for o in ops)], cat)
+        touched = {"node": {o["vid"] for o in ops if o.get("vid") is not None}, "edge": {o["eid"] for o in ops if o.get("eid") is not None}}
+        keys = {w: {o["key"] for o in ops if "key" in o and ("Edge" in o["op"]) == (w == "edge")} for w in ("node", "edge")}
+        new = {w for w, kinds in (("node", ("AddNode", "SetNodeLabels")), ("edge", ("AddEdge",))) if any(o["op"] in kinds for o in ops)}
+        if concerned := self._concerned(keys, new):
+            self._check(v, concerned, {w: self.spark.createDataFrame([(x,) for x in ids], f"{'vid' if w == 'node' else 'eid'} long") for w, ids in touched.items()})
+        stripped = [o["vid"] for o in ops if o["op"] == "SetNodeLabels" and o["removed"]]
+        if stripped and (bad := v.nodes.filter(F.col("vid").isin(stripped) & (F.size("labels") == 0)).select("vid").limit(1).collect()):
+            raise DataError(f"node {bad[0].vid} would lose its last label")
+        lsn = self._log_ops(ops, capture_prev, _new_names(self.catalog, cat), durability)
+        self._ops += [(lsn, o) for o in ops]
+        self.version = Version(v.nodes, v.edges, v.catalog, lsn, v.deltas)
+        if len(self._ops) >= FOLD_OPS:
+            self.merge_now()
+        self._checkpoint_if_due()
+
+    def _check_there(self, ops: list[dict]) -> None:
+        """Entities that ops name must be there; deleting what isn't there changes nothing."""
+        need = lambda o: {"AddEdge": {("node", o.get("src")), ("node", o.get("dst"))}, **dict.fromkeys(("SetNodeProp", "SetNodeLabels", "DelNodeProp"), {("node", o.get("vid"))}), **dict.fromkeys(("SetEdgeProp", "DelEdgeProp"), {("edge", o.get("eid"))})}.get(o["op"], set())
+        ends = {o["eid"]: {o["src"], o["dst"]} for o in ops if o["op"] == "AddEdge"}
+        new = {("node", o["vid"]) for o in ops if o["op"] == "AddNode"} | {("edge", e) for e in ends}
+        asked = {x for o in ops for x in need(o)} - new
+        edges = self._rows({i for w, i in asked if w == "edge"}, "edge")
+        there = {("node", r.vid) for r in self._rows({i for w, i in asked if w == "node"}, "node")} | {("edge", r.eid) for r in edges} | set()
+        ends |= {r.eid: {r.src, r.dst} for r in edges}
+        gone: set = set()
+        made: set = set()
         for o in ops:
-            if o["op"] == "SetNodeLabels" and o["removed"] and v.nodes.filter((F.col("vid") == o["vid"]) & (F.size("labels") == 0)).limit(1).count():
-                raise DataError(f"node {o['vid']} would lose its last label")
-        lsn = self._log_ops(ops, capture_prev)
-        self._advance(v, lsn)
+            for w, i in need(o):
+                if (w, i) in gone or not ((w, i) in there or (w, i) in made):
+                    raise NotFound(f"{o['op']}: no {w} {i}")
+                if w == "edge" and any(("node", x) in gone for x in ends.get(i, ())):
+                    raise NotFound(f"{o['op']}: edge {i} went with its node")
+            if o["op"] == "AddNode":
+                made.add(("node", o["vid"]))
+            elif o["op"] == "AddEdge":
+                made.add(("edge", o["eid"]))
+            elif o["op"] in ("DelNode", "DelEdge"):
+                gone.add(("node", o["vid"]) if o["op"] == "DelNode" else ("edge", o["eid"]))
 
-    def _existing(self, vids: set[int]) -> set[int]:
-        if not vids:
-            return set()
-        ids = self.spark.createDataFrame([(x,) for x in vids], "vid long")  # as many as the transaction names
-        return {r.vid for r in self.version.nodes.join(ids, "vid", "left_semi").select("vid").collect()}
+    def _rows(self, ids: set[int], owner: str) -> list:
+        if not ids:
+            return []
+        i, df, cols = ("vid", self.version.nodes, ["vid"]) if owner == "node" else ("eid", self.version.edges, ["eid", "src", "dst"])
+        return df.join(self.spark.createDataFrame([(x,) for x in ids], f"{i} long"), i, "left_semi").select(*cols).collect()  # as many as the transaction names
 
     def _check_ids(self, ops: list[dict]) -> None:
         ids = [o["logical_id"] for o in ops if o["op"] == "AddNode"]
@@ -297,11 +526,11 @@ class Graph:
         if ids and (x := self.version.nodes.join(self.spark.createDataFrame([(i,) for i in ids], "logical_id string"), "logical_id", "left_semi").select("logical_id").limit(1).collect()):
             raise ConstraintViolation(f"logical id {x[0][0]} exists")
 
-    def _applied(self, ops: list[dict], cat: Catalog) -> Version:
-        """The next version. Changes of one entity are folded on the driver: a transaction's ops fit there."""
+    def _applied(self, ops: Iterable[tuple[int, dict]], cat: Catalog) -> Version:
+        """The base with all single changes since. Those of one entity are folded on the driver: they fit there."""
         nodes: dict[int, dict] = {}
         edges: dict[int, dict] = {}
-        for o in ops:
+        for _, o in ops:
             if o["op"] == "AddNode":
                 nodes[o["vid"]] = {"new": o, "props": dict(o["props"]), "labels": set(o["labels"]), "removed": set()}
             elif o["op"] == "AddEdge":
@@ -314,19 +543,20 @@ class Graph:
                 edges[o["eid"]] = {"gone": True}
             elif o["op"] == "SetNodeLabels":
                 n = nodes.setdefault(o["vid"], {"props": {}})
+                n.setdefault("props", {})
                 n["labels"] = (n.get("labels", set()) - set(o["removed"])) | set(o["labels"])
                 n["removed"] = (n.get("removed", set()) | set(o["removed"])) - set(o["labels"])
             else:
                 d, i = (edges, o["eid"]) if "Edge" in o["op"] else (nodes, o["vid"])
                 e = d.setdefault(i, {"props": {}})
                 e.setdefault("props", {})[o["key"]] = o["value"] if o["op"].startswith("Set") else _ABSENT
-        v = self.version
+        v = self._base
         gone = [k for k, x in nodes.items() if x.get("gone")]
         new_nodes = self._merge(v.nodes, "vid", nodes, cat.node_keys, NODE)
         new_edges = self._merge(v.edges, "eid", edges, cat.edge_keys, EDGE)
         if gone:
             new_edges = without_nodes(new_edges, self.spark.createDataFrame([(x,) for x in gone], "vid long"))
-        return Version(new_nodes, new_edges, cat, v.lsn, v.deltas + 1)
+        return Version(new_nodes, new_edges, cat, v.lsn, v.deltas)
 
     def _merge(self, base: DataFrame, key: str, changes: Mapping[int, dict], keys: Mapping[str, str], schema: str) -> DataFrame:
         base = with_columns(base, keys)
@@ -361,27 +591,29 @@ class Graph:
             base = base.unionByName(self.spark.createDataFrame(rows, full))
         return base
 
-    def _log_ops(self, ops: list[dict], capture_prev: bool) -> int:
-        lsn, txn = self.version.lsn, self.txn + 1
+    def _log_ops(self, ops: list[dict], capture_prev: bool, schema: list[dict], durability: str) -> int:
         prev = self._previous(ops) if capture_prev else {}
-        rows, at = [], lsn + 1
-        names = [c.strip().split(" ")[0] for c in LOG.split(",")]
         flat = []
         for o in ops:  # the properties an entity is added with follow as records of their own
-            flat.append(o)
+            flat.append({k: w for k, w in o.items() if k != "props"})
             for k, w in o.get("props", {}).items():
                 flat.append({"op": o["op"].replace("Add", "Set") + "Prop", "vid": o.get("vid"), "eid": o.get("eid"), "key": k, "value": w})
-        every = [{"op": "BeginTxn"}, *flat, {"op": "CommitTxn", "commit_lsn": lsn + len(flat) + 2, "n_records": len(flat)}]
-        for o in every:
-            r = {**o, "lsn": at, "txn_id": txn}
+        for r in flat:
             if r["op"] in ("SetNodeProp", "SetEdgeProp"):
                 r["prev_value"] = prev.get((r.get("vid"), r.get("eid"), r["key"]))
                 r["value"] = json.dumps(r["value"])
-            rows.append(tuple(r.get(n) for n in names))
-            at += 1
-        self.spark.createDataFrame(rows, LOG).coalesce(1).write.json(f"{self.path}/log/{txn:019d}")
-        self.txn = txn
-        return at - 1
+        self.txn += 1
+        self._waiting.append((self.txn, self.version.lsn + 1, flat, schema))
+        if durability == "fsync" or len(self._waiting) >= GROUP:
+            self.flush()
+        return self.version.lsn + len(flat) + 2
+
+    def flush(self) -> None:
+        """Write the commits that were held back."""
+        while self._waiting:
+            txn, lsn, records, schema = self._waiting[0]
+            self.journal.append(txn, lsn, records, schema)
+            del self._waiting[0]
 
     def _previous(self, ops: list[dict]) -> dict:
         out = {}
@@ -397,36 +629,35 @@ class Graph:
                         out[(i, None, k) if owner == "node" else (None, i, k)] = json.dumps(d[column(k)])
         return out
 
-    def _advance(self, v: Version, lsn: int) -> None:
-        self.version = Version(v.nodes, v.edges, v.catalog, lsn, v.deltas)
+    def _rebase(self, v: Version) -> None:
+        """Go on from a version that no single changes lie on."""
+        self._base, self._ops, self.version = v, [], v
         if v.deltas >= FOLD_AFTER:
             self.merge_now()
 
     def merge_now(self) -> None:
-        """Fold the deltas: write the effective tables and go on from there."""
+        """Fold what was written since: write the effective tables and go on from there."""
         path = scratch(self.spark, "fold")
-        for name, df in (("nodes", self.version.nodes), ("edges", self.version.edges)):
+        v = self.version
+        for name, df in (("nodes", v.nodes), ("edges", v.edges)):
             df.write.parquet(f"{path}/{name}")
-        self.version = Version(self.spark.read.parquet(f"{path}/nodes"), self.spark.read.parquet(f"{path}/edges"), self.catalog, self.version.lsn, 0)
+        self._rebase(Version(self.spark.read.schema(v.nodes.schema).parquet(f"{path}/nodes"), self.spark.read.schema(v.edges.schema).parquet(f"{path}/edges"), v.catalog, v.lsn, 0))
 
     # -- bulk
     def bulk_add_edges(self, edges: DataFrame, edge_type: str) -> int:
         """Append edges (src, dst) of one type without properties; every end must exist. Returns their number."""
         self._writable()
-        ends = edges.select("src").union(edges.select(F.col("dst").alias("src"))).distinct()
-        lost = ends.join(self.version.nodes.select(F.col("vid").alias("src")), "src", "left_anti").limit(1).collect()
-        if lost:
-            raise NotFound(f"no node {lost[0][0]}")
+        _no_dangling(edges, self.version.nodes)
         cat = self.catalog.copy()
         cat.intern_edge_type(edge_type)
         new = edges.select("src", "dst").withColumn("eid", F.monotonically_increasing_id() + self.next_eid)
         rows = new.select(F.lit("AddEdge").alias("op"), "eid", "src", "dst", F.lit(edge_type).alias("type"), F.uuid().alias("logical_id"))
-        log, lsn = self._log_rows(rows)
-        add = log.filter("op = 'AddEdge'").select("eid", "logical_id", "src", "dst", "type").withColumn("null_keys", F.array().cast("array<string>"))
-        n, top = add.agg(F.count(F.lit(1)), F.max("eid")).first()
-        self.next_eid = max(self.next_eid, (top or 0) + 1)
-        self._advance(Version(self.version.nodes, with_columns(self.version.edges, cat.edge_keys).unionByName(with_columns(add, cat.edge_keys)), cat, 0, self.version.deltas + 1), lsn)
-        return n
+        log, m = self._log_rows(rows, cat)
+        add = log.select("eid", "logical_id", "src", "dst", "type").withColumn("null_keys", F.array().cast("array<string>"))
+        v = self.version
+        self._rebase(Version(v.nodes, with_columns(v.edges, cat.edge_keys).unionByName(with_columns(add, cat.edge_keys)), cat, m["commit_lsn"], v.deltas + 1))
+        self._checkpoint_if_due()
+        return m["n"]
 
     def bulk_import(self, nodes: DataFrame, edges: DataFrame | None = None) -> tuple[int, int]:
         """Add nodes (logical_id, labels, p_<key>...) and edges (src, dst: logical ids, type, p_<key>...) as one transaction.
@@ -435,7 +666,7 @@ class Graph:
         null, given twice or there already, a node without labels, and an end that names no node are
         errors, and then nothing is imported. Returns the numbers of nodes and edges.
         """
-        from .replay import apply_log, names_in
+        from .replay import apply_log
         from .session import written
 
         self._writable()
@@ -465,7 +696,8 @@ class Graph:
         if n.groupBy("logical_id").count().filter("count > 1").limit(1).count() or n.join(self.version.nodes, "logical_id", "left_semi").limit(1).count():
             raise ConstraintViolation("an imported logical id is given twice or exists")
         parts = [n.select(F.lit("AddNode").alias("op"), "vid", "logical_id", "labels"), *sets(n, "vid", nk, "SetNodeProp")]
-        n_edges = 0
+        for r in n.select(F.explode("labels").alias("l")).distinct().orderBy("l").collect():  # names, not rows
+            cat.intern_label(r.l)
         if edges is not None:
             ek = keys(edges, "edge")
             e = edges.select(F.col("src").alias("s"), F.col("dst").alias("d"), "type", *[f"`{column(k)}`" for k in ek])
@@ -475,24 +707,29 @@ class Graph:
             if e.filter("src is null or dst is null or type is null").limit(1).count():
                 raise NotFound("an imported edge names no node or no type")
             parts += [e.select(F.lit("AddEdge").alias("op"), "eid", "src", "dst", "type", F.uuid().alias("logical_id")), *sets(e, "eid", ek, "SetEdgeProp")]
-            n_edges, top = e.agg(F.count(F.lit(1)), F.max("eid")).first()
-            self.next_eid = max(self.next_eid, -1 if top is None else top + 1, 0)
+            for r in e.select("type").distinct().orderBy("type").collect():
+                cat.intern_edge_type(r.type)
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p, allowMissingColumns=True)
-        before = self.version, self.txn
-        log, lsn = self._log_rows(rows)
-        v = apply_log(self.version, log, names_in(log, cat))
+        _, m = self._apply_rows(rows, cat, {"node": set(nk), "edge": set(cat.edge_keys)}, {"node", "edge"}, apply_log)
+        return m["nodes"], m["edges"]
+
+    def _apply_rows(self, rows: DataFrame, cat: Catalog, keys: Mapping[str, set[str]], new: set[str], apply_log: Callable) -> tuple[Version, dict]:
+        """Log rows of DataFrame size, check what they touch, and go on from the version after them."""
+        before = self.txn
+        log, m = self._log_rows(rows, cat)
+        v = apply_log(self.version, log, cat)
         try:
-            self._check(v, list(self.constraints.values()))
+            if concerned := self._concerned(keys, new):
+                self._check(v, concerned, {"node": log.select("vid").filter("vid is not null").distinct(), "edge": log.select("eid").filter("eid is not null").distinct()})
         except ConstraintViolation:
-            remove(self.spark, f"{self.path}/log/{self.txn:019d}")
-            self.version, self.txn = before
+            self.journal.files.remove(self.journal.folder(self.txn))
+            self.txn = before
             raise
-        n_nodes, top = n.agg(F.count(F.lit(1)), F.max("vid")).first()
-        self.next_vid = max(self.next_vid, -1 if top is None else top + 1, 0)
-        self._advance(Version(v.nodes, v.edges, v.catalog, lsn, before[0].deltas + 1), lsn)
-        return n_nodes, n_edges
+        self._rebase(Version(v.nodes, v.edges, cat, m["commit_lsn"], self.version.deltas + 1))
+        self._checkpoint_if_due()
+        return v, m
 
     def add_edge_if_absent(self, src: int, dst: int, edge_type: str) -> int | None:
         """Add an edge unless one of the type runs from ``src`` to ``dst``; its id, or None."""
@@ -512,20 +749,15 @@ class Graph:
 
         return self.transact(body)
 
-    def _log_rows(self, rows: DataFrame) -> tuple[DataFrame, int]:
-        """Write a transaction of DataFrame size; numbers ascend within it and may have gaps."""
-        txn = self.txn + 1
-        names = [tuple(c.strip().split(" ")) for c in LOG.split(",")]
-        path = f"{self.path}/log/{txn:019d}"
-        r = rows.withColumn("lsn", F.monotonically_increasing_id() + self.version.lsn + 2).withColumn("txn_id", F.lit(txn))
-        r.select(*[(F.col(n) if n in r.columns else F.lit(None)).cast(t).alias(n) for n, t in names]).write.json(path)
-        log = self.spark.read.schema(LOG).json(path)
-        top, n = log.agg(F.max("lsn"), F.count(F.lit(1))).first()
-        lsn = (top or self.version.lsn + 1) + 1
-        marks = [{"lsn": self.version.lsn + 1, "txn_id": txn, "op": "BeginTxn"}, {"lsn": lsn, "txn_id": txn, "op": "CommitTxn", "commit_lsn": lsn, "n_records": n}]
-        self.spark.createDataFrame([tuple(m.get(k) for k, _ in names) for m in marks], LOG).coalesce(1).write.mode("append").json(path)
-        self.txn = txn
-        return log, lsn
+    def _log_rows(self, rows: DataFrame, cat: Catalog) -> tuple[DataFrame, dict]:
+        self.flush()
+        log, m = self.journal.append_frame(self.txn + 1, self.version.lsn + 1, rows, _new_names(self.catalog, cat))
+        self.txn += 1
+        if m["vid"] is not None and m["nodes"]:
+            self.next_vid = max(self.next_vid, m["vid"] + 1)
+        if m["eid"] is not None and m["edges"]:
+            self.next_eid = max(self.next_eid, m["eid"] + 1)
+        return log, m
 
     # -- query language
     def _mutate(self, s: Statement, params: Mapping[str, Any], strict: bool) -> DataFrame:
@@ -561,16 +793,8 @@ class Graph:
             both = both.unionByName(p, allowMissingColumns=True)
         from .replay import apply_log
 
-        before = self.version, self.txn
-        log, lsn = self._log_rows(both)
-        v = apply_log(self.version, log, cat)
-        try:
-            self._check(v, list(self.constraints.values()))
-        except ConstraintViolation:
-            remove(self.spark, f"{self.path}/log/{self.txn:019d}")
-            self.version, self.txn = before
-            raise
-        self._advance(Version(v.nodes, v.edges, cat, lsn, self.version.deltas + 1), lsn)
+        written = {w: {m[2] for m in s.mutations if m[0] == "set" and plan.kinds[m[1]] == w} for w in ("node", "edge")}
+        self._apply_rows(both, cat, written, set(), apply_log)
         if s.returns is None:
             return self.spark.range(0).select()
         again = Statement("match", s.patterns, s.where, [], s.returns, s.distinct, s.order, s.skip, s.limit)
@@ -651,23 +875,44 @@ class Graph:
 
     # -- checkpoint
     def checkpoint(self) -> None:
-        """Store the effective tables under the graph's path, move the pointer, drop the log before it."""
-        fs, where = _fs(self.spark, self.path)
+        """Store the effective tables under the graph's path, write a manifest, drop the log before it.
+
+        Until the manifest is whole the one before it counts, with the log that follows it.
+        """
+        self.flush()
         name = f"{self.version.lsn:019d}-{uuid.uuid4().hex[:8]}"
-        for part, df in (("nodes", self.version.nodes), ("edges", self.version.edges)):
-            df.write.parquet(f"{self.path}/versions/{name}/{part}")
+        self._store(name)
         c = self.catalog
-        m = {"version": name, "lsn": self.version.lsn, "txn": self.txn, "next_vid": self.next_vid, "next_eid": self.next_eid, "node_keys": c.node_keys, "edge_keys": c.edge_keys, "labels": c.labels, "edge_types": c.edge_types, "constraints": [{"kind": x.kind, "label": x.label, "key": x.key} for x in self.constraints.values()]}
-        out = fs.create(where(f"{self.path}/current.json.new"), True)
-        out.write(bytearray(json.dumps(m).encode()))
-        out.close()
-        fs.delete(where(f"{self.path}/current.json"), False)
-        fs.rename(where(f"{self.path}/current.json.new"), where(f"{self.path}/current.json"))
+        self._point({"version": name, "lsn": self.version.lsn, "txn": self.txn, "next_vid": self.next_vid, "next_eid": self.next_eid, "node_keys": c.node_keys, "edge_keys": c.edge_keys, "labels": c.labels, "edge_types": c.edge_types, "linked": self.linked, "constraints": [x.__dict__ for x in self.constraints.values()], "indexes": [x.__dict__ for x in self.indexes.values()]})
         base = f"{self.path}/versions/{name}"
-        self.version = Version(self.spark.read.parquet(f"{base}/nodes"), self.spark.read.parquet(f"{base}/edges"), c, self.version.lsn, 0)
-        for t in log_folders(self.spark, self.path):
-            if int(t.rsplit("/", 1)[1]) <= self.txn:
-                remove(self.spark, t)
+        self._rebase(Version(self.spark.read.parquet(f"{base}/nodes"), self.spark.read.parquet(f"{base}/edges"), c, self.version.lsn, 0))
+        self._drop_before(name)
+
+    def _store(self, name: str) -> None:
+        for part, df in (("nodes", self.version.nodes), ("edges", self.version.edges)):
+            df.write.parquet(f"{self.path}/versions/{name}/{part}")
+
+    def _point(self, manifest: dict) -> None:
+        self.journal.manifests.write(manifest)
+
+    def _drop_before(self, name: str) -> None:
+        """The log up to the manifest, and versions older than the one before it unless a pin may read them."""
+        self.journal.truncate(self.txn)
+        old = [v for v in self.journal.files.names(f"{self.path}/versions") if v != name]
+        for v in old[:-1]:
+            if not self.pins:
+                self.journal.files.remove(f"{self.path}/versions/{v}")
+
+    def checkpoint_every(self, commits: int | None = None, size: int | None = CHECKPOINT_BYTES) -> None:
+        """Checkpoint by itself once the log holds so many commits or bytes."""
+        self.checkpoint_commits, self.checkpoint_bytes = commits, size
+
+    def _checkpoint_if_due(self) -> None:
+        if self.checkpoint_commits is None and self.checkpoint_bytes is None:
+            return
+        n, size = self.journal.size()
+        if (self.checkpoint_commits is not None and n >= self.checkpoint_commits) or (self.checkpoint_bytes is not None and size >= self.checkpoint_bytes):
+            self.checkpoint()
 
 
 _ABSENT = object()
@@ -677,23 +922,21 @@ def _replace(v: Version, **changes: Any) -> Version:
     return Version(**{**v.__dict__, **changes})
 
 
-def _fs(spark: SparkSession, path: str):  # noqa: ANN202
-    where = spark._jvm.org.apache.hadoop.fs.Path
-    return where(path).getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _read(fs, p) -> str:  # noqa: ANN001
-    s = fs.open(p)
-    try:
-        return bytes(s.readAllBytes()).decode()
-    finally:
-        s.close()
+def _new_names(old: Catalog, new: Catalog) -> list[dict]:
+    """Changes of the schema that lead from one catalogue to the next, in order."""
+    out: list[dict] = []
+    for kind, a, b in (("label", old.labels, new.labels), ("edgeType", old.edge_types, new.edge_types)):
+        out += [{"op": "InternString", "kind": kind, "id": i, "name": b[i]} for i in range(len(a), len(b))]
+    for owner in ("node", "edge"):
+        out += [{"op": "DeclareColumn", "owner": owner, "key": k, "type": t} for k, t in new.keys(owner).items() if k not in old.keys(owner)]
+    return out
 
 
-def log_folders(spark: SparkSession, path: str) -> list[str]:
-    fs, where = _fs(spark, path)
-    d = where(f"{path}/log")
-    return sorted(str(x.getPath().toString()) for x in fs.listStatus(d)) if fs.exists(d) else []
+def _no_dangling(edges: DataFrame, nodes: DataFrame) -> None:
+    """Both ends of every edge must be nodes."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("vid"))
+    if lost := ends.join(nodes.select("vid"), "vid", "left_anti").limit(1).collect():
+        raise NotFound(f"no node {lost[0][0]}")
 
 
 def with_columns(df: DataFrame, keys: Mapping[str, str]) -> DataFrame:
@@ -711,4 +954,4 @@ def typed_value(text: Column, t: str) -> Column:
     return F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v {TYPES[t]}")["v"]
 
 
-__all__ = ["Constraint", "Graph", "Index", "Txn", "Version", "box", "type_of"]
+__all__ = ["LOG", "SCHEMA_OPS", "Constraint", "Graph", "Index", "Pin", "Txn", "Version", "box", "type_of"]

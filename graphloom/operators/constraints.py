@@ -20,10 +20,10 @@ def unique_violations(nodes: DataFrame, label: str, key: str) -> DataFrame:
     return _of(nodes, label).filter(v.isNotNull()).groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def existence_violations(nodes: DataFrame, label: str, key: str) -> DataFrame:
-    """(vid): nodes of the label on which the key is not set; an explicit null counts as set."""
+def existence_violations(nodes: DataFrame, label: str, key: str, i: str = "vid") -> DataFrame:
+    """(vid): nodes of the label on which the key is not set; an explicit null counts as set. Edges have ``i`` eid."""
     of = _of(nodes, label)
     if column(key) not in nodes.columns:
-        return of.select("vid")
+        return of.select(i)
     null = F.array_contains(F.coalesce("null_keys", F.array().cast("array<string>")), key) if "null_keys" in nodes.columns else F.lit(False)
-    return of.filter(F.col(f"`{column(key)}`").isNull() & ~null).select("vid")
+    return of.filter(F.col(f"`{column(key)}`").isNull() & ~null).select(i)

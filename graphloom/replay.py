@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import Catalog
 from .errors import CorruptionDetected
-from .graph import LOG, Graph, Version, log_folders, typed_value, with_columns, without_nodes
+from .graph import Constraint, Graph, Index, Version, typed_value, with_columns, without_nodes
 from .model import column
 
 
@@ -52,43 +52,84 @@ def apply_log(v: Version, log: DataFrame, cat: Catalog) -> Version:
     return Version(nodes, edges, cat, v.lsn, v.deltas + 1)
 
 
-def names_in(log: DataFrame, cat: Catalog) -> Catalog:
-    """``cat`` with the labels, edge types and properties of the records; a few rows per name reach the driver."""
-    cat = cat.copy()
-    for r in log.filter("type is not null").select("type").distinct().orderBy("type").collect():
-        cat.intern_edge_type(r[0])
-    for r in log.select(F.explode("labels").alias("l")).distinct().orderBy("l").collect():
-        cat.intern_label(r[0])
-    value = F.col("value")
-    kind = F.when(value.startswith('"'), "string").when(value.isin("true", "false"), "bool").when(value.rlike("^-?[0-9]+$"), "int").when(value != "null", "double")
-    for owner, op in (("node", "SetNodeProp"), ("edge", "SetEdgeProp")):
-        for r in log.filter(F.col("op") == op).select("key", kind.alias("t")).filter("t is not null").distinct().orderBy("key", "t").collect():  # double comes before int
-            if r.key not in cat.keys(owner):
-                cat.declare(owner, r.key, r.t)
-    return cat
-
-
-def whole_transactions(log: DataFrame) -> DataFrame:
-    """Records of transactions whose commit is there and counts as many records as there are."""
-    per = log.groupBy("txn_id").agg(F.max(F.when(F.col("op") == "CommitTxn", F.col("n_records"))).alias("want"), F.sum(F.when(F.col("op").isin("BeginTxn", "CommitTxn"), 0).otherwise(1)).alias("have"))
-    return log.join(per.filter("want = have").select("txn_id"), "txn_id", "left_semi")
+def change_schema(g: Graph, op: dict) -> None:
+    """Take over one logged change of the schema; the catalogue is that of the graph's version."""
+    cat, what = g.version.catalog, op["op"]
+    if what == "InternString":
+        got = cat.intern_label(op["name"]) if op["kind"] == "label" else cat.intern_edge_type(op["name"])
+        if got != op["id"]:
+            raise CorruptionDetected(f"{op['kind']} {op['name']} has id {got}, not {op['id']}")
+    elif what == "DeclareColumn":
+        cat.declare(op["owner"], op["key"], op["type"])
+    elif what == "DropColumn":
+        cat.drop(op["owner"], op["key"])
+        v = g.version
+        df = (v.nodes if op["owner"] == "node" else v.edges).drop(column(op["key"]))
+        g._rebase(Version(df if op["owner"] == "node" else v.nodes, df if op["owner"] == "edge" else v.edges, cat, v.lsn, v.deltas))
+    elif what == "DeclareConstraint":
+        c = Constraint(**{k: x for k, x in op.items() if k != "op"})
+        g.constraints[c.name] = c
+    elif what == "DropConstraint":
+        g.constraints.pop(op["name"], None)
+    elif what == "DeclareIndex":
+        g.indexes[op["name"]] = Index(**{k: x for k, x in op.items() if k != "op"})
+    elif what == "DropIndex":
+        g.indexes.pop(op["name"], None)
+    else:
+        raise CorruptionDetected(f"unknown change of the schema {what}")
+
+
+def check_new(v: Version, log: DataFrame) -> None:
+    """Ids that the log gives must be new, in the log and in the tables it is applied to."""
+    for op, i, base in (("AddNode", "logical_id", v.nodes), ("AddNode", "vid", v.nodes), ("AddEdge", "eid", v.edges)):
+        gone = log.filter("op = 'DelNode'").select("vid") if op == "AddNode" else None
+        added = log.filter(F.col("op") == op).select(i, *(["vid"] if i != "vid" and op == "AddNode" else []))
+        if i == "logical_id":  # that of a deleted node is free again
+            there = base.select("logical_id", "vid").join(gone, "vid", "left_anti").select("logical_id")
+            added = added.join(gone, "vid", "left_anti").select("logical_id")
+        else:
+            there, added = base.select(i), added.select(i)
+        twice = added.filter(F.col(i).isNotNull()).select(i, F.lit(1).alias("new")).unionByName(there.select(i, F.lit(0).alias("new"))).groupBy(i).agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new")).filter("n > 1 and new = 1").limit(1).collect()
+        if twice:
+            raise CorruptionDetected(f"{op}: {i} {twice[0][0]} is given twice")
 
 
 def replay(g: Graph) -> Graph:
-    """Apply the committed records that follow the graph's version, in one pass over all of them."""
-    folders = log_folders(g.spark, g.path)
-    if not folders:
-        return g
-    log = whole_transactions(g.spark.read.schema(LOG).json(folders)).filter(F.col("lsn") > g.version.lsn)
-    lsn, txn, vid, eid = log.agg(F.max("lsn"), F.max("txn_id"), F.max("vid"), F.max("eid")).first()
-    if lsn is None:
-        return g
-    twice = log.filter("op = 'AddNode'").groupBy("logical_id").agg(F.countDistinct("vid").alias("n")).filter("n > 1").limit(1).collect()
-    if twice:
-        raise CorruptionDetected(f"logical id {twice[0][0]} is added twice")
-    v = apply_log(g.version, log, names_in(log, g.catalog))
-    g.txn = max(g.txn, txn)
-    g.next_vid, g.next_eid = max(g.next_vid, -1 if vid is None else vid + 1, 0), max(g.next_eid, -1 if eid is None else eid + 1, 0)
-    g.version = Version(v.nodes, v.edges, v.catalog, lsn, v.deltas)
-    g.merge_now()
+    """Apply the committed transactions that follow the graph's version, in one pass between changes that drop columns.
+
+    A torn transaction ends the log: it and what follows it are set aside.
+    """
+    commits = list(g.journal.transactions(g.version.lsn))
+    known = g.journal.numbers()
+    whole = {m["txn"] for m in commits}
+    if any(n > g.txn and n not in whole for n in known):
+        g.journal.set_aside()
+    g.version = Version(g.version.nodes, g.version.edges, g.version.catalog.copy(), g.version.lsn, g.version.deltas)
+    group: list[dict] = []
+
+    def apply() -> None:
+        data = [m for m in group if m["n_records"]]
+        group.clear()
+        if not data:
+            return
+        log = g.journal.records(data).filter(F.col("lsn") > g.version.lsn).filter(~F.col("op").isin("BeginTxn", "CommitTxn"))
+        check_new(g.version, log)
+        vid, eid = log.agg(F.max(F.when(F.col("op") == "AddNode", F.col("vid"))), F.max(F.when(F.col("op") == "AddEdge", F.col("eid")))).first()
+        g.next_vid, g.next_eid = max(g.next_vid, -1 if vid is None else vid + 1), max(g.next_eid, -1 if eid is None else eid + 1)
+        v = apply_log(g.version, log, g.version.catalog)
+        g._rebase(Version(v.nodes, v.edges, v.catalog, g.version.lsn, v.deltas))
+
+    for m in commits:
+        if any(o["op"] == "DropColumn" for o in m["schema"]):
+            apply()
+        for o in m["schema"]:
+            change_schema(g, o)
+        group.append(m)
+        g.txn = max(g.txn, m["txn"])
+    top = commits[-1]["commit_lsn"] if commits else g.version.lsn
+    apply()
+    g.version = Version(g.version.nodes, g.version.edges, g.version.catalog, top, g.version.deltas)
+    g._base = g.version
+    if commits:
+        g.merge_now()
     return g

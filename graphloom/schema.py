@@ -23,7 +23,8 @@ class GraphSchema:
             cat.intern_label(x)
         for x in edge_types:
             cat.intern_edge_type(x)
-        graph.version = type(graph.version)(**{**graph.version.__dict__, "catalog": cat})
+        if cat.version != graph.catalog.version:
+            graph._change_schema(cat)
         self.graph, self.labels, self.edge_types, self.keys = graph, set(labels), set(edge_types), dict(node_keys)
 
     def _boxed(self, key: str, value: Any) -> Any:

@@ -7,14 +7,16 @@ reason and the run stops there, so nothing after it is taken for shipped.
 
 from __future__ import annotations
 
-import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataError, RemoteError
+from ..journal import Numbered
+from ..session import written
 from ..sources.log import committed
 
 BATCH = 1024
@@ -40,42 +42,27 @@ def shippable(log: DataFrame, names: DataFrame, after: int = 0, unlabelled: str
 
 
 class SyncState:
-    """Per target: the mark and whether it was seeded, in one JSON file replaced by renaming."""
+    """Per target: the mark and whether it was seeded, in numbered files of which the newest whole one counts."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.Path, self.path = spark._jvm.org.apache.hadoop.fs.Path, path
-        self.fs = self.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.kept = Numbered(spark, path)
 
     def read(self) -> dict:
-        p = self.Path(self.path)
-        if not self.fs.exists(p):
-            return {}
-        s = self.fs.open(p)
-        try:
-            return json.loads(bytes(s.readAllBytes()).decode())
-        finally:
-            s.close()
+        return self.kept.read() or {}
 
     def write(self, state: dict) -> None:
-        new = self.Path(self.path + ".new")
-        out = self.fs.create(new, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        self.fs.delete(self.Path(self.path), False)
-        self.fs.rename(new, self.Path(self.path))
+        self.kept.write(state)
 
 
 def sync_once(rows: Callable[[int], DataFrame], state: SyncState, target: str, send: Callable[[DataFrame], None], set_aside: Callable[[DataFrame, str, float], None], batch: int = BATCH) -> int:
     """Ship ``rows(mark)`` in batches of lsn ranges; returns how many batches were acknowledged."""
     all_state = state.read()
     mark = all_state.get(target, {}).get("mark", 0)
-    new = rows(mark)
+    new = rows(mark).filter(F.col("lsn") > mark)
+    # one pass over the log: what is new is stored in order of lsn, so that a batch reads its own row groups only
+    new = written(new.repartitionByRange("lsn").sortWithinPartitions("lsn"), "sync")
     done = 0
-    while True:
-        # the next range of about ``batch`` records, found without bringing them here
-        head = new.filter(F.col("lsn") > mark).select("lsn").orderBy("lsn").limit(batch).agg(F.max("lsn")).first()[0]
-        if head is None:
-            return done
+    for head in _heads(new, batch):
         part = new.filter((F.col("lsn") > mark) & (F.col("lsn") <= head))
         try:
             send(part)
@@ -86,6 +73,29 @@ def sync_once(rows: Callable[[int], DataFrame], state: SyncState, target: str, s
         all_state[target] = {"mark": mark, "seeded": all_state.get(target, {}).get("seeded", False)}
         state.write(all_state)
         done += 1
+    return done
+
+
+def _heads(new: DataFrame, batch: int) -> Iterator[int]:
+    """The last lsn of every batch of about ``batch`` records, ascending, found in one pass over the sorted table.
+
+    Each partition tells where its own batches end; a partition's last one may be smaller.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, last, ends = 0, None, []
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                if n >= batch and x != last:
+                    ends.append(last)
+                    n = 0
+                n, last = n + 1, x
+        if last is not None:
+            ends.append(last)
+        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64())], ["lsn"])
+
+    for r in new.select(F.col("lsn").cast("long").alias("lsn")).mapInArrow(run, "lsn long").distinct().orderBy("lsn").toLocalIterator():
+        yield r.lsn
 
 
 def seed(export: Callable[[], tuple[DataFrame, DataFrame]], state: SyncState, target: str, send: Callable[[DataFrame], None], lsn: int) -> bool:
