@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: A key is heavy if it has more than this share of the rows, so there are at most 1 / HEAVY of them.
 HEAVY = 1 / 2000
 
@@ -21,13 +23,14 @@ def frequencies(rows: DataFrame, key: Column | str, value: Column | str) -> Data
 
 
 def summary(freq: DataFrame) -> DataFrame:
-    """(key, n, n_distinct, mode): of non-null values; the least of several modes. All-null keys have no mode."""
-    f = freq.filter("value is not null")
-    top = f.groupBy("key").agg(F.max("n").alias("t"))
-    # two steps, so that the greatest n is known before the least value that has it is sought
-    mode = f.join(top, "key").filter("n = t").groupBy("key").agg(F.min("value").alias("mode"))
-    total = freq.groupBy("key").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("n"), F.count("value").alias("n_distinct"))
-    return total.join(mode, "key", "left")
+    """(key, n, n_distinct, mode): of non-null values; the least of several modes. All-null keys have no mode.
+
+    One aggregate, combined where the rows lie: no key's values come together in a task.
+    """
+    some = F.col("value").isNotNull()
+    best = F.min(F.when(some, F.struct((-F.col("n")).alias("n"), F.col("value").alias("value"))))
+    out = freq.groupBy("key").agg(F.sum(F.when(some, F.col("n")).otherwise(0)).alias("n"), F.count("value").alias("n_distinct"), best.alias("best"))
+    return out.select("key", "n", "n_distinct", F.col("best.value").alias("mode"))
 
 
 def percentiles(freq: DataFrame, ps: list[float], strips: int = 256) -> DataFrame:
@@ -35,21 +38,31 @@ def percentiles(freq: DataFrame, ps: list[float], strips: int = 256) -> DataFram
 
     The value at rank ceil(p * n), 1 at least. A key's values are first summed in ``strips`` strips
     between its least and greatest value, then only the strip that holds a rank is sorted, in turn
-    with strips of its own if it is still wide: no task sees all values of a heavy key.
+    with strips of its own if it is still wide: no task sees all values of a heavy key. Values of keys
+    with a large share of them meet their ranks where they lie, those of other keys after a shuffle.
     Keys without a non-null value give no row.
     """
     f = freq.filter("value is not null").select("key", F.col("value").cast("double").alias("v"), "value", "n")
-    span = f.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    want = span.withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(ps))]))).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("total")), F.lit(1)))
+    span = written(f.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")), "span")
+    hot = heavy_keys(span.select("key", F.col("m").alias("n")), span.agg(F.sum("m")).first()[0] or 0)
+    marks = f.sparkSession.createDataFrame([(k,) for k in hot], f"key {dict(f.dtypes)['key']}") if hot else None
+
+    def meet(want: DataFrame) -> DataFrame:
+        if marks is None:
+            return f.join(want, "key")
+        few = F.broadcast(want.join(F.broadcast(marks), "key", "left_semi"))  # at most 2000 keys, a row for each of ps
+        return f.join(F.broadcast(marks), "key", "left_anti").join(want, "key").unionByName(f.join(few, "key"))
+
+    want = span.drop("m").withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(ps))]))).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("total")), F.lit(1))).drop("total")
     for _ in range(2):
         width = (F.col("hi") - F.col("lo")) / strips
         strip = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(strips - 1))).otherwise(0)
-        inside = f.join(want, "key").filter("v >= lo and v <= hi").withColumn("strip", strip)
+        inside = meet(want).filter("v >= lo and v <= hi").withColumn("strip", strip)
         sums = inside.groupBy("key", "p", "rank", "strip").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         w = Window.partitionBy("key", "p").orderBy("strip")
         cum = sums.withColumn("upto", F.sum("n").over(w))
         want = cum.filter("upto >= rank and upto - n < rank").select("key", "p", "lo", "hi", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
-    inside = f.join(want, "key").filter("v >= lo and v <= hi")
+    inside = meet(want).filter("v >= lo and v <= hi")
     w = Window.partitionBy("key", "p").orderBy("v", "value")
     return inside.withColumn("upto", F.sum("n").over(w)).filter("upto >= rank and upto - n < rank").select("key", "p", "value")
 
@@ -85,7 +98,8 @@ def edge_profile(edges: DataFrame, edge_id: str = "logical_id", src: str = "src_
     often is taken off again, from the rows of such ids alone. Whether there are any is found from
     hashes of the ids, so the edges are shuffled again only if there are.
     """
-    e = edges.select(*[pack(F.col(c).cast("string")).alias(n) for c, n in ((edge_id, "id"), (src, "src"), (dst, "dst"))]).distinct()
+    # written once: pairs, hashes and suspects all read it
+    e = written(edges.select(*[pack(F.col(c).cast("string")).alias(n) for c, n in ((edge_id, "id"), (src, "src"), (dst, "dst"))]).distinct(), "edges")
     pairs = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     hashes = e.groupBy(F.xxhash64("id").alias("h")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     suspects = e.withColumn("h", F.xxhash64("id")).filter(hashes.agg(F.count(F.lit(1))).scalar() > 0).join(hashes, "h", "left_semi")
