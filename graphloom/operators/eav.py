@@ -3,7 +3,8 @@
 The last value of every (entity, attribute) is written to one narrow table per attribute, in its
 declared type, all bucketed by entity alike. The wide table is put together from the narrow ones by
 outer joins of several tables at a time, combined in a balanced tree; as every step is keyed and
-bucketed by entity, no join shuffles anything.
+bucketed by entity, no join shuffles anything. Buckets are as many as the data asks for. The wide table
+is stored, then the narrow ones are dropped and the session's settings are as they were.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import remove, scratch, written
 from ..sources.log import committed, node_lives
 
 TYPES = {"int": "bigint", "double": "double", "bool": "boolean", "string": "string"}
-#: Narrow tables joined at once at a leaf of the tree.
-FAN_IN = 4
+#: Narrow tables joined at once at a leaf of the tree; each leaf reads the spine of entities once.
+FAN_IN = 8
+#: Bytes of source for a bucket.
+BUCKET_BYTES = 128 << 20
+_OPTION = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _JSON_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 
@@ -107,24 +111,43 @@ def typed(kind: Column, raw: Column, value_type: Column) -> dict[str, Column]:
     return {"int": F.when(is_("int"), whole), "double": F.when(is_("double"), finite), "bool": F.when(is_("bool"), flag), "string": F.when(is_("string") & kind.isNotNull(), raw)}
 
 
+def bucket_count(source: DataFrame) -> int:
+    """Buckets for what comes of ``source``: one for each ``BUCKET_BYTES`` of its files, at least the session's shuffle partitions."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), 100_000)
+
+
 class NarrowTables:
-    """One table per attribute under ``path``, each bucketed and sorted by entity."""
+    """One table per attribute, each bucketed and sorted by entity; a context that drops them in the end."""
 
     def __init__(self, values: DataFrame, spine: DataFrame, attrs: Sequence[Attribute], entity: str = "vid", buckets: int | None = None) -> None:
         self.spark, self.attrs, self.entity = values.sparkSession, list(attrs), entity
-        self.buckets = buckets or max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        # a task writes one sorted file per table and bucket, so the joins need no sort either: with
-        # dozens of inputs to one stage, as many sorters would share a task's memory
-        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
-        path = scratch(self.spark, "narrow")
-        self.name = "narrow_" + path.rsplit("-", 1)[1]
+        self.buckets = buckets or bucket_count(values)
+        self.path = scratch(self.spark, "narrow")
+        self.name = "narrow_" + self.path.rsplit("-", 1)[1]
         types = {a.key_id: a.type for a in self.attrs}
         declared = F.create_map(*[F.lit(x) for kv in types.items() for x in kv]) if types else F.create_map().cast("map<int,string>")
         v = values.withColumn("value_type", declared[F.col("key_id")]).filter("value_type is not null and kind is not null")
         cols = typed(F.col("kind"), F.col("raw"), F.col("value_type"))
         v = v.select(entity, "key_id", *[c.cast(TYPES[t]).alias(f"v_{t}") for t, c in cols.items()]).filter(" or ".join(f"v_{t} is not null" for t in TYPES))
-        self._save(v, path + "/attributes", self.name, "key_id")
-        self._save(spine.select(entity), path + "/spine", self.name + "_spine", None)
+        self._save(v, self.path + "/attributes", self.name, "key_id")
+        self._save(spine.select(entity), self.path + "/spine", self.name + "_spine", None)
+
+    def __enter__(self) -> NarrowTables:
+        # a task writes one sorted file per table and bucket, so the joins need no sort either: with
+        # dozens of inputs to one stage, as many sorters would share a task's memory
+        self.before = self.spark.conf.get(_OPTION, None)
+        self.spark.conf.set(_OPTION, "true")
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        if self.before is None:
+            self.spark.conf.unset(_OPTION)
+        else:
+            self.spark.conf.set(_OPTION, self.before)
+        for t in (self.name, self.name + "_spine"):
+            self.spark.sql(f"drop table if exists {t}")
+        remove(self.spark, self.path)
 
     def _save(self, df: DataFrame, path: str, name: str, by: str | None) -> None:
         w = df.repartition(self.buckets, self.entity).write.format("parquet").option("path", path).bucketBy(self.buckets, self.entity).sortBy(self.entity)
@@ -160,7 +183,8 @@ def wide_nodes(log: DataFrame, keys: DataFrame) -> tuple[DataFrame, list[Attribu
     attrs = attributes(keys)
     nodes = node_lives(committed(log.filter("op in ('AddNode', 'DelNode')").select("lsn", "txn_id", "op", "vid"), log))
     values = last_values(node_attributes(log)).join(nodes, "vid").filter("lsn >= since")
-    return NarrowTables(values, nodes, attrs).wide(), attrs
+    with NarrowTables(values, nodes, attrs, buckets=bucket_count(log)) as t:
+        return written(t.wide(), "wide"), attrs
 
 
 def cells(wide: DataFrame, attrs: Sequence[Attribute], entity: str = "vid") -> DataFrame:
@@ -194,4 +218,5 @@ def named(wide: DataFrame, attrs: Sequence[Attribute]) -> DataFrame:
 def from_rows(spark: SparkSession, rows: DataFrame, entity: str, attrs: Sequence[Attribute]) -> DataFrame:
     """The general form: rows (entity, key_id, lsn, kind, raw) of any source into a wide table of all their entities."""
     values = last_values(rows.filter(F.col(entity).isNotNull()), entity)
-    return NarrowTables(values, values.select(entity).distinct(), attrs, entity).wide()
+    with NarrowTables(values, values.select(entity).distinct(), attrs, entity, bucket_count(rows)) as t:
+        return written(t.wide(), "wide")
