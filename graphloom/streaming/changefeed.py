@@ -9,15 +9,19 @@ writes what changed under its own number and replaces that when it is repeated.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import remove
 from ..sources.log import NODE_OPS
 
 #: Slots below the labels, which are not negative.
 LIFE, TOUCH = -1, -2
 RECORD = T.StructType([T.StructField(n, t) for n, t in (("lsn", T.LongType()), ("txn_id", T.LongType()), ("op", T.StringType()), ("vid", T.LongType()), ("logical_id", T.StringType()), ("label_ids", T.ArrayType(T.IntegerType())), ("added", T.ArrayType(T.IntegerType())), ("removed", T.ArrayType(T.IntegerType())))])
+STATE = "vid long, slot int, seq long, alive boolean, payload string"
+#: Batches between compactions of what the gate holds and of the state that is read.
+COMPACT = 16
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,33 +41,75 @@ def log_stream(spark: SparkSession, path: str, files_per_batch: int | None = Non
     return r.parquet(path if folder else f"{path[:-1]}[{path[-1]}]")  # a stream takes a single file only as a pattern
 
 
-def gate(log: DataFrame, out: str) -> None:
+def gate(log: DataFrame, out: str, compact: int = COMPACT) -> None:
     """Run the stream over what is there: node records to ``out/gated/batch=<n>/ok=<committed>``.
 
-    A batch takes its own records and those its predecessor still held back, and lets through the
-    ones whose commit is known. Paths follow from the batch alone and a batch reads only earlier
-    ones, so a repeated batch gives the same files.
+    A batch lets through its own records whose commit is known and earlier ones whose commit it brings.
+    What is held back stays where it was written; every ``compact`` batches, held records and known
+    commits are brought into new tables sorted by transaction (``base=<n>``), without those let through
+    since. A batch reads of these tables only the stretches its transactions lie in, so its cost
+    follows its own size, not the stream's age. Paths follow from the batch alone and a batch reads
+    only earlier ones, so a repeated batch gives the same files. A record let through twice, because
+    its commit was delivered twice, does no harm: its state is newer already.
     """
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
+        base = n - n % compact
+        if n and n == base:
+            _compact(spark, out, n, compact)
         new = batch.filter("op = 'CommitTxn' and txn_id is not null").select("txn_id").distinct()
         records = batch.filter(F.col("op").isin(*NODE_OPS) & F.col("vid").isNotNull() & F.col("lsn").isNotNull()).select(*RECORD.names)
-        if n:
-            # all earlier commits: a record may come long after its commit
-            earlier = spark.read.schema("txn_id long").parquet(*[p for i in range(n) if _exists(spark, p := f"{out}/commits/batch={i}")] or [f"{out}/commits/none"])
-            held = spark.read.schema(RECORD).parquet(f"{out}/gated/batch={n - 1}/ok=false") if _exists(spark, f"{out}/gated/batch={n - 1}/ok=false") else None
-            known = earlier.unionByName(new).distinct()
-            records = records.unionByName(held) if held is not None else records
-        else:
-            known = new
         new.write.mode("overwrite").parquet(f"{out}/commits/batch={n}")
+        new = known = spark.read.schema("txn_id long").parquet(f"{out}/commits/batch={n}")
+        freed = None
+        if n:
+            known = known.unionByName(_known(spark, out, base, n).filter(_near(records))).distinct()
+            freed = _held(spark, out, base, n).filter(_near(new)).join(new, "txn_id", "left_semi")
         gated = records.join(known.withColumn("ok", F.lit(True)), "txn_id", "left").withColumn("ok", F.col("ok").isNotNull())
+        if freed is not None:
+            gated = gated.unionByName(freed.withColumn("ok", F.lit(True)))
         gated.write.mode("overwrite").partitionBy("ok").parquet(f"{out}/gated/batch={n}")
 
     _run(log.writeStream.foreachBatch(step), f"{out}/checkpoint-gate")
 
 
+def _known(spark: SparkSession, out: str, base: int, n: int) -> DataFrame:
+    """Transactions committed before batch ``n``."""
+    return spark.read.schema("txn_id long").parquet(*([f"{out}/commits/base={base}"] if base else []), *[f"{out}/commits/batch={i}" for i in range(base, n)], *([] if base or n else [f"{out}/commits/none"]))
+
+
+def _held(spark: SparkSession, out: str, base: int, n: int) -> DataFrame:
+    """Records held back before batch ``n``, some of them let through since."""
+    paths = ([f"{out}/held/base={base}"] if base else []) + [p for i in range(base, n) if _exists(spark, p := f"{out}/gated/batch={i}/ok=false")]
+    return spark.read.schema(RECORD).parquet(*paths) if paths else spark.createDataFrame([], RECORD)
+
+
+def _compact(spark: SparkSession, out: str, n: int, compact: int) -> None:
+    """Tables of what is known and held before batch ``n``; those of two compactions ago are not needed any more."""
+    sort = lambda df: df.repartitionByRange("txn_id").sortWithinPartitions("txn_id")
+    sort(_known(spark, out, n - compact, n).distinct()).write.mode("overwrite").parquet(f"{out}/commits/base={n}")
+    done = spark.read.schema("txn_id long").parquet(f"{out}/commits/base={n}")
+    sort(_held(spark, out, n - compact, n).join(done, "txn_id", "left_anti")).write.mode("overwrite").parquet(f"{out}/held/base={n}")
+    old = n - 2 * compact
+    if old >= 0:
+        for p in [f"{out}/commits/base={old}", f"{out}/held/base={old}", *[f"{out}/commits/batch={i}" for i in range(old, n - compact)]]:
+            remove(spark, p)
+
+
+def _near(df: DataFrame, stretches: int = 64) -> Column:
+    """A filter on ``txn_id`` that the ids of ``df`` pass, as at most so many ranges, which prune a sorted table."""
+    lo, hi = df.agg(F.min("txn_id"), F.max("txn_id")).first()
+    if lo is None:
+        return F.lit(False)
+    width = (hi - lo) // stretches + 1
+    spans = df.groupBy(F.floor((F.col("txn_id") - lo) / width)).agg(F.min("txn_id").alias("a"), F.max("txn_id").alias("b")).collect()
+    out = F.lit(False)
+    for r in spans:
+        out = out | F.col("txn_id").between(r.a, r.b)
+    return out
+
+
 def _run(writer, checkpoint: str) -> None:  # noqa: ANN001
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -99,15 +145,46 @@ def upserts(changes: DataFrame, keys: list[str], out: str) -> None:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders ``batch=<n>`` in ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(x.getPath().getName()[6:]) for x in fs.listStatus(p) if x.getPath().getName().startswith("batch=")) if fs.exists(p) else []
+
+
+def _versions(spark: SparkSession, out: str) -> tuple[int, list[str]]:
+    """(n, folders): the newest whole base, which holds the batches before ``n``, and the batches from ``n`` on."""
+    bases = [n for n in _batches(spark, f"{out}/base") if _exists(spark, f"{out}/base/batch={n}/_SUCCESS")]
+    n = max(bases, default=0)
+    return n, ([f"{out}/base/batch={n}"] if n else []) + [f"{out}/state/batch={i}" for i in _batches(spark, f"{out}/state") if i >= n]
+
+
 def current(spark: SparkSession, keys: list[str], schema: str, out: str) -> DataFrame:
-    """The newest upsert of every key, tombstones included."""
-    if not _exists(spark, f"{out}/state/batch=*"):
+    """The newest upsert of every key, tombstones included: of the base version and the batches since."""
+    paths = _versions(spark, out)[1]
+    if not paths:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(f"{out}/state/batch=*")
+    rows = spark.read.schema(schema).parquet(*paths)
     return rows.groupBy(*keys).agg(F.max(F.struct("seq", "alive", "payload")).alias("x")).select(*keys, "x.*")
 
 
-def apply_node_feed(spark: SparkSession, path: str, out: str, files_per_batch: int | None = None) -> DataFrame:
+def fold(spark: SparkSession, keys: list[str], schema: str, out: str, compact: int = COMPACT) -> None:
+    """After ``compact`` batches, write a base version that holds them; the batches and bases it replaces go one fold later."""
+    n, paths = _versions(spark, out)
+    batches = [i for i in _batches(spark, f"{out}/state") if i >= n]
+    if len(batches) < compact:
+        return
+    top = batches[-1] + 1
+    current(spark, keys, schema, out).write.mode("overwrite").parquet(f"{out}/base/batch={top}")
+    for i in _batches(spark, f"{out}/state"):
+        if i < n:
+            remove(spark, f"{out}/state/batch={i}")
+    for i in _batches(spark, f"{out}/base"):
+        if i < n:
+            remove(spark, f"{out}/base/batch={i}")
+
+
+def apply_node_feed(spark: SparkSession, path: str, out: str, files_per_batch: int | None = None, compact: int = COMPACT) -> DataFrame:
     """Bring ``out`` up to date with the log at ``path`` and return its nodes: (vid, logical_id, label_list, last_lsn).
 
     Can be called again when the log has grown: only new files are read. Only records of committed
@@ -115,15 +192,16 @@ def apply_node_feed(spark: SparkSession, path: str, out: str, files_per_batch: i
     other records about a node that is not there have no effect. A node without labels has an empty
     list. Records without vid, lsn or transaction are ignored; an empty log gives no node.
     """
-    gate(log_stream(spark, path, files_per_batch), out)
+    gate(log_stream(spark, path, files_per_batch), out, compact)
     if _exists(spark, f"{out}/gated/batch=*/ok=true"):
         through = spark.readStream.schema(RECORD).parquet(f"{out}/gated/batch=*/ok=true")
         upserts(node_changes(through), ["vid", "slot"], out)
+        fold(spark, ["vid", "slot"], STATE, out, compact)
     return nodes(spark, out)
 
 
 def nodes(spark: SparkSession, out: str) -> DataFrame:
-    s = current(spark, ["vid", "slot"], "vid long, slot int, seq long, alive boolean, payload string", out)
+    s = current(spark, ["vid", "slot"], STATE, out)
     label = F.when((F.col("slot") >= 0) & F.col("alive"), F.struct("slot", "seq"))
     n = s.groupBy("vid").agg(
         F.max(F.when(F.col("slot") == LIFE, F.struct("seq", "alive", "payload"))).alias("life"),
