@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import TYPES, type_of
+from .errors import SchemaError
 from .model import GraphView, column
 from .plans.walk import reach
 
@@ -41,11 +42,62 @@ def by_logical_id(view: GraphView, logical_id: str) -> DataFrame:
     return view.nodes(extra=("logical_id",)).filter(F.col("logical_id") == logical_id).select("vid")
 
 
+def logical_ids(view: GraphView, vids: DataFrame) -> DataFrame:
+    """(vid, logical_id) of those of ``vids`` (vid) that are nodes."""
+    return view.nodes(extra=("logical_id",)).join(vids.select("vid"), "vid", "left_semi").select("vid", "logical_id")
+
+
+def visible(view: GraphView, vids: DataFrame) -> DataFrame:
+    """(vid, visible): whether each id is a node of the view."""
+    return vids.select("vid").join(view.nodes().withColumn("visible", F.lit(True)), "vid", "left").select("vid", F.coalesce("visible", F.lit(False)).alias("visible"))
+
+
+def has_label(view: GraphView, vids: DataFrame, label: str) -> DataFrame:
+    """(vid, has): whether each id is a node that carries the label."""
+    there = view.nodes((label,)).withColumn("has", F.lit(True))
+    return vids.select("vid").join(there, "vid", "left").select("vid", F.coalesce("has", F.lit(False)).alias("has"))
+
+
+def property_type(view: GraphView, owner: str, key: str) -> str | None:
+    """The declared type of a node or edge property, or None."""
+    return view.catalog.keys(owner).get(key)
+
+
+def typed_values(view: GraphView, key: str, value_type: str, labels: Sequence[str] = ()) -> DataFrame:
+    """(vid, value) like ``property_values``; a key that is unknown or of another type is an error."""
+    have = property_type(view, "node", key)
+    if have != value_type:
+        raise SchemaError(f"property {key!r} is {have or 'unknown'}, not {value_type}")
+    return property_values(view, key, labels)
+
+
+def edge_values(view: GraphView, key: str, types: Sequence[str] | None = None) -> DataFrame:
+    """(src, dst, eid, value) of every edge that has the property."""
+    return view.edges(types, (key,)).select("src", "dst", "eid", F.col(f"`{column(key)}`").alias("value")).filter("value is not null")
+
+
+def property_states(view: GraphView, key: str, labels: Sequence[str] = ()) -> DataFrame:
+    """(vid, state): ``value``, ``null`` where it was set to null, ``absent`` where it was never set."""
+    df = view.nodes(labels, (key,), extra=("null_keys",))
+    null = F.array_contains("null_keys", key) if dict(df.dtypes)["null_keys"].startswith("array") else F.lit(False)
+    return df.select("vid", F.when(F.col(f"`{column(key)}`").isNotNull(), "value").when(null, "null").otherwise("absent").alias("state"))
+
+
+def topology(view: GraphView) -> DataFrame:
+    """(nodes, edges, id_space, tombstones, dangling): of the view; ``dangling`` counts edges with an end that is no node."""
+    ends = view.edges().select(F.monotonically_increasing_id().alias("i"), F.explode(F.array("src", "dst")).alias("vid"))
+    lost = ends.join(view.nodes(), "vid", "left_anti").agg(F.countDistinct("i").alias("dangling"))
+    return counts(view).select("nodes", "edges", "id_space", (F.col("id_space") - F.col("nodes")).alias("tombstones"), lost.scalar().alias("dangling"))
+
+
 def neighbours(view: GraphView, vids: DataFrame, direction: str = "out", types: Sequence[str] | None = None) -> DataFrame:
     """(vid, neighbour, eid, type) of the nodes ``vids`` (vid)."""
     e = view.edges(types, (), with_type=True)
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    return vids.select("vid").join(e.select(F.col(a).alias("vid"), F.col(b).alias("neighbour"), "eid", "type"), "vid")
+    e = e.select(F.col(a).alias("vid"), F.col(b).alias("neighbour"), "eid", "type")
+    if not view.closed:  # an end that is no node is no neighbour
+        e = e.join(view.nodes().withColumnRenamed("vid", "neighbour"), "neighbour", "left_semi")
+    return vids.select("vid").join(e.select("vid", "neighbour", "eid", "type"), "vid")
 
 
 def property_values(view: GraphView, key: str, labels: Sequence[str] = ()) -> DataFrame:

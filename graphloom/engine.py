@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from . import api
 from .catalog import Catalog
+from .errors import ConstraintViolation
 from .graph import Graph
 from .model import column
 from .operators.constraints import existence_violations, unique_violations
-from .operators.generate import rmat
+from .operators.generate import quadrants, rmat
 from .operators.index import PropertyIndex
 from .session import scratch
 from .sources.commerce import LABELS, commerce, exported, vid
 from .sources.edges import replay_edges
-from .sources.log import committed
+from .sources.log import last_writes, since, uncommitted
 from .sources.tables import table
 from .streaming.changefeed import log_stream
-from .streaming.sync import shippable, tail
+from .streaming.sync import id_map, shippable, tail
+from .suite import LIVE, props_sql
 
 BASE = {k: i << 40 for i, k in enumerate(LABELS)}
 
@@ -113,10 +115,97 @@ def _imported(s: SparkSession, d: str) -> DataFrame:
     return g.execute("MATCH (s:Supplier)-[:LOCATED_IN]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, COUNT(*) AS n, SUM(s.acctbal) AS v")
 
 
-def _id_map(s: SparkSession, d: str) -> DataFrame:
-    """(remote_id, logical_id): the last remote id each node was given."""
-    n = table(s, d, "graph_nodes").filter("remote_id is not null")
-    return n.groupBy("logical_id").agg(F.max_by("remote_id", F.struct("loaded_at", "remote_id")).alias("remote_id"))
+def _props(df: DataFrame) -> DataFrame:
+    """Properties as sorted texts key=value instead of a JSON object."""
+    pairs = F.transform(F.map_entries(F.from_json("props", "map<string,string>")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return df.withColumn("props", F.array_sort(pairs))
+
+
+def _refused(g: Graph, text: str) -> bool:
+    try:
+        g.execute(text)
+    except ConstraintViolation:
+        return True
+    return False
+
+
+def _constraints_again(s: SparkSession, d: str) -> DataFrame:
+    """A graph whose constraints and index are known from its log alone, opened twice, once after a checkpoint."""
+    g = places(s, d)
+    g.checkpoint()
+    g.add_constraint("exists", "Nation", "name")
+    g.create_index("customers", "node", "name", unique=True, label="Customer")
+    rows = []
+    for how in ("log", "checkpoint"):
+        again = Graph.open(s, g.path)
+        rows += [(how, c.name, _refused(again, "CREATE (n:Nation {segment: 'x'})" if c.kind == "exists" else "MATCH (c:Customer) SET c.name = 'same'")) for c in again.list_constraints()]
+        g.checkpoint()
+    return s.createDataFrame(rows, "how string, name string, refused boolean")
+
+
+def _declared_again(s: SparkSession, d: str) -> DataFrame:
+    g = places(s, d)
+    g.checkpoint()
+    g.declare("node", "rank", "int")
+    g.execute("MATCH (c:Customer) WHERE c.acctbal > 0.0 SET c.rank = 1")
+    g.drop_column("node", "segment")
+    again = Graph.open(s, g.path)
+    again.execute("MATCH (n:Nation) SET n.rank = 2")
+    return again.execute("MATCH (n) RETURN n.rank AS rank, n.segment AS seg, COUNT(*) AS n")
+
+
+def _torn(s: SparkSession, d: str) -> DataFrame:
+    """The log ends at its first torn transaction: the second of three deletions."""
+    g = places(s, d)
+    g.checkpoint()
+    for r in ("ASIA", "EUROPE", "AFRICA"):
+        g.execute(f"MATCH (r:Region {{name: '{r}'}}) DELETE r")
+    numbers = g.journal.numbers()
+    g.journal.files.remove(f"{g.journal.folder(numbers[1])}/commit.json")
+    return Graph.open(s, g.path).execute("MATCH (r:Region) RETURN r.name AS name")
+
+
+def _without_africa(s: SparkSession, d: str) -> DataFrame:
+    """Edges to a region that is not given are dropped when the graph is made."""
+    g = places(s, d)
+    v = g.version
+    kept = v.nodes.filter("not (array_contains(labels, 'Region') and p_name = 'AFRICA')")
+    return Graph.of(s, kept, v.edges, v.catalog, dangling="drop").execute("MATCH (n:Nation)-[:IN_REGION]->(r) RETURN r.name AS name, COUNT(*) AS n")
+
+
+def _edge_unique(s: SparkSession, d: str) -> DataFrame:
+    """A unique index on an edge property: numbers of their own are accepted, a common value is not."""
+    g = places(s, d)
+    g.execute("MATCH (n:Nation)-[e:IN_REGION]->(r:Region) SET e.no = 0")
+    v = g.version
+    numbered = v.edges.withColumn(column("no"), F.when(F.col("type") == "IN_REGION", F.col("eid") - BASE["Nation"]))
+    g = Graph.of(s, v.nodes, numbered, v.catalog)
+    g.create_index("by_no", "edge", "no", unique=True)
+    refused = _refused(g, "MATCH (n:Nation)-[e:IN_REGION]->(r:Region) SET e.no = 7")
+    return g.get_index("by_no").between(0, 10).select(_key("eid").alias("nation"), "value", F.lit(refused).alias("refused"))
+
+
+def _base_reads(s: SparkSession, d: str) -> DataFrame:
+    """The view after a deletion, and the tables of the last fold, which lack it."""
+    g = places(s, d)
+    gone = [r.vid for r in api.find_nodes(g.view, "name", "ASIA", "Region").collect()]
+    g.transact(lambda t: [t.del_node(x) for x in gone])
+    parts = [api.topology(v).select(F.lit(k).alias("which"), "nodes", "edges", "dangling") for k, v in (("base", g.base), ("view", g.view))]
+    return parts[0].unionByName(parts[1])
+
+
+def _states(s: SparkSession, d: str) -> DataFrame:
+    """Which customers have a balance, one set to null, or none."""
+    g = places(s, d)
+    g.execute("MATCH (c:Customer) WHERE c.acctbal < 0.0 SET c.acctbal = null")
+    return api.property_states(g.view, "acctbal").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ids_and_labels(s: SparkSession, d: str) -> DataFrame:
+    v = exported(s, d)
+    ids = table(s, d, "graph_nodes").select("vid").distinct()
+    seen = api.visible(v, ids).join(api.has_label(v, ids, "Person"), "vid").join(api.logical_ids(v, ids), "vid", "left")
+    return seen.select("vid", "visible", "has", "logical_id")
 
 
 def _nodes_of(s: SparkSession, d: str) -> DataFrame:
@@ -160,23 +249,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fold_equals_view": _folded,
         "reopen": _reopened,
         "log_replay_edges": lambda s, d: replay_edges(table(s, d, "wal_ops")),
-        "log_uncommitted": lambda s, d: table(s, d, "wal_ops").filter("op not in ('BeginTxn', 'CommitTxn')").select("lsn", "txn_id", "op").distinct().join(table(s, d, "wal_ops").filter("op = 'CommitTxn'").select("txn_id"), "txn_id", "left_anti").groupBy("op").agg(F.count(F.lit(1)).alias("n")),
-        "log_lsn_gate": lambda s, d: committed(table(s, d, "wal_ops").filter("op in ('AddNode', 'AddEdge')").select("lsn", "txn_id", "op").distinct(), table(s, d, "wal_ops")).filter("lsn > 5000").groupBy("op").agg(F.count(F.lit(1)).alias("n")),
-        "log_last_write": lambda s, d: committed(table(s, d, "wal_ops").filter("op = 'SetEdgeProp'").select("lsn", "txn_id", "eid", "key_id", "prop_value"), table(s, d, "wal_ops")).groupBy("eid", "key_id").agg(F.max_by("prop_value", "lsn").alias("prop_value")),
+        "log_uncommitted": lambda s, d: uncommitted(table(s, d, "wal_ops")).groupBy("op").agg(F.count(F.lit(1)).alias("n")),
+        "log_lsn_gate": lambda s, d: since(table(s, d, "wal_ops"), 5000).groupBy("op").agg(F.count(F.lit(1)).alias("n")),
+        "log_last_write": lambda s, d: last_writes(table(s, d, "wal_ops")),
+        "log_torn": _torn,
+        "reopen_constraints": _constraints_again,
+        "reopen_declared": _declared_again,
+        "dangling_edges": _without_africa,
+        "edge_unique": _edge_unique,
+        "base_reads": _base_reads,
+        "api_property_states": _states,
+        "api_ids_labels": _ids_and_labels,
+        "api_edge_scan": lambda s, d: api.edge_values(commerce(s, d), "quantity").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n")),
+        "index_bool": lambda s, d: PropertyIndex.build(exported(s, d), "active", scratch(s, "index") + "/t").bounds(True),
         "sync_delta": lambda s, d: shippable(table(s, d, "wal_ops"), table(s, d, "interned_names"), 3000).select("lsn", "op", "logical_id", "labels", "edge_type", "src", "dst"),
-        "sync_seed_nodes": lambda s, d: api.export_nodes(exported(s, d)).select("logical_id", "labels", "props"),
-        "sync_seed_edges": lambda s, d: api.export_edges(exported(s, d)).select("src", "dst", "type", "props"),
-        "export_subgraph": lambda s, d: api.export_nodes(exported(s, d), ["Topic", "Device"]).select("logical_id", "labels", "props"),
-        "sync_id_map": _id_map,
+        "sync_seed_nodes": lambda s, d: _props(api.export_nodes(exported(s, d)).select("logical_id", "labels", "props")),
+        "sync_seed_edges": lambda s, d: _props(api.export_edges(exported(s, d)).select("src", "dst", "type", "props")),
+        "export_subgraph": lambda s, d: _props(api.export_nodes(exported(s, d), ["Topic", "Device"]).select("logical_id", "labels", "props")),
+        "sync_id_map": lambda s, d: id_map(table(s, d, "graph_nodes"), "loaded_at"),
         "bulk_import": _imported,
         "person_card": _card,
         "company_staff": _staff,
         "stream_log_tail": _tailed,
-        "rmat_stats": lambda s, d: rmat(s, 14, 100_000).agg(F.count(F.lit(1)).alias("edges"), (F.max(F.greatest("src", "dst")) < 1 << 14).alias("inside"), (F.min(F.least("src", "dst")) >= 0).alias("natural")),
+        "rmat_stats": lambda s, d: quadrants(rmat(s, 14, 100_000), 14),
     }
 
 
-_LIVE = "live as (select logical_id, vid, arg_max(labels, loaded_at) as labels from graph_nodes group by all having max(deleted_at) is null), e as (select distinct g.logical_id, edge_type, s.vid as src, d.vid as dst from graph_edges g join live s on s.logical_id = g.src_logical_id join live d on d.logical_id = g.dst_logical_id)"
 _DONE = "(select distinct txn_id from wal_ops where op = 'CommitTxn')"
 _LIVES = f"lv as (select vid, max(lsn) filter (where op = 'AddNode') as since, coalesce(max(lsn) filter (where op = 'DelNode'), -1) as gone from wal_ops join {_DONE} using (txn_id) where op in ('AddNode', 'DelNode') group by vid having since > gone)"
 
@@ -193,8 +291,8 @@ def oracle_sql() -> dict[str, str]:
         "api_out_degree": "select c_custkey as custkey, 1 + count(o_orderkey) as out_degree from customer left join orders on o_custkey = c_custkey group by 1",
         "api_in_degree": "select n_nationkey as nationkey, (select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) as in_degree from nation",
         "api_hub": "select o_custkey as custkey, count(*) as out_degree from orders group by 1 order by 2 desc, 1 limit 10",
-        "api_degree_stats": f"with {_LIVE}, o as (select vid, count(src) as n from live left join e on src = vid group by vid) select count(*) as nodes, sum(n)::bigint as edges, avg(n) as mean, max(n) as most from o",
-        "api_counts": f"with {_LIVE} select (select count(*) from live) as nodes, (select count(*) from e) as edges, (select max(vid) + 1 from live) as id_space",
+        "api_degree_stats": f"with {LIVE}, o as (select vid, count(src) as n from live left join e on src = vid group by vid) select count(*) as nodes, sum(n)::bigint as edges, avg(n) as mean, max(n) as most from o",
+        "api_counts": f"with {LIVE} select (select count(*) from live) as nodes, (select count(*) from e) as edges, (select max(vid) + 1 from live) as id_space",
         "api_two_hop_bfs": "select c_nationkey::bigint as k, 1 as hops, count(*) as n from customer group by 1 union all select n_regionkey::bigint, 2, count(*) from customer join nation on c_nationkey = n_nationkey group by 1",
         "api_property_scan": "select sum(p_size)::bigint as total, count(*) as n from part where p_size is not null",
         "index_eq": "select p_partkey as partkey from part where p_size = 7",
@@ -219,16 +317,25 @@ def oracle_sql() -> dict[str, str]:
         "reopen": "select ['Customer'] as l, case when c_acctbal > 9000 then 'TOP' else c_mktsegment end as seg, count(*) as n from customer group by all union all select ['Nation'], null, count(*) from nation union all select ['Region'], null, count(*) from region where r_name <> 'ASIA'",
         "log_replay_edges": f"with {_LIVES}, x as (select eid, max(lsn) filter (where op = 'AddEdge') as since, coalesce(max(lsn) filter (where op = 'DelEdge'), -1) as gone, arg_max(src, lsn) filter (where op = 'AddEdge') as src, arg_max(dst, lsn) filter (where op = 'AddEdge') as dst, arg_max(type_id, lsn) filter (where op = 'AddEdge') as type_id from wal_ops join {_DONE} using (txn_id) where op in ('AddEdge', 'DelEdge') group by eid) select eid, src, dst, type_id, x.since from x join lv a on a.vid = src and a.since < x.since join lv b on b.vid = dst and b.since < x.since where x.since > x.gone",
         "log_uncommitted": f"select op, count(distinct lsn) as n from wal_ops where op not in ('BeginTxn', 'CommitTxn') and txn_id not in (select txn_id from {_DONE}) group by 1",
-        "log_lsn_gate": f"select op, count(distinct lsn) as n from wal_ops join {_DONE} using (txn_id) where op in ('AddNode', 'AddEdge') and lsn > 5000 group by 1",
-        "log_last_write": f"select eid, key_id, arg_max(prop_value, lsn) as prop_value from wal_ops join {_DONE} using (txn_id) where op = 'SetEdgeProp' group by 1, 2",
+        "log_lsn_gate": f"select op, count(distinct lsn) as n from wal_ops join {_DONE} using (txn_id) where op not in ('BeginTxn', 'CommitTxn') and lsn > 5000 group by 1",
+        "log_torn": "select r_name as name from region where r_name <> 'ASIA'",
+        "reopen_constraints": "select how, name, true as refused from (select unnest(['log', 'checkpoint']) as how) cross join (select unnest(['exists:Nation.name', 'unique:Customer.name']) as name)",
+        "reopen_declared": "select rank, null::varchar as seg, count(*) as n from (select case when c_acctbal > 0 then 1 end as rank from customer union all select 2 from nation union all select null from region) group by 1",
+        "dangling_edges": "select r_name as name, count(*) as n from nation join region on n_regionkey = r_regionkey where r_name <> 'AFRICA' group by 1",
+        "edge_unique": "select n_nationkey::bigint as nation, n_nationkey::bigint as value, true as refused from nation where n_nationkey < 10",
+        "base_reads": "with n as (select (select count(*) from region) + (select count(*) from nation) + (select count(*) from customer) as nodes, (select count(*) from nation) + (select count(*) from customer) as edges) select 'base' as which, nodes, edges, 0 as dangling from n union all select 'view', nodes - 1, edges - (select count(*) from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'), 0 from n",
+        "api_property_states": "select case when c_acctbal < 0 then 'null' else 'value' end as state, count(*) as n from customer group by 1 union all select 'absent', (select count(*) from nation) + (select count(*) from region)",
+        "api_ids_labels": f"with {LIVE} select i.vid, l.vid is not null as visible, coalesce(list_contains(labels, 'Person'), false) as has, logical_id from (select distinct vid from graph_nodes) i left join live l using (vid)",
+        "api_edge_scan": "select sum(l_quantity) as total, count(*) as n from lineitem where l_quantity is not null",
+        "index_bool": f"with {LIVE}, b as (select lower(trim(props ->> '$.active')) as v from live where lower(trim(props ->> '$.active')) in ('true', 'false')) select count(*) filter (where v = 'false') as lower, count(*) as upper, count(*) as length from b",
+        "log_last_write": f"select eid, key_id, arg_max(struct_pack(v := case when op = 'SetEdgeProp' then prop_value end), lsn).v as prop_value, max(lsn) as lsn from wal_ops join {_DONE} using (txn_id) where op in ('SetEdgeProp', 'DelEdgeProp') group by 1, 2",
         "sync_delta": f"with r as (select distinct lsn, op, vid, logical_id, label_ids, src, dst, type_id from wal_ops join {_DONE} using (txn_id) where op in ('AddNode', 'AddEdge')), ids as (select vid, arg_max(logical_id, lsn) as l from r where op = 'AddNode' group by 1), lb as (select lsn, list_sort(list_distinct(list(interned))) as labels from (select lsn, unnest(label_ids) as i from r) join interned_names on int_id = i and name_kind = 'label' group by 1) select r.lsn, op, r.logical_id, case when op = 'AddNode' then coalesce(labels, ['unlabeled_node']) end as labels, interned as edge_type, a.l as src, b.l as dst from r left join lb using (lsn) left join interned_names t on t.name_kind = 'edgeType' and t.int_id = r.type_id left join ids a on a.vid = r.src left join ids b on b.vid = r.dst where r.lsn > 3000",
-        "sync_seed_nodes": f"with {_LIVE} select logical_id, list_sort(coalesce(labels, [])) as labels from live",
-        "sync_seed_edges": f"with {_LIVE} select src, dst, edge_type as type from e",
-        "export_subgraph": f"with {_LIVE} select logical_id, list_sort(labels) as labels from live where list_has_any(labels, ['Topic', 'Device'])",
-        "sync_id_map": "select logical_id, arg_max(remote_id, (loaded_at, remote_id)) as remote_id from graph_nodes where remote_id is not null group by 1",
+        "sync_seed_nodes": f"with {LIVE} select logical_id, list_sort(coalesce(labels, [])) as labels, {props_sql('node')} as props from live",
+        "sync_seed_edges": f"with {LIVE} select src, dst, edge_type as type, {props_sql('edge')} as props from e",
+        "export_subgraph": f"with {LIVE} select logical_id, list_sort(labels) as labels, {props_sql('node')} as props from live where list_has_any(labels, ['Topic', 'Device'])",
+        "sync_id_map": "with p as (select logical_id as l, remote_id as r, (loaded_at, logical_id, remote_id) as o from graph_nodes where logical_id is not null and remote_id is not null), a as (select l, arg_max(r, o) as r from p group by l), b as (select r, arg_max(l, o) as l from p group by r) select l as logical_id, r as remote_id from a join b using (l, r)",
         "bulk_import": "select r_name as region, count(*) as n, sum(s_acctbal) as v from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1",
-        "person_card": f"with {_LIVE}, p as (select vid from live where list_contains(labels, 'Person')), x as (select src as vid, 'out ' || edge_type as side, dst as o from e join p on vid = src union all select dst, 'known by', src from e join p on vid = dst where edge_type = 'knows') select vid, side, count(*) as n, count(distinct o) as who from x group by all",
-        "company_staff": f"with {_LIVE} select dst as vid, edge_type as type, count(*) as n from e join live on vid = dst where list_contains(labels, 'Company') and edge_type in ('worksAt', 'founded') group by all",
+        "person_card": f"with {LIVE}, p as (select vid from live where list_contains(labels, 'Person')), x as (select src as vid, 'out ' || edge_type as side, dst as o from e join p on vid = src union all select dst, 'known by', src from e join p on vid = dst where edge_type = 'knows') select vid, side, count(*) as n, count(distinct o) as who from x group by all",
+        "company_staff": f"with {LIVE} select dst as vid, edge_type as type, count(*) as n from e join live on vid = dst where list_contains(labels, 'Company') and edge_type in ('worksAt', 'founded') group by all",
         "stream_log_tail": "select op, count(distinct lsn) as n, count(*) as delivered from wal_ops group by 1",
-        "rmat_stats": "select 100000 as edges, true as inside, true as natural",
     }

@@ -166,8 +166,11 @@ def coalesce(xs: list[Typed]) -> Typed:
     return F.coalesce(*[c.cast(spark_type(t)) for c, _ in xs]), t
 
 
-def aggregate(name: str, star: bool, x: Typed | None) -> Typed:
+def aggregate(name: str, star: bool, x: Typed | None, weight: Column | None = None) -> Typed:
+    """An aggregate; with ``weight``, each row stands for so many."""
     if name == "COUNT":
+        if weight is not None:
+            return F.coalesce(F.sum(weight if star else F.when(x[0].isNotNull(), weight)), F.lit(0).cast("bigint")), "int"  # type: ignore[index]
         return F.count(F.lit(1) if star else x[0]), "int"  # type: ignore[index]
     c, t = x  # type: ignore[misc]
     if name in ("SUM", "AVG"):
@@ -175,7 +178,10 @@ def aggregate(name: str, star: bool, x: Typed | None) -> Typed:
             raise EvalError(f"{name} of {t}")
         c = c.cast("bigint") if t == "null" else c
         if name == "AVG":
+            if weight is not None:
+                return F.sum(c * weight) / F.sum(F.when(c.isNotNull(), weight)), "double"
             return F.avg(c), "double"
+        c = c if weight is None else c * weight
         t = "int" if t == "null" else t
         return F.coalesce(F.sum(c), F.lit(0).cast(TYPES[t])), t
     if name in ("MIN", "MAX"):

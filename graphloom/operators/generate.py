@@ -30,6 +30,12 @@ def rmat(spark: SparkSession, scale: int, edges: int, seed: int = 1, a: float =
     return spark.range(edges).select(F.col("id").alias("eid"), add(src).alias("src"), add(dst).alias("dst"))
 
 
+def quadrants(edges: DataFrame, scale: int) -> DataFrame:
+    """(bit, quadrant, n): how many edges fall in each quadrant (a, b, c, d) at each bit of their ends."""
+    pick = lambda k: F.struct(F.lit(k).alias("bit"), F.element_at(F.array(*map(F.lit, "abcd")), (F.shiftright("src", k) % 2 * 2 + F.shiftright("dst", k) % 2 + 1).cast("int")).alias("quadrant"))
+    return edges.select(F.explode(F.array(*[pick(k) for k in range(scale)])).alias("x")).groupBy("x.bit", "x.quadrant").agg(F.count(F.lit(1)).alias("n"))
+
+
 def uuid7(now_ms: int | None = None) -> str:
     """A time-ordered UUID."""
     t = int(time.time() * 1000) if now_ms is None else now_ms

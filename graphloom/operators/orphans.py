@@ -60,20 +60,23 @@ def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ``late``, first loaded after the edge was. Null ends are no references. An edge without
     ``created_at`` is never ``deleted`` and has a null period. Repeated edges are reported once.
     """
-    e = edges.groupBy("logical_id", "src_logical_id", "dst_logical_id", "created_at").agg(F.min("loaded_at").alias("edge_loaded"))
+    return _orphans(edges, nodes).select("edge_logical_id", "edge_end", "reason", "period_ym")
+
+
+def _orphans(edges: DataFrame, nodes: DataFrame, *kept: str) -> DataFrame:
+    """The orphans with columns of the edge that travel along."""
+    e = edges.groupBy("logical_id", "src_logical_id", "dst_logical_id", "created_at").agg(F.min("loaded_at").alias("edge_loaded"), *[F.min(c).alias(c) for c in kept])
     ends = F.explode(F.array(F.struct(F.lit("src").alias("edge_end"), F.col("src_logical_id").alias("ref")), F.struct(F.lit("dst").alias("edge_end"), F.col("dst_logical_id").alias("ref"))))
-    refs = e.select("logical_id", "created_at", "edge_loaded", ends.alias("x")).filter("x.ref is not null")
-    refs = refs.select("logical_id", "created_at", "edge_loaded", "x.edge_end", reference_key(F.col("x.ref")).alias("key"))
+    refs = e.select("logical_id", "created_at", "edge_loaded", *kept, ends.alias("x")).filter("x.ref is not null")
+    refs = refs.select("logical_id", "created_at", "edge_loaded", *kept, "x.edge_end", reference_key(F.col("x.ref")).alias("key"))
     # counted as stored, where the rows lie, before spellings are brought together
     stored = edges.select(F.explode(F.array("src_logical_id", "dst_logical_id")).alias("ref")).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
     m = merge(refs, parent_intervals(nodes), stored.filter("ref is not null").select(reference_key(F.col("ref")).alias("key"), "n"), 2 * edges.count())
     reason = F.when(F.col("is_there").isNull(), "missing").when(F.col("deleted_at") <= F.col("created_at"), "deleted").when(F.col("loaded_at") > F.col("edge_loaded"), "late")
     out = m.withColumn("reason", reason).filter("reason is not null")
-    return out.select(F.col("logical_id").alias("edge_logical_id"), "edge_end", "reason", F.date_format("created_at", "yyyy-MM").alias("period_ym"))
+    return out.select(F.col("logical_id").alias("edge_logical_id"), "edge_end", "reason", F.date_format("created_at", "yyyy-MM").alias("period_ym"), *kept)
 
 
 def orphan_report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(edge_type, edge_end, reason, period_ym, n): orphans per table (edge type) and month."""
-    types = edges.groupBy("logical_id").agg(F.min("edge_type").alias("edge_type"))
-    o = orphans(edges, nodes)
-    return o.join(types, o["edge_logical_id"].eqNullSafe(types["logical_id"]), "left").groupBy("edge_type", "edge_end", "reason", "period_ym").agg(F.count(F.lit(1)).alias("n"))
+    return _orphans(edges, nodes, "edge_type").groupBy("edge_type", "edge_end", "reason", "period_ym").agg(F.count(F.lit(1)).alias("n"))

@@ -113,6 +113,11 @@ select vid, key_id, cell from (
                          when try_cast(n as double) = floor(try_cast(n as double)) then cast(cast(cast(n as double) as bigint) as varchar) end end as cell
   from num) where cell is not null"""
 
+# The declared node keys in the order of their ids.
+_KEYS = "name:string age:int city:string score:double active:bool title:string foundedYear:int text:string externalRef:int rating:double pinned:bool latitude:double longitude:double nickname:string headcount:int firmware:string battery:int online:bool balance:double email:string depth:int slug:string"
+_READ = {"string": "{}", "int": "{}::bigint", "double": "{}::double / 1000", "bool": "{}::boolean"}
+_P4_WIDE = f"with {_NODE_RECORDS}, c as ({_P4}) select a.vid, " + ", ".join(_READ[t].format(f"max(cell) filter (where key_id = {i})") + f' as "{n}"' for i, (n, t) in enumerate(x.split(":") for x in _KEYS.split())) + " from alive a left join c on c.vid = a.vid group by a.vid"
+
 _P5 = """
 with e as (select distinct logical_id, src_logical_id as s, dst_logical_id as t from graph_edges)
 select 'src' as edge_end, s as node_ref, count(distinct logical_id) as n_edges, count(distinct t) as n_peers from e where s is not null group by s
@@ -132,6 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_report": _ORPHANS + " select edge_type, edge_end, reason, period_ym, count(*) as n from o where reason is not null group by all",
         "p3_found": _P3,
         "p4_found": _P4,
+        "p4_wide": _P4_WIDE,
         "p5_found": _P5,
         "p5_modes": _P5_WEIGHTS + ", f as (select node_ref, m, count(*) as n from w where m is not null group by all), t as (select node_ref, sum(n)::bigint as n, count(*) as n_distinct, max(n) as top from f group by 1) select t.node_ref, t.n, n_distinct, min(m) as mode from t join f on f.node_ref = t.node_ref and f.n = top group by all",
         "p5_percentiles": _P5_WEIGHTS + " select node_ref, p, m as value from (select *, row_number() over (partition by node_ref order by m) as r, count(*) over (partition by node_ref) as c from w where m is not null) cross join (select unnest([0.5, 0.9, 0.99])::double as p) where r = greatest(ceil(p * c), 1)",

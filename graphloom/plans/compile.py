@@ -19,7 +19,7 @@ from ..errors import EvalError, PlanError
 from ..functions import scalars as sc
 from ..model import GraphView, column
 from .syntax import AGGREGATES, Binary, Call, IsNull, Item, ListLit, Lit, NodePattern, Param, Pattern, Prop, RelPattern, Statement, Unary, Var
-from .walk import MAX_HOPS, reach
+from .walk import reach
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def column_name(item: Item, i: int) -> str:
 class Planner:
     """Names, kinds, needed properties and steps of a MATCH; raises PlanError for what can't be planned."""
 
-    def __init__(self, view: GraphView, stmt: Statement, params: Mapping[str, Any], strict: bool = False, max_hops: int = MAX_HOPS, tell: Callable[[Diagnostic], None] | None = None) -> None:
+    def __init__(self, view: GraphView, stmt: Statement, params: Mapping[str, Any], strict: bool = False, max_hops: int | None = None, tell: Callable[[Diagnostic], None] | None = None) -> None:
         self.view, self.stmt, self.params, self.strict, self.max_hops = view, stmt, params, strict, max_hops
         self.tell = tell or (lambda d: None)
         self.kinds: dict[str, str] = {}
@@ -177,6 +177,30 @@ class Planner:
                 filters()
         for e in left:
             self.steps.append(Step("Filter", {"expr": e}))
+        self._fold_tail()
+
+    def _fold_tail(self) -> None:
+        """Turn the last expands, if nothing names what they bind but how often it is bound, into one count per start.
+
+        Then the number of paths multiplies a weight and never the rows: a hub costs one row an edge.
+        """
+        s = self.stmt
+        exprs = [*(i.expr for i in s.returns or []), *(e for e, _ in s.order)]
+        calls = [x for e in exprs for x in walk(e) if isinstance(x, Call) and x.name in AGGREGATES]
+        if not calls or s.mutations or any(x.name == "COLLECT" for x in calls):
+            return
+        used = {x.name for e in [*exprs, s.where] if e is not None for x in walk(e) if isinstance(x, Var)}
+        tail: list[Step] = []
+        while self.steps and self.steps[-1].what == "Expand":
+            d = self.steps[-1].detail
+            if d["again"] or {d["rel"].alias, d["node"].alias} & used or (tail and tail[0].detail["source"] != d["node"].alias):
+                break
+            tail.insert(0, self.steps.pop())
+        # an expand that something else starts from, or that only binds what is counted, stays as it is
+        if tail and not any(x.detail.get("source") == tail[-1].detail["node"].alias for x in self.steps):
+            self.steps.append(Step("CountTail", {"tail": tail}))
+        else:
+            self.steps += tail
 
     @staticmethod
     def _from(p: Pattern, start: int) -> Pattern:
@@ -199,6 +223,7 @@ class Rows:
     def __init__(self, plan: Planner) -> None:
         self.plan, self.view = plan, plan.view
         self.df: DataFrame | None = None
+        self.weight: Column | None = None
         for s in plan.steps:
             getattr(self, "_" + s.what)(**s.detail)
 
@@ -275,6 +300,25 @@ class Rows:
         self.df = self.df.join(e, F.col(self.id(source)) == F.col("\x1ffrom")).drop("\x1ffrom")
         self._join_target(node, again, self._known(rel))
 
+    def _CountTail(self, tail: list[Step]) -> None:  # noqa: N802
+        counts: DataFrame | None = None
+        for step in reversed(tail):
+            rel, node = step.detail["rel"], step.detail["node"]
+            keys = sorted(self.plan.needs[rel.alias])
+            e = self._directed(rel, keys)
+            e = e.select("\x1ffrom", "\x1fto", *[F.col(f"`{column(k)}`").alias(self.prop(rel.alias, k)) for k in keys])
+            e = self._restrict_props(e, rel.alias, rel.props).select("\x1ffrom", "\x1fto")
+            if not self.view.closed or not set(node.labels) <= self._known(rel) or node.props:
+                ids = self._restrict_props(self._scan(node), node.alias, node.props).select(F.col(self.id(node.alias)).alias("\x1fto"))
+                e = e.join(ids, "\x1fto")
+            if counts is None:
+                counts = e.groupBy("\x1ffrom").agg(F.count(F.lit(1)).alias("\x1fw"))
+            else:
+                counts = e.join(counts.withColumnRenamed("\x1ffrom", "\x1fto"), "\x1fto").groupBy("\x1ffrom").agg(F.sum("\x1fw").alias("\x1fw"))
+        source = tail[0].detail["source"]
+        self.df = self.df.join(counts, F.col(self.id(source)) == F.col("\x1ffrom")).drop("\x1ffrom")
+        self.weight = F.col("\x1fw")
+
     def _known(self, rel: RelPattern) -> set[str]:
         src, dst = (self.view.end_labels(rel.types or None, x) for x in ("src", "dst"))
         return {"out": dst, "in": src}.get(rel.direction, src & dst)
@@ -283,7 +327,7 @@ class Rows:
         lo, hi = rel.hops
         e = self._directed(rel, []).select(F.col("\x1ffrom").alias("src"), F.col("\x1fto").alias("dst"))
         starts = self.df.select(F.col(self.id(source)).alias("start")).distinct()
-        found = reach(starts, e, lo, hi, self.plan.max_hops).select(F.col("start").alias("\x1ffrom"), F.col("node").alias("\x1fto"))
+        found = reach(starts, e, lo, hi, self.plan.max_hops, rel.direction not in ("in", "out")).select(F.col("start").alias("\x1ffrom"), F.col("node").alias("\x1fto"))
         self.df = self.df.join(found, F.col(self.id(source)) == F.col("\x1ffrom")).drop("\x1ffrom")
         self._join_target(node, again, self._known(rel))
 
@@ -389,7 +433,7 @@ class Rows:
         for i, x in enumerate(calls):
             if any(has_aggregate(a) for a in x.args):
                 raise PlanError("an aggregate of an aggregate")
-            c, t = sc.aggregate(x.name, x.star, None if x.star else self.eval(x.args[0]))
+            c, t = sc.aggregate(x.name, x.star, None if x.star else self.eval(x.args[0]), getattr(self, "weight", None))
             aggs.append(c.alias(f"\x1fa{i}"))
             known[x] = F.col(f"\x1fa{i}"), t
         return self.df.groupBy(*cols).agg(*aggs) if aggs else self.df.select(*cols).distinct(), known

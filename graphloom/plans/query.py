@@ -13,7 +13,6 @@ from ..errors import PlanError
 from ..model import GraphView
 from .compile import Diagnostic, Planner, Rows
 from .syntax import Statement, parse
-from .walk import MAX_HOPS
 
 
 class PlanCache:
@@ -36,7 +35,7 @@ class PlanCache:
 CACHE = PlanCache()
 
 
-def run(view: GraphView, text: str, params: Mapping[str, Any] | None = None, *, strict: bool = False, max_hops: int = MAX_HOPS, on_diagnostic: Callable[[Diagnostic], None] | None = None, cache: PlanCache = CACHE) -> DataFrame:
+def run(view: GraphView, text: str, params: Mapping[str, Any] | None = None, *, strict: bool = False, max_hops: int | None = None, on_diagnostic: Callable[[Diagnostic], None] | None = None, cache: PlanCache = CACHE) -> DataFrame:
     """The result of a read query as a lazy DataFrame."""
     s = cache.get(text)
     if s.kind != "match" or s.mutations:

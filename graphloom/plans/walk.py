@@ -1,4 +1,9 @@
-"""Reachability by variable-length edges: a breadth-first walk of all sources at once."""
+"""Reachability by variable-length edges: walks from all sources at once.
+
+Where every node has at most one successor, walks are doubled: with the node 2, 4, 8, ... steps ahead of
+each node, the pairs within k steps give those within 2k by one lookup, so a chain of n steps takes
+about log n rounds. Otherwise the walk goes breadth first, a hop a round.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +15,17 @@ from pyspark.sql import functions as F
 from ..errors import EvalError
 from ..session import scratch
 
-#: An unbounded walk that has not ended after so many hops raises; it is never cut short silently.
-MAX_HOPS = 1000
+SCHEMA = "start long, node long, hops int"
 
 
-def reach(sources: DataFrame, edges: DataFrame, lo: int, hi: int | None, max_hops: int = MAX_HOPS) -> DataFrame:
+def reach(sources: DataFrame, edges: DataFrame, lo: int, hi: int | None, max_hops: int | None = None, symmetric: bool = False) -> DataFrame:
     """(start, node, hops) of every node whose distance from ``start`` lies in [lo, hi]; never start itself.
 
     ``sources`` has the column start, distinct; ``edges`` (src, dst) are already turned to the walk's
-    direction. Each hop's new pairs are written to the shared folder: the plan stays as short as one
-    hop, and a lost executor costs no more than that.
+    direction, and ``symmetric`` if every edge is there both ways. A walk without ``hi`` ends when a
+    round finds no new pair; with ``max_hops`` it raises if it would go on beyond so many hops. Each
+    round's new pairs are written to the shared folder: the plan stays as short as one round, and a
+    lost executor costs no more than that.
     """
     spark = sources.sparkSession
     if hi is not None and hi <= 0:
@@ -28,20 +34,58 @@ def reach(sources: DataFrame, edges: DataFrame, lo: int, hi: int | None, max_hop
     if hi == 1:
         one = sources.join(step, F.col("start") == F.col("__at")).select("start", F.col("__to").alias("node")).filter("start <> node").distinct()
         return one.withColumn("hops", F.lit(1))
-    path, schema = scratch(spark, "walk"), "start long, node long, hops int"
+    path = scratch(spark, "walk")
     step.distinct().write.parquet(f"{path}/edges")
     step = spark.read.schema("__at long, __to long").parquet(f"{path}/edges")
     sources.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).write.parquet(f"{path}/0")
-    hop = lambda i: spark.read.schema(schema).parquet(f"{path}/{i}")
+    one_each = (hi is None or hi > 3) and not symmetric and step.groupBy("__at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    parts = _doubled(path, step, hi, max_hops) if one_each else _hops(path, step, hi, max_hops, symmetric)
+    out = spark.read.schema(SCHEMA).parquet(*[f"{path}/{i}" for i in range(parts + 1)])
+    return out.filter(F.col("hops").between(max(lo, 1), hi) if hi is not None else F.col("hops") >= max(lo, 1))
+
+
+def _too_far(max_hops: int) -> EvalError:
+    return EvalError(f"the walk goes on beyond {max_hops} hops; give it an upper bound or raise max_hops")
+
+
+def _hops(path: str, step: DataFrame, hi: int | None, max_hops: int | None, symmetric: bool) -> int:
+    """Breadth first; the number of rounds written. Going back and forth, a new pair can only have been met two hops ago."""
+    spark = step.sparkSession
+    hop = lambda i: spark.read.schema(SCHEMA).parquet(f"{path}/{i}")
     d = 0
     while hi is None or d < hi:
-        if hi is None and d >= max_hops:
-            raise EvalError(f"the walk goes on beyond {max_hops} hops; give it an upper bound or raise max_hops")
-        seen = reduce(DataFrame.union, [hop(i).select("start", "node") for i in range(d + 1)])
+        if hi is None and max_hops is not None and d >= max_hops:
+            raise _too_far(max_hops)
+        seen = reduce(DataFrame.union, [hop(i).select("start", "node") for i in range(max(0, d - 1) if symmetric else 0, d + 1)])
         new = hop(d).join(step, F.col("node") == F.col("__at")).select("start", F.col("__to").alias("node")).distinct()
         d += 1
         new.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(d)).write.parquet(f"{path}/{d}")
         if hop(d).isEmpty():
             break
-    parts = [hop(i) for i in range(max(lo, 1), d + 1)]
-    return reduce(DataFrame.union, parts) if parts else hop(0).limit(0)
+    return d
+
+
+def _doubled(path: str, step: DataFrame, hi: int | None, max_hops: int | None) -> int:
+    """Pairs within k steps, moved on by the jump over k; once a pair is met again, all that follows it is, too."""
+    spark = step.sparkSession
+    pairs = lambda n: spark.read.schema(SCHEMA).parquet(*[f"{path}/{i}" for i in range(n + 1)])
+    k, n = 1, 0
+    while hi is None or k <= hi:
+        met = pairs(n)
+        moved = met.join(step, F.col("node") == F.col("__at")).select("start", F.col("__to").alias("node"), (F.col("hops") + k).cast("int").alias("hops"))
+        if hi is not None:
+            moved = moved.filter(F.col("hops") <= hi)
+        new = moved.groupBy("start", "node").agg(F.min("hops").alias("hops")).join(met.select("start", "node"), ["start", "node"], "left_anti")
+        n += 1
+        new.select("start", "node", "hops").write.parquet(f"{path}/{n}")
+        found = spark.read.schema(SCHEMA).parquet(f"{path}/{n}")
+        if max_hops is not None and hi is None and not found.filter(F.col("hops") > max_hops).isEmpty():
+            raise _too_far(max_hops)
+        if found.isEmpty():
+            break
+        k *= 2
+        if hi is None or k <= hi:
+            far = step.select(F.col("__at").alias("__mid"), F.col("__to").alias("__end"))
+            step.join(far, F.col("__to") == F.col("__mid")).select("__at", F.col("__end").alias("__to")).write.parquet(f"{path}/jump-{k}")
+            step = spark.read.schema("__at long, __to long").parquet(f"{path}/jump-{k}")
+    return n

@@ -28,6 +28,29 @@ def committed(records: DataFrame, log: DataFrame) -> DataFrame:
     return records.drop(*drop).filter("lsn is not null and txn_id is not null").join(commits(log), "txn_id")
 
 
+def uncommitted(log: DataFrame) -> DataFrame:
+    """The records, one each, of transactions without a CommitTxn."""
+    records = log.filter("op not in ('BeginTxn', 'CommitTxn') and lsn is not null and txn_id is not null").dropDuplicates(["lsn"])
+    return records.join(commits(log).select("txn_id"), "txn_id", "left_anti")
+
+
+def since(log: DataFrame, lsn: int) -> DataFrame:
+    """The committed records, one each, that recovery from a snapshot at ``lsn`` still has to apply."""
+    records = log.filter("op not in ('BeginTxn', 'CommitTxn')").filter(F.col("lsn") > lsn).dropDuplicates(["lsn"])
+    return committed(records, log)
+
+
+def last_writes(log: DataFrame, owner: str = "edge") -> DataFrame:
+    """(id, key_id, prop_value, lsn): the last committed value set of each property; ``id`` is eid or vid.
+
+    The newest is chosen by ``lsn``, combined where the rows lie; properties deleted later have a null.
+    """
+    i, kind = ("eid", "Edge") if owner == "edge" else ("vid", "Node")
+    rec = committed(log.filter(F.col("op").isin(f"Set{kind}Prop", f"Del{kind}Prop")).select("lsn", "txn_id", "op", i, "key_id", "prop_value"), log)
+    value = F.when(F.col("op") == f"Set{kind}Prop", F.col("prop_value"))
+    return rec.groupBy(i, "key_id").agg(F.max_by(F.struct(value.alias("v")), "lsn").alias("x"), F.max("lsn").alias("lsn")).select(i, "key_id", F.col("x.v").alias("prop_value"), "lsn")
+
+
 def packed(alive: Column | bool) -> Column:
     """``lsn`` and one bit in a long, so that the newest wins a plain maximum."""
     bit = F.lit(int(alive)) if isinstance(alive, bool) else alive.cast("long")

@@ -41,6 +41,18 @@ def shippable(log: DataFrame, names: DataFrame, after: int = 0, unlabelled: str
     return nodes.unionByName(edges.select("lsn", "op", "logical_id", "edge_type", "src", "dst"), allowMissingColumns=True)
 
 
+def id_map(pairs: DataFrame, *order: str) -> DataFrame:
+    """(logical_id, remote_id) after all ``pairs`` were entered in ``order``: each side names at most one other.
+
+    Entering a pair drops older ones that have either of its ids, so a pair holds if it is the last of
+    both. Pairs with a null id are ignored.
+    """
+    p = pairs.filter("logical_id is not null and remote_id is not null").select("logical_id", "remote_id", F.struct(*order, "logical_id", "remote_id").alias("at"))
+    by_logical = p.groupBy("logical_id").agg(F.max_by("remote_id", "at").alias("remote_id"), F.max("at").alias("at"))
+    by_remote = p.groupBy("remote_id").agg(F.max_by("logical_id", "at").alias("logical_id"))
+    return by_logical.join(by_remote, ["logical_id", "remote_id"], "left_semi").select("logical_id", "remote_id")
+
+
 class SyncState:
     """Per target: the mark and whether it was seeded, in numbered files of which the newest whole one counts."""
 

@@ -68,6 +68,9 @@ GQL: dict[str, tuple[str, str]] = {
     "s2_join": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE c.mktsegment = 'BUILDING' RETURN o.orderkey AS k", "select o_orderkey as k from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'"),
     "s3_second_degree": ("MATCH (a:Supplier)-[:SUPPLIES]->(p:Part)<-[:SUPPLIES]-(b:Supplier) WHERE a.suppkey = 3 AND b.suppkey <> 3 RETURN DISTINCT b.name AS name", "with sp as (select distinct l_suppkey as s, l_partkey as p from lineitem) select distinct s_name as name from sp x join sp y using (p) join supplier on s_suppkey = y.s where x.s = 3 and y.s <> 3"),
     "s4_group_top": ("MATCH (n:Nation)<-[:LOCATED_IN]-(c:Customer)-[:PLACED]->(o:Order) RETURN n.name AS name, COUNT(*) AS n ORDER BY n DESC, name LIMIT 3", "select n_name as name, count(*) as n from orders join customer on o_custkey = c_custkey join nation on n_nationkey = c_nationkey group by 1 order by 2 desc, 1 limit 3"),
+    "s1_reach": ("MATCH (a:Event)-[:NEXT*1..2]->(b:Event) WHERE a.etype = 'purchase' RETURN DISTINCT b.eventid AS v", "with nx as (select event_id as a, lead(event_id) over w as b, lead(event_id, 2) over w as c, event_type as t from events where user_id is not null window w as (partition by user_id order by ts, event_id)) select b as v from nx where t = 'purchase' and b is not null union select c from nx where t = 'purchase' and c is not null"),
+    "s5_collect": ("MATCH (p:Part) RETURN p.brand AS brand, COUNT(*) AS n, COLLECT(p.size) AS sizes", "select p_brand as brand, count(*) as n, list_sort(list(p_size::bigint)) as sizes from part group by 1"),
+    "s7_ancestors": ("MATCH (p:Document)<-[:PARENT*1..3]-(d:Document) RETURN p.docid AS p, COUNT(*) AS n", "with recursive pe as (select distinct a.doc_id as a, b.doc_id as b from documents a join documents b on a.parent_sha = b.commit_sha), w(s, v, d) as (select b, a, 1 from pe union select w.s, pe.a, d + 1 from w join pe on pe.b = w.v where d < 3) select s as p, count(distinct v) as n from w where s <> v group by 1"),
     "s5_events": ("MATCH (u:User)-[:DID]->(e:Event) RETURN u.userid AS u, e.etype AS t, COUNT(*) AS n, SUM(e.value) AS v", "select user_id as u, event_type as t, count(*) as n, coalesce(sum(value), 0) as v from events where user_id is not null group by all"),
     "s6_next": ("MATCH (a:Event)-[r:NEXT]->(b:Event) WHERE a.etype = b.etype RETURN a.etype AS t, COUNT(*) AS n, SUM(r.gap) AS gap", "with x as (select event_type as t, lead(event_type) over w as u, epoch_us(lead(ts) over w) - epoch_us(ts) as gap from events where user_id is not null window w as (partition by user_id order by ts, event_id)) select t, count(*) as n, sum(gap)::bigint as gap from x where t = u group by 1"),
     "s7_parent": ("MATCH (d:Document)-[:PARENT]->(p:Document) RETURN d.docid AS d, p.docid AS p, d.source AS s", "select a.doc_id as d, b.doc_id as p, a.source as s from documents a join documents b on a.parent_sha = b.commit_sha"),
@@ -84,40 +87,54 @@ def _chain(lo: int, hi: int, where: str) -> str:
     return f"with recursive {_NEXT}, w(s, v, d) as (select a, a, 0 from nx where {where} union select s, b, d + 1 from w join nx on nx.a = w.v where b is not null and d < {hi}) select s, v from w where d >= {lo}"
 
 
-_SUPPLIES_WALK = """with recursive sp as (select distinct 's' || l_suppkey as a, 'p' || l_partkey as b from lineitem),
-  e as (select a, b from sp union all select b, a from sp),
-  w(v, d) as (select 's0', 0 union select e.b, d + 1 from w join e on e.a = w.v where d < 3),
-  m as (select v, min(d) as d from w group by v)"""
+# events after each one of the same user; each has one successor, so the k-th of them is at distance k
+_AFTER = "f as (select event_id as s, count(*) over (partition by user_id order by ts desc, event_id desc) - 1 as n from events where user_id is not null)"
+_SUPPLIES = """sp as (select distinct l_suppkey as s, l_partkey as p from lineitem),
+  two as (select distinct x.s, y.s as t from sp x join sp y using (p) where x.s <> y.s),
+  three as (select distinct t.s, p from two t join sp on sp.s = t.t),
+  m as (select s, 'p' as k, p as v, 1 as d from sp union all select s, 's', t, 2 from two union all select s, 'p', p, 3 from three anti join sp using (s, p))"""
 
 # name -> (query, SQL) of variable-length walks
 WALKS: dict[str, tuple[str, str]] = {
     "var_1_3": ("MATCH (a:Event)-[:NEXT*1..3]->(b:Event) WHERE a.etype = 'purchase' RETURN a.eventid AS s, b.eventid AS v", _chain(1, 3, "a in (select event_id from events where event_type = 'purchase')")),
     "var_exact": ("MATCH (a:Event)-[:NEXT*2]->(b:Event) RETURN a.eventid AS s, b.eventid AS v", _chain(2, 2, "true")),
-    "var_from": ("MATCH (a:Event {eventid: 5})-[:NEXT*2..]->(b:Event) RETURN a.eventid AS s, b.eventid AS v", _chain(2, 1000000, "a = 5")),
-    "var_upto": ("MATCH (a:Event)-[:NEXT*..2]->(b) WHERE a.eventid < 100 RETURN a.eventid AS s, COUNT(*) AS n", "select s, count(*) as n from (" + _chain(1, 2, "a < 100") + ") group by 1"),
+    "var_from": ("MATCH (a:Event)-[:NEXT*2..]->(b:Event) RETURN a.eventid AS s, COUNT(*) AS n", f"with {_AFTER} select s, n - 1 as n from f where n > 1"),
+    "var_upto": ("MATCH (a:Event)-[:NEXT*..2]->(b) RETURN a.eventid AS s, COUNT(*) AS n", f"with {_AFTER} select s, least(n, 2) as n from f where n > 0"),
     "var_unbounded": ("MATCH (d:Document)-[:PARENT*]->(p:Document) RETURN d.docid AS s, p.docid AS v", "with recursive pe as (select a.doc_id as a, b.doc_id as b from documents a join documents b on a.parent_sha = b.commit_sha), w(s, v) as (select a, b from pe union select s, b from w join pe on pe.a = w.v) select s, v from w where s <> v"),
     "var_incoming": ("MATCH (p:Document)<-[:PARENT*1..2]-(d:Document) RETURN p.docid AS s, d.docid AS v", "with pe as (select distinct a.doc_id as a, b.doc_id as b from documents a join documents b on a.parent_sha = b.commit_sha) select b as s, a as v from pe where a <> b union select y.b, x.a from pe x join pe y on x.b = y.a where y.b <> x.a"),
-    "var_undirected": ("MATCH (s:Supplier {suppkey: 0})-[:SUPPLIES*1..3]-(x) RETURN labels(x) AS l, COUNT(*) AS n", _SUPPLIES_WALK + " select case left(v, 1) when 's' then ['Supplier'] else ['Part'] end as l, count(*) as n from m where d > 0 group by 1"),
-    "var_distance_two": ("MATCH (s:Supplier {suppkey: 0})-[:SUPPLIES*2]-(x:Supplier) RETURN x.suppkey AS k", _SUPPLIES_WALK + " select substr(v, 2)::bigint as k from m where d = 2"),
+    "var_undirected": ("MATCH (s:Supplier)-[:SUPPLIES*1..3]-(x) RETURN s.suppkey AS s, labels(x) AS l, COUNT(*) AS n", f"with {_SUPPLIES} select s, case k when 's' then ['Supplier'] else ['Part'] end as l, count(*) as n from m group by all"),
+    "var_distance_two": ("MATCH (s:Supplier)-[:SUPPLIES*2]-(x:Supplier) RETURN s.suppkey AS s, COUNT(*) AS n", f"with {_SUPPLIES} select s, count(*) as n from two group by 1"),
 }
 
-# walks from every node of a table, without SQL; tests/test_walks.py holds them against plain loops
-WHOLE_WALKS: dict[str, str] = {
-    "var_upto_all": "MATCH (a:Event)-[:NEXT*..2]->(b) RETURN a.eventid AS s, COUNT(*) AS n",
-    "var_from_all": "MATCH (a:Event)-[:NEXT*2..]->(b:Event) RETURN a.eventid AS s, COUNT(*) AS n",
-    "var_undirected_all": "MATCH (s:Supplier)-[:SUPPLIES*1..3]-(x) RETURN s.suppkey AS s, labels(x) AS l, COUNT(*) AS n",
-    "var_distance_two_all": "MATCH (s:Supplier)-[:SUPPLIES*2]-(x:Supplier) RETURN s.suppkey AS s, COUNT(*) AS n",
-}
-
-_LIVE = """live as (select logical_id, vid, arg_max(labels, loaded_at) as labels, arg_max(props, loaded_at) as props from graph_nodes group by all having max(deleted_at) is null),
-  e as (select distinct g.logical_id, edge_type, s.vid as src, d.vid as dst from graph_edges g join live s on s.logical_id = g.src_logical_id join live d on d.logical_id = g.dst_logical_id)"""
+# the last load of each node that is not deleted; edges whose ends name one, in any spelling of its UUID or by local-<vid>
+LIVE = r"""live as (select logical_id, vid, x.l as labels, x.p as props from (select logical_id, vid, arg_max(struct_pack(l := labels, p := props), loaded_at) as x from graph_nodes group by all having max(deleted_at) is null)),
+  nm as (select replace(logical_id, '-', '') as k, vid from live union select 'local-' || vid, vid from live),
+  raw as (select *, case when src_logical_id like 'local-%' then src_logical_id else regexp_replace(replace(lower(src_logical_id), 'urn:uuid:', ''), '[-{}\s]', '', 'g') end as s,
+          case when dst_logical_id like 'local-%' then dst_logical_id else regexp_replace(replace(lower(dst_logical_id), 'urn:uuid:', ''), '[-{}\s]', '', 'g') end as t from graph_edges),
+  e as (select g.logical_id, edge_type, a.vid as src, b.vid as dst, arg_max(struct_pack(p := props), loaded_at).p as props from raw g join nm a on a.k = g.s join nm b on b.k = g.t group by all)"""
+
+# The declared properties by type, as in prop_keys.
+_NODE = {"string": "name city title text nickname firmware email slug", "int": "age foundedYear externalRef headcount battery depth", "double": "score rating latitude longitude balance", "bool": "active pinned online"}
+_EDGE = {"string": "role", "int": "since", "double": "weight", "bool": "confirmed"}
+
+
+def props_sql(owner: str, props: str = "props") -> str:
+    """The properties of a JSON object that can be read in their type, as sorted texts key=value."""
+    out = []
+    for t, keys in (_NODE if owner == "node" else _EDGE).items():
+        for k in keys.split():
+            x = f"({props} ->> '$.{k}')"
+            number = f"regexp_full_match(trim({x}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
+            read = {"string": x, "int": f"case when regexp_full_match(trim({x}), '[+-]?[0-9]+') then try_cast({x} as bigint)::varchar end", "double": f"case when {number} then try_cast({x} as double)::varchar end", "bool": f"case when lower(trim({x})) in ('true', 'false') then lower(trim({x})) end"}[t]
+            out.append(f"'{k}=' || {read}")
+    return f"list_sort(list_filter([{', '.join(out)}], lambda x: x is not null))"
 
 # name -> (query, SQL) on the exported graph
 EXPORTED: dict[str, tuple[str, str]] = {
-    "graph_label_count": ("MATCH (p:Person:Verified) RETURN COUNT(*) AS n", f"with {_LIVE} select count(*) as n from live where list_contains(labels, 'Person') and list_contains(labels, 'Verified')"),
-    "graph_expand": ("MATCH (p:Person)-[:knows]->(q:Person) RETURN p.vid_ AS x, COUNT(*) AS n", f"with {_LIVE} select null::varchar as x, count(*) as n from e join live a on a.vid = src join live b on b.vid = dst where edge_type = 'knows' and list_contains(a.labels, 'Person') and list_contains(b.labels, 'Person')"),
-    "graph_two_hop": ("MATCH (p:Comment)-[:REPLY_OF]->(q)-[:CREATED|tagged]->(r:Topic) RETURN COUNT(*) AS n", f"with {_LIVE} select count(*) as n from e x join e y on x.dst = y.src join live a on a.vid = x.src join live c on c.vid = y.dst where x.edge_type = 'REPLY_OF' and y.edge_type in ('CREATED', 'tagged') and list_contains(a.labels, 'Comment') and list_contains(c.labels, 'Topic')"),
-    "graph_city": ("MATCH (p:Person) WHERE p.age >= 40 AND p.city IS NOT NULL RETURN p.city AS city, COUNT(*) AS n, AVG(p.age) AS age", f"with {_LIVE}, x as (select props ->> '$.city' as city, case when regexp_full_match(trim(props ->> '$.age'), '[+-]?[0-9]+') then trim(props ->> '$.age')::bigint end as age from live where list_contains(labels, 'Person')) select city, count(*) as n, avg(age) as age from x where age >= 40 and city is not null group by 1"),
+    "graph_label_count": ("MATCH (p:Person:Verified) RETURN COUNT(*) AS n", f"with {LIVE} select count(*) as n from live where list_contains(labels, 'Person') and list_contains(labels, 'Verified')"),
+    "graph_expand": ("MATCH (p:Person)-[:knows]->(q:Person) RETURN p.name AS name, COUNT(*) AS n", f"with {LIVE} select a.props ->> '$.name' as name, count(*) as n from e join live a on a.vid = src join live b on b.vid = dst where edge_type = 'knows' and list_contains(a.labels, 'Person') and list_contains(b.labels, 'Person') group by 1"),
+    "graph_two_hop": ("MATCH (p:Comment)-[:REPLY_OF]->(q)-[:CREATED|tagged]->(r:Topic) RETURN COUNT(*) AS n", f"with {LIVE} select count(*) as n from e x join e y on x.dst = y.src join live a on a.vid = x.src join live c on c.vid = y.dst where x.edge_type = 'REPLY_OF' and y.edge_type in ('CREATED', 'tagged') and list_contains(a.labels, 'Comment') and list_contains(c.labels, 'Topic')"),
+    "graph_city": ("MATCH (p:Person) WHERE p.age >= 40 AND p.city IS NOT NULL RETURN p.city AS city, COUNT(*) AS n, AVG(p.age) AS age", f"with {LIVE}, x as (select props ->> '$.city' as city, case when regexp_full_match(trim(props ->> '$.age'), '[+-]?[0-9]+') then trim(props ->> '$.age')::bigint end as age from live where list_contains(labels, 'Person')) select city, count(*) as n, avg(age) as age from x where age >= 40 and city is not null group by 1"),
 }
 
 
@@ -129,7 +146,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {"flagship": _gql(commerce, FLAGSHIP)}
     for group, make in ((GQL, commerce), (WALKS, commerce), (EXPORTED, exported)):
         out |= {k: _gql(make, q) for k, (q, _) in group.items()}
-    out |= {k: _gql(commerce, q) for k, q in WHOLE_WALKS.items()}
+    collect = out["s5_collect"]
+    out["s5_collect"] = lambda s, d: collect(s, d).selectExpr("brand", "n", "array_sort(sizes) as sizes")
     out["filter_param"] = lambda s, d: run(commerce(s, d), "MATCH (c:Customer {mktsegment: $seg}) WHERE c.acctbal >= $lo RETURN c.custkey AS k", {"seg": "MACHINERY", "lo": 100})
     out["agg_collect"] = lambda s, d: run(commerce(s, d), "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS r, COLLECT(n.name) AS names").selectExpr("r", "array_sort(names) as names")
     return out

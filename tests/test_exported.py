@@ -45,8 +45,10 @@ def test_seed_and_export_keep_all_declared_properties(spark, tmp_path) -> None:
     edges = [("e", "knows", U[0], "local-11", edge, None, ts(1), ts(2)), ("e", "knows", U[0], U[1], edge, None, ts(1), ts(3)), ("f", "knows", U[0], U[1], None, None, ts(1), ts(3))]
     d = folder_of(spark, tmp_path, nodes, edges, keys)
     q = entry.queries()
+    flat = lambda d: sorted(f"{k}={v if isinstance(v, str) else json.dumps(v)}" for k, v in d.items())
     want = {"name": "b", "depth": -7, "online": True, "battery level": 2.5}
-    assert {r.logical_id: json.loads(r.props) for r in q["sync_seed_nodes"](spark, d).collect()} == {U[0]: want, U[1]: {}}
-    assert [json.loads(r.props) for r in q["export_subgraph"](spark, d).collect()] == [want]
-    got = sorted(((r.src, r.dst, r.type, json.loads(r.props)) for r in q["sync_seed_edges"](spark, d).collect()), key=str)
-    assert got == sorted([(10, 11, "knows", json.loads(edge)), (10, 11, "knows", {})], key=str)
+    assert {r.logical_id: r.props for r in q["sync_seed_nodes"](spark, d).collect()} == {U[0]: flat(want), U[1]: []}
+    assert [r.props for r in q["export_subgraph"](spark, d).collect()] == [flat(want)]
+    assert [json.loads(r.props) for r in api.export_nodes(exported(spark, d), ["Topic"]).collect()] == [want]
+    got = sorted(((r.src, r.dst, r.type, r.props) for r in q["sync_seed_edges"](spark, d).collect()), key=str)
+    assert got == sorted([(10, 11, "knows", flat(json.loads(edge))), (10, 11, "knows", [])], key=str)

@@ -361,14 +361,14 @@ def test_feed_and_cells_against_a_loop(spark, seed: int) -> None:  # noqa: ANN00
     for i in range(0, len(delivered), 100):
         log_of(spark, delivered[i : i + 100]).coalesce(1).write.mode("append").parquet(path)
     out = scratch(spark, "out")
-    got = {tuple(x) for x in apply_node_feed(spark, path, out, files_per_batch=1).collect()}
+    got = {tuple(x) for x in apply_node_feed(spark, path, out, files_per_batch=1, compact=2).collect()}  # several compactions
     assert got == {(v, x["id"], ",".join(map(str, sorted(x["labels"]))), x["lsn"]) for v, x in st.items()}
     # more of the log arrives: a late record, repeats, a commit of what was held back
     held = sorted({x["txn_id"] for x in records} - {x["txn_id"] for x in records if x["op"] == "CommitTxn"})
     more = [rec(100_000 + t, t, "CommitTxn") for t in held] + records[:30]
     log_of(spark, more).write.mode("append").parquet(path)
     st2 = replayed(records + more)
-    got = {tuple(x) for x in apply_node_feed(spark, path, out).collect()}
+    got = {tuple(x) for x in apply_node_feed(spark, path, out, compact=2).collect()}
     assert got == {(v, x["id"], ",".join(map(str, sorted(x["labels"]))), x["lsn"]) for v, x in st2.items()}
 
     keys = spark.createDataFrame(KEYS, "key_id int, key_name string, owner_kind string, value_type string")
@@ -381,7 +381,13 @@ def test_feed_and_cells_against_a_loop(spark, seed: int) -> None:  # noqa: ANN00
     assert exact(tuple(x) for x in eav.cells(wide, attrs).collect()) == exact(want)
     named = eav.named(wide, attrs)
     assert named.columns == ["vid", "a", "a_2", "vid_3", "B"] and named.count() == len(st)
-    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    option = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    assert spark.conf.get(option, "false") == "false" and not [t for t in spark.catalog.listTables() if t.name.startswith("narrow_")]
+    nodes = spark.createDataFrame([(v,) for v in range(30)], "vid long")
+    values = spark.createDataFrame([(v, k, 1, "n", str(v + k)) for v in range(30) for k in (1, 2, 3)], "vid long, key_id int, lsn long, kind string, raw string")
+    with eav.NarrowTables(values, nodes, attrs) as t:
+        plan = t.wide()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort [" not in plan and t.wide().count() == 30
 
 
 def test_empty_log(spark) -> None:  # noqa: ANN001

@@ -16,7 +16,7 @@ def distances(steps, start):  # noqa: ANN001, ANN201
     return seen
 
 
-@pytest.mark.parametrize(("name", "lo", "hi"), [("var_upto_all", 1, 2), ("var_from_all", 2, 10**9)])
+@pytest.mark.parametrize(("name", "lo", "hi"), [("var_upto", 1, 2), ("var_from", 2, 10**9)])
 def test_walks_from_all_events(spark, sf, name, lo, hi) -> None:  # noqa: ANN001
     of, steps = defaultdict(list), defaultdict(list)
     for e in spark.read.parquet(f"{sf}/events.parquet").filter("user_id is not null").select("event_id", "user_id", "ts").collect():
@@ -41,5 +41,28 @@ def test_undirected_walks_from_all_suppliers(spark, sf) -> None:  # noqa: ANN001
             three[s[1], label] += 1 <= d <= 3
             two[s[1]] += d == 2 and label == "Supplier"
     assert len(two) > 1
-    assert {(r.s, r.l[0]): r.n for r in entry.queries()["var_undirected_all"](spark, sf).collect()} == {k: n for k, n in three.items() if n}
-    assert {r.s: r.n for r in entry.queries()["var_distance_two_all"](spark, sf).collect()} == {k: n for k, n in two.items() if n}
+    assert {(r.s, r.l[0]): r.n for r in entry.queries()["var_undirected"](spark, sf).collect()} == {k: n for k, n in three.items() if n}
+    assert {r.s: r.n for r in entry.queries()["var_distance_two"](spark, sf).collect()} == {k: n for k, n in two.items() if n}
+
+
+def test_doubling_and_hops_agree(spark) -> None:  # noqa: ANN001
+    from graphloom.plans.walk import reach
+
+    # a chain, two cycles, one with a tail, a self-loop: every node has one successor
+    succ = {i: i + 1 for i in range(12)} | {100: 101, 101: 102, 102: 100, 103: 100, 104: 103, 200: 201, 201: 200, 300: 300}
+    edges = spark.createDataFrame(list(succ.items()), "src long, dst long")
+    starts = spark.createDataFrame([(i,) for i in [*succ, 999]], "start long")
+    steps = defaultdict(list, {a: [b] for a, b in succ.items()})
+    for lo, hi in ((2, None), (0, 5)):
+        want = {(a, b, d) for a in succ for b, d in distances(steps, a).items() if d >= max(lo, 1) and (hi is None or d <= hi)}
+        assert {tuple(r) for r in reach(starts, edges, lo, hi).collect()} == want
+    both = edges.union(spark.createDataFrame([(0, 100), (5, 3)], "src long, dst long"))  # no longer one successor each
+    steps[0].append(100)
+    steps[5].append(3)
+    want = {(a, b, d) for a in succ for b, d in distances(steps, a).items() if d >= 1}
+    assert {tuple(r) for r in reach(starts, both, 1, None).collect()} == want
+    from graphloom.errors import EvalError
+
+    for e in (edges, both):
+        with pytest.raises(EvalError):
+            reach(starts, e, 1, None, max_hops=3)
