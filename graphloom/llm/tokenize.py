@@ -41,6 +41,8 @@ MAX_CHUNK = 8192
 FORCED = 2048  # mean bytes of chunks in a stretch without safe places
 #: Above this share of a task's chunks, a chunk's places are spread by task.
 HOT, PARTS = 1 / 64, 64
+#: Distinct chunks a task remembers.
+KEPT = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
@@ -178,8 +180,12 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [xxhash.xxh3_128_digest(mem[x:y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
             n = len(keys)
             total += n
+            if len(met) > KEPT:  # a task's memory is bounded; chunks that come again bring their text again
+                met.clear()
+                seen.clear()
+                total = n
             met.update(keys)
-            hot = {k for k, m in met.most_common(int(1 / HOT)) if m > max(total * HOT, 1000)}
+            hot = {k for k in keys if met[k] > max(total * HOT, 1000)}
             two = np.frombuffer(b"".join(keys), np.dtype(">i8")).astype(np.int64).reshape(-1, 2).copy()
             spread = np.fromiter((k in hot for k in keys), bool, n) if hot else np.zeros(n, bool)
             two[spread, 1] += part
