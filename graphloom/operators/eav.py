@@ -112,8 +112,13 @@ def typed(kind: Column, raw: Column, value_type: Column) -> dict[str, Column]:
 
 
 def bucket_count(source: DataFrame) -> int:
-    """Buckets for what comes of ``source``: one for each ``BUCKET_BYTES`` of its files, at least the session's shuffle partitions."""
-    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Buckets for what comes of ``source``: one for each ``BUCKET_BYTES`` of the tables it reads, at least the session's shuffle partitions.
+
+    Tables whose size Spark doesn't know count nothing.
+    """
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)
     return min(max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), 100_000)
 
 

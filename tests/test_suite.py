@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from verify import compare, oracle
 
@@ -13,11 +15,14 @@ def con(sf: str):  # noqa: ANN201
     return oracle(sf)
 
 
-FEW = ["flagship", "expand_two_hop", "var_distance_two", "graph_two_hop", "sync_delta", "write_set", "p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p1_items", "p2_report", "p5_modes"]
+# one or more of each kind; GRAPHLOOM_ALL=1 runs every query that has SQL, which takes some minutes
+FEW = {"flagship", "expand_two_hop", "expand_three_hop", "homomorphism", "var_from", "var_upto", "graph_two_hop", "sync_delta", "sync_seed_edges", "sync_id_map", "write_set", "reopen_constraints", "log_torn", "log_last_write", "edge_unique", "dangling_edges", "base_reads", "index_bool", "p1_found", "p1_items", "p1_processed", "p2_found", "p2_report", "p3_found", "p4_found", "p4_wide", "p5_found", "p5_modes", "p7_found", "p8_found"}
 
 
-@pytest.mark.parametrize("name", FEW)
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_agrees_with_sql(spark, sf: str, con, name: str) -> None:  # noqa: ANN001
+    if name not in FEW and "GRAPHLOOM_ALL" not in os.environ:
+        pytest.skip("run with GRAPHLOOM_ALL=1")
     assert compare(spark, sf, name, con).startswith("ok")
 
 
