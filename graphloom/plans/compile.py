@@ -19,7 +19,7 @@ from ..errors import EvalError, PlanError
 from ..functions import scalars as sc
 from ..model import GraphView, column
 from .syntax import AGGREGATES, Binary, Call, IsNull, Item, ListLit, Lit, NodePattern, Param, Pattern, Prop, RelPattern, Statement, Unary, Var
-from .walk import reach
+from .walk import reach, reach_counts
 
 
 @dataclass(frozen=True)
@@ -178,6 +178,7 @@ class Planner:
         for e in left:
             self.steps.append(Step("Filter", {"expr": e}))
         self._fold_tail()
+        self._fold_walk()
 
     def _fold_tail(self) -> None:
         """Turn the last expands, if nothing names what they bind but how often it is bound, into one count per start.
@@ -202,6 +203,18 @@ class Planner:
         else:
             self.steps += tail
 
+    def _fold_walk(self) -> None:
+        """Turn a walk at the end, if nothing is named of its ends but their labels, into counts per start and labels."""
+        s = self.stmt
+        exprs = [*(i.expr for i in s.returns or []), *(e for e, _ in s.order)]
+        calls = [x for e in exprs for x in walk(e) if isinstance(x, Call) and x.name in AGGREGATES]
+        last = self.steps[-1]
+        if not calls or s.mutations or any(x.name not in ("COUNT", "MIN", "MAX") for x in calls) or last.what != "VarLengthExpand" or last.detail["again"]:
+            return
+        uses = lambda e: [e.name] if isinstance(e, Var) else [] if isinstance(e, Call) and e.name == "LABELS" and isinstance(e.args[0], Var) else [n for c in children(e) for n in uses(c)]
+        if last.detail["node"].alias not in (n for e in exprs for n in uses(e)) and not any(x.name == "LABELS" for c in calls for x in walk(c) if isinstance(x, Call)):
+            self.steps[-1] = Step("CountWalk", {k: v for k, v in last.detail.items() if k != "again"})
+
     @staticmethod
     def _from(p: Pattern, start: int) -> Pattern:
         """The pattern walked from a node that is bound: to its right, then to its left."""
@@ -324,13 +337,26 @@ class Rows:
         return {"out": dst, "in": src}.get(rel.direction, src & dst)
 
     def _VarLengthExpand(self, source: str, rel: RelPattern, node: NodePattern, again: bool) -> None:  # noqa: N802
-        lo, hi = rel.hops
-        e = self._directed(rel, []).select(F.col("\x1ffrom").alias("src"), F.col("\x1fto").alias("dst"))
-        starts = self.df.select(F.col(self.id(source)).alias("start")).distinct()
-        found = reach(starts, e, lo, hi, self.plan.max_hops, rel.direction not in ("in", "out")).select(F.col("start").alias("\x1ffrom"), F.col("node").alias("\x1fto"))
+        found = reach(*self._walk(source, rel)).select(F.col("start").alias("\x1ffrom"), F.col("node").alias("\x1fto"))
         self.df = self.df.join(found, F.col(self.id(source)) == F.col("\x1ffrom")).drop("\x1ffrom")
         self._join_target(node, again, self._known(rel))
 
+    def _walk(self, source: str, rel: RelPattern) -> tuple:
+        """What ``reach`` takes: the distinct starts, the edges in the walk's direction, its bounds."""
+        e = self._directed(rel, []).select(F.col("\x1ffrom").alias("src"), F.col("\x1fto").alias("dst"))
+        starts = self.df.select(F.col(self.id(source)).alias("start")).distinct()
+        return starts, e, *rel.hops, self.plan.max_hops, rel.direction not in ("in", "out")
+
+    def _CountWalk(self, source: str, rel: RelPattern, node: NodePattern) -> None:  # noqa: N802
+        a, ends, by = node.alias, None, ()
+        if a in self.plan.wants_labels:
+            by = (self.labels(a),)
+        if by or not self.view.closed or not set(node.labels) <= self._known(rel) or node.props:
+            ends = self._restrict_props(self._scan(node), a, node.props).select(F.col(self.id(a)).alias("node"), *by)
+        counts = reach_counts(*self._walk(source, rel), ends, by).withColumnsRenamed({"start": "\x1ffrom", "n": "\x1fw"})
+        self.df = self.df.join(counts, F.col(self.id(source)) == F.col("\x1ffrom")).drop("\x1ffrom")
+        self.weight = F.col("\x1fw")
+
     # -- expressions
     def eval(self, e: Any, known: Mapping[Any, sc.Typed] | None = None, bound: bool = True) -> sc.Typed:
         """Column and type of an expression. ``known`` gives those of whole expressions; with ``bound``

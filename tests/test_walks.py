@@ -66,3 +66,69 @@ def test_doubling_and_hops_agree(spark) -> None:  # noqa: ANN001
     for e in (edges, both):
         with pytest.raises(EvalError):
             reach(starts, e, 1, None, max_hops=3)
+
+
+def test_walks_from_several_blocks_agree_with_loops(spark) -> None:  # noqa: ANN001
+    import random
+
+    from pyspark.sql import functions as F
+
+    from graphloom.plans.walk import reach, reach_counts
+
+    r = random.Random(5)
+    edges = {(r.randrange(150), r.randrange(150)) for _ in range(500)} | {(7, 7)}
+    both = edges | {(b, a) for a, b in edges}
+    starts = spark.createDataFrame([(i,) for i in range(200)], "start long").repartition(3)  # some without an edge
+    ends = spark.range(100).select(F.col("id").alias("node"), (F.col("id") % 3).alias("k"))
+    for pairs, symmetric, lo, hi in ((edges, False, 1, 3), (both, True, 2, None)):
+        steps = defaultdict(list)
+        for a, b in pairs:
+            steps[a].append(b)
+        df = spark.createDataFrame(sorted(pairs) * 2, "src long, dst long")
+        want = {(a, b, d) for a in range(200) for b, d in distances(steps, a).items() if d >= lo and (hi is None or d <= hi)}
+        found = reach(starts, df, lo, hi, symmetric=symmetric).collect()
+        assert len(found) == len(want) and {tuple(x) for x in found} == want
+        by = Counter((a, b % 3) for a, b, _ in want if b < 100)
+        assert {tuple(x) for x in reach_counts(starts, df, lo, hi, symmetric=symmetric, ends=ends, by=("k",)).collect()} == {(*k, n) for k, n in by.items()}
+
+
+def test_starts_that_meet_the_same_nodes_share_rows(spark) -> None:  # noqa: ANN001
+    import glob
+    import random
+
+    from graphloom.catalog import Catalog
+    from graphloom.model import EdgeSource, GraphView, NodeSource
+    from graphloom.plans.query import run
+    from graphloom.session import shared_root
+
+    # 130 of A, two of each value, give to 400 of B, so that all of them meet within three hops; one of A gives nothing
+    a, b = 131, 400
+    given = {(i, 1000 + x) for i in range(a - 1) for x in random.Random(i).sample(range(b), 40)}
+    steps = defaultdict(list)
+    for x, y in given:
+        steps[x].append(y)
+        steps[y].append(x)
+    nodes = [NodeSource(spark.createDataFrame([(i, i // 2) for i in range(a)], "vid long, p_k long"), ("A",), (), ("k",)), NodeSource(spark.range(1000, 1000 + b).withColumnRenamed("id", "vid"), ("B",))]
+    edges = EdgeSource(spark.createDataFrame(sorted(given), "src long, dst long"), ("GIVES",), ("A",), ("B",))
+    view = GraphView(spark, Catalog({"k": "int"}, {}, ["A", "B"], ["GIVES"]), nodes, [edges])
+    two, three = Counter(), Counter()
+    for i in range(a):
+        for x, d in distances(steps, i).items():
+            two[i // 2] += d == 2
+            three[i // 2, "A" if x < 1000 else "B"] += 1 <= d <= 3
+    pairs = sum(three.values())
+    root = shared_root(spark).removeprefix("file://") + "/graphloom/walk-"
+    before = set(glob.glob(f"{root}*"))
+    got = run(view, "MATCH (s:A)-[:GIVES*1..3]-(x) RETURN s.k AS k, labels(x) AS l, COUNT(*) AS n").collect()
+    assert len(got) == len({(r.k, r.l[0]) for r in got}) and {(r.k, r.l[0]): r.n for r in got} == {k: n for k, n in three.items() if n}
+    (new,) = set(glob.glob(f"{root}*")) - before
+    written = sum(spark.read.parquet(f"{new}/{i}").count() for i in range(4))
+    assert pairs > 60_000 and written < pairs / 10
+    assert {r.k: r.n for r in run(view, "MATCH (s:A)-[:GIVES*2]-(x:A) RETURN s.k AS k, COUNT(*) AS n").collect()} == {k: n for k, n in two.items() if n}
+    # of the ends more than their labels is used, or they have to carry a value: counted and not
+    met = Counter()
+    for i in range(a):
+        met.update(x // 2 for x, d in distances(steps, i).items() if d == 2)
+    assert {r.k: r.n for r in run(view, "MATCH (s:A)-[:GIVES*2]-(x:A) RETURN x.k AS k, COUNT(x) AS n").collect()} == met
+    for text in ("MATCH (s:A)-[:GIVES*2]-(x {k: 3}) RETURN COUNT(*) AS n", "MATCH (s:A)-[:GIVES*2]-(x) WHERE x.k = 3 RETURN COUNT(*) AS n"):
+        assert run(view, text).first().n == met[3]
